@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, quality
+from . import bpe, chat, packing, quality
 from ._shared import tune
 
 
@@ -28,5 +28,20 @@ def op8_quality_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept", "d2")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_chat_prefix_targets, op8_quality_mcd_outliers)}
+def _vocabulary() -> str:
+    """The public vocabulary file of the queries; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_pack_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op9_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_pack_linear_grouping, op7_chat_prefix_targets, op8_quality_mcd_outliers, op9_bpe_pair_index)}
 ORACLE_SQL: dict[str, str] = {}
