@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, packing, quality
+from . import bpe, chat, packing, quality, warc
 from ._shared import tune
 
 
@@ -35,6 +35,11 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_warc_member_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_pack_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -43,5 +48,5 @@ def op9_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_pack_linear_grouping, op7_chat_prefix_targets, op8_quality_mcd_outliers, op9_bpe_pair_index)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_member_normaliser, op5_pack_linear_grouping, op7_chat_prefix_targets, op8_quality_mcd_outliers, op9_bpe_pair_index)}
 ORACLE_SQL: dict[str, str] = {}
