@@ -27,8 +27,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: The pre-token pattern of byte-level BPE, and Unicode's white space.
+#: The pre-token pattern of byte-level BPE, Latin letters of one byte in Latin-1, Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 #: Segments that a worker's cache holds, longest segment held, code points encoded at a time, bytes of text in a batch.
@@ -70,6 +71,9 @@ class Codec:
         self.part_bytes = np.frombuffer(b"".join(parts), np.uint8)
         self.pre = regex.compile(PATTERN)
         self.segment = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        #: PATTERN for texts of `simple` characters only, where each class can be written out.
+        self.simple = re.compile(f"[\\x00-\\x7f{LATIN}]*")
+        self.plain = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^\\t-\\r {LATIN}0-9]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+")
         self.cut = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._reset()
@@ -145,8 +149,17 @@ class Codec:
         counts = np.add.reduceat(alive.astype(np.int64), np.minimum(ends - sizes, n - 1)) if len(sizes) else sizes
         return symbol[alive], np.where(sizes > 0, counts, 0)
 
-    def _learn(self, segments: list[str]) -> None:
-        """Ids of new segments; self.known has their numbers already."""
+    def _learn(self, segments: list[str], whole: bool) -> None:
+        """Ids of new segments; self.known has their numbers already. whole: each is a pre-token."""
+        if whole:
+            flat, lengths = self.merge([s.encode() for s in segments])
+        else:
+            flat, lengths = self._of_words(segments)
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(lengths) - lengths))
+        self.length = np.concatenate((self.length, lengths))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def _of_words(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words: dict[str, int] = {}
         uses: list[int] = []
         per: list[int] = []
@@ -160,13 +173,11 @@ class Codec:
         flat = _gather(ids, starts[uses_at], sizes[uses_at])
         bounds = np.concatenate(([0], np.cumsum(per)))
         total = np.concatenate(([0], np.cumsum(sizes[uses_at])))
-        lengths = total[bounds[1:]] - total[bounds[:-1]]
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(lengths) - lengths))
-        self.length = np.concatenate((self.length, lengths))
-        self.flat = np.concatenate((self.flat, flat))
+        return flat, total[bounds[1:]] - total[bounds[:-1]]
 
-    def _segments(self, text: str) -> Iterator[list[str]]:
-        """Lists of segments of a text, of about SLICE code points each."""
+    def _segments(self, text: str, simple: bool) -> Iterator[list[str]]:
+        """Lists of segments of a text, of about SLICE code points each; of a simple text, its pre-tokens."""
+        segment = self.plain if simple else self.segment
         parts = self.specials.split(text) if self.specials and any(s in text for s in self.special) else [text]
         for part in parts:
             if part in self.special:
@@ -177,29 +188,31 @@ class Codec:
                 end = len(part)
                 if end - at > SLICE and (m := self.cut.search(part, at + SLICE)):
                     end = m.start()
-                yield self.segment.findall(part, at, end)
+                yield segment.findall(part, at, end)
                 at = end
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         if len(self.known) > CACHE:
             self._reset()
-        base, new, long = len(self.known), [], {}
+        base, new, whole = len(self.known), [], True
         numbers: list[list[np.ndarray]] = []
         known = self.known
         for text in texts:
             own = []
-            for found in self._segments(text or ""):
+            simple = self.simple.fullmatch(text or "") is not None
+            for found in self._segments(text or "", simple):
                 for s in set(found).difference(known):
                     known[s] = len(known)
                     new.append(s)
-                own.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
+                    whole &= simple
+                own.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
             numbers.append(own)
         assert base + len(new) == len(known)
         if new:
-            self._learn(new)
+            self._learn(new, whole)
         for own in numbers:
-            at = np.concatenate(own) if own else np.zeros(0, np.int64)
+            at = np.concatenate(own) if own else np.zeros(0, np.int32)
             yield _gather(self.flat, self.start[at], self.length[at])
         if any(len(s) > LONGEST for s in new):
             self._trim()
