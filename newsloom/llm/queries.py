@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html, jaccard, packing, quality, warc
+from . import bpe, chat, html, jaccard, packing, passages, quality, warc
 from ._shared import tune
 
 
@@ -56,5 +56,9 @@ def op9_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_member_normaliser, op3_html_template_slots, op4_ngram_jaccard_join, op5_pack_linear_grouping, op7_chat_prefix_targets, op8_quality_mcd_outliers, op9_bpe_pair_index)}
+def op10_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_member_normaliser, op3_html_template_slots, op4_ngram_jaccard_join, op5_pack_linear_grouping, op7_chat_prefix_targets, op8_quality_mcd_outliers, op9_bpe_pair_index, op10_compact_window_passages)}
 ORACLE_SQL: dict[str, str] = {}
