@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html, jaccard, packing, passages, quality, warc
+from . import bpe, chat, html, jaccard, neighbours, packing, passages, quality, warc
 from ._shared import tune
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -1, whose texts hold control strings."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -60,5 +64,5 @@ def op10_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_member_normaliser, op3_html_template_slots, op4_ngram_jaccard_join, op5_pack_linear_grouping, op7_chat_prefix_targets, op8_quality_mcd_outliers, op9_bpe_pair_index, op10_compact_window_passages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_member_normaliser, op3_html_template_slots, op4_ngram_jaccard_join, op5_pack_linear_grouping, op6_embedding_forest, op7_chat_prefix_targets, op8_quality_mcd_outliers, op9_bpe_pair_index, op10_compact_window_passages)}
 ORACLE_SQL: dict[str, str] = {}
