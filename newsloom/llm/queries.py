@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html, jaccard, neighbours, packing, passages, quality, warc
+from . import bpe, chat, html, jaccard, neighbours, packing, passages, quality, scoring, warc
 from ._shared import tune
 
 
@@ -39,6 +39,12 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_lm_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of good quality and not toxic."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return scoring.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
 def op2_warc_member_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,5 +70,5 @@ def op10_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_member_normaliser, op3_html_template_slots, op4_ngram_jaccard_join, op5_pack_linear_grouping, op6_embedding_forest, op7_chat_prefix_targets, op8_quality_mcd_outliers, op9_bpe_pair_index, op10_compact_window_passages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_cross_entropy_difference, op2_warc_member_normaliser, op3_html_template_slots, op4_ngram_jaccard_join, op5_pack_linear_grouping, op6_embedding_forest, op7_chat_prefix_targets, op8_quality_mcd_outliers, op9_bpe_pair_index, op10_compact_window_passages)}
 ORACLE_SQL: dict[str, str] = {}
