@@ -164,6 +164,6 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str
     spark = docs.sparkSession
     tune(spark)
     marks = target_ids.select(F.col(doc_id).alias("__t")).distinct()
-    marked = docs.select(doc_id, text).join(marks, F.col(doc_id) == F.col("__t"), "left")
+    marked = docs.select(doc_id, text).join(marks.hint("merge"), F.col(doc_id) == F.col("__t"), "left")
     marked = stored(marked.select(text, F.col("__t").isNotNull().alias("__target")), shared_dir(spark))
     return score(docs, fit(marked, text, F.col("__target"), vocabulary, core), doc_id, text)
