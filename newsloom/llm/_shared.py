@@ -31,6 +31,7 @@ def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of long texts fits in a Python worker; shuffle files go when their query ends."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1")  # a large table joined with few keys is filtered before its shuffle
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -145,11 +146,29 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.nd
 
 def shingle_sets(texts: pa.Array, lower: bool = True, size: int = 5) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every text; a text of fewer words gives its whole sequence as one shingle."""
+    for row, own, _ in weighted_sets(texts, None, lower, size):
+        yield row, own
+
+
+def weighted_sets(texts: pa.Array, weights: np.ndarray | None, lower: bool = True, size: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """shingle_sets with, for each shingle, the sum of its words' weights; weights are found by the top bits of word hashes."""
     for row, raw, bounds in text_chunks(texts):
         hashes, _, _, first = words(raw, bounds, lower)
         joined, begin = windows(hashes, first, size)
+        if weights is not None:
+            total = np.concatenate(([0], np.cumsum(weights[(hashes >> np.uint64(64 - int(len(weights)).bit_length() + 1)).astype(np.int64)])))
+            at = np.repeat(first[:-1] - begin[:-1], np.diff(begin)) + np.arange(begin[-1])
+            sums = total[at + size] - total[at]
         for i in range(len(bounds) - 1):
             own = joined[begin[i] : begin[i + 1]]
+            if weights is not None:
+                if len(own):
+                    own, place = np.unique(own, return_index=True)
+                    yield row + i, own, sums[begin[i] : begin[i + 1]][place]
+                    continue
+                heavy = np.zeros(1 if first[i + 1] > first[i] else 0, np.int64)
+            else:
+                heavy = None
             if not len(own) and first[i + 1] > first[i]:
                 short = hashes[first[i] : first[i + 1]]
                 with np.errstate(over="ignore"):
@@ -157,7 +176,20 @@ def shingle_sets(texts: pa.Array, lower: bool = True, size: int = 5) -> Iterator
             if len(own) > 1:
                 own = np.sort(own)
                 own = own[np.concatenate(([True], own[1:] != own[:-1]))]
-            yield row + i, own
+            yield row + i, own, heavy
+
+
+def least_labels(i: np.ndarray, j: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """labels with i and j joined for each pair: the least label of a component, where labels[x] is a member of x's."""
+    while len(i):
+        m = np.minimum(labels[i], labels[j])
+        if (labels[i] == m).all() and (labels[j] == m).all():
+            break
+        for at in (labels[i], labels[j], i, j):
+            np.minimum.at(labels, at, m)
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+    return labels
 
 
 # --- connected components ---------------------------------------------------------------------

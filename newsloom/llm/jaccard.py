@@ -2,16 +2,19 @@
 
 The product's columns are shingles, and only those of a row's prefix are kept: in an order that puts rare shingles first,
 two sets of the wanted similarity share one of the first n - ceil(t n) + 1, so other columns cannot add a pair. Blocks are
-shuffle partitions of columns. Overlap counts of a pair are added over its shared columns, and the pair is dropped when
-the count and what can still follow stay under the overlap that its two sizes ask for; the rest are compared in whole.
+shuffle partitions of columns. Pairs of sizes
+that rule out the similarity are dropped; the others' overlaps are counted over whole sets and held against the bound that
+the two sizes give.
 
-Only components are wanted, so a column of m rows isn't multiplied out to m * m pairs: its first row is compared with each
-other one, components are formed, and only columns whose rows still lie in several components go on, small ones with all
-pairs across components, large ones with the next row. Every pair that shares a kept column is thus compared, or lies in one
-component already.
+Only components are wanted, so a column of m rows isn't multiplied out to m * m pairs. Its first row is compared with each
+other one, and components are formed. Columns whose other rows lie in one component are done. The rest are grouped by their
+first row. In a small group the product of its columns gives the pairs across components that can reach the bound, which are
+compared; a large one is multiplied out over whole sets in square tiles. Every pair that shares a kept column is thus
+compared, ruled out, or lies in one component already.
 
-The order comes from a sketch of 2**18 counters that counts every shingle of every text; its size is the same at any input
-size, and it decides only speed: any order gives the same links.
+The order: shingles that stand out in a sketch that counts every shingle of every text come last, the others go by the
+frequency of their words, rare ones first, so that shingles that many texts have by chance seldom are kept. The sketches have
+2**18 counters at any input size and decide only speed: any order gives the same links.
 
 Defined results: null, empty or wordless text: 0 shingles, linked with nothing. Repeated doc_ids are one vertex, with the
 links of all their rows; each row is returned. A null doc_id is returned with a null component. An empty table gives no rows.
@@ -23,48 +26,58 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import components, forget, shared_dir, shingle_sets, stored, tune
+from ._shared import components, forget, least_labels, shared_dir, shingle_sets, stored, text_chunks, tune, weighted_sets, windows, words
 
 SIZE, SIMILARITY, SLOT_BITS = 5, (75, 100), 18
-#: Rows of a column up to which all its pairs across components are compared at once; rounds of one row against the rest.
-SMALL, ROUNDS = 24, 12
+#: Rows of a group up to which its columns are multiplied; rows of a tile's side; columns multiplied at a time.
+SMALL, TILE, BLOCK = 400, 384, 4096
 
 
-def shingle_counts(docs: DataFrame, text: str = "text", bits: int = SLOT_BITS, size: int = SIZE) -> np.ndarray:
-    """How many distinct shingles of how many texts fall in each of 2**bits slots: a count of all texts, of fixed size."""
+def counted(docs: DataFrame, text: str = "text", bits: int = SLOT_BITS, size: int = SIZE, kinds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Counts over all texts in 2**bits slots each, of fixed size: of shingles, and (of two kinds) of words."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros((2, 1 << bits), np.int64)
         for batch in stream:
-            sets = [s for _, s in shingle_sets(batch.column(0), size=size)]
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["slot", "n"])
-
-    out = np.zeros(1 << bits, np.int64)
-    rows = docs.select(text).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return out
+            for _, raw, bounds in text_chunks(batch.column(0)):
+                hashes, _, _, first = words(raw, bounds, True)
+                joined, _ = windows(hashes, first, size)
+                for k, x in enumerate((joined, hashes)[:kinds]):
+                    counts[k] += np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        kind, slot = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(slot, pa.int32()), pa.array(counts[kind, slot])], ["kind", "slot", "n"])
+
+    out = np.zeros((2, 1 << bits), np.int64)
+    rows = docs.select(text).mapInArrow(run, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
+    out[rows["kind"].to_numpy(), rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    return out[0], out[1]
+
+
+def frequent(counts: np.ndarray) -> np.ndarray:
+    """Slots of the shingle count that stand out from the mean and its spread."""
+    mean = float(counts.mean())
+    return counts > mean + 6 * np.sqrt(mean) + 30
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY, size: int = SIZE) -> DataFrame:
+def prefixes(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY, size: int = SIZE) -> DataFrame:
     """(doc_id, n_shingles, same_as, prefix): the first shingles of each set, rare ones first; same_as instead of a prefix
     where an earlier row of the task has the same set."""
-    levels = np.minimum(np.log2(counts + 1.0) * 2, 63).astype(np.uint64)
+    shingles, single = counts
+    late = np.where(frequent(shingles), np.log2(shingles + 1.0) * 16, 0).astype(np.int64)
     up, down = similarity
-    shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
-    handed = docs.sparkSession.sparkContext.broadcast(levels)  # 2 MB at any input size
+    shift = np.uint64(64 - int(len(shingles)).bit_length() + 1)
+    handed = docs.sparkSession.sparkContext.broadcast((late, np.round(np.log2(single + 1.0) * 4).astype(np.int64)))  # 4 MB at any input size
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level_of, seen = handed.value, {}
+        (late, weights), seen = handed.value, {}
         for batch in stream:
             ids = batch.column(0).to_pylist()
             sizes, same, lists, lengths = [], [], [], []
-            for row, own in shingle_sets(batch.column(1), size=size):
+            for row, own, heavy in weighted_sets(batch.column(1), weights, size=size):
                 n, key = len(own), None
                 sizes.append(n)
                 if n and ids[row] is not None:
@@ -79,7 +92,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, doc_id: str = "doc_id", text:
                     lengths.append(-1)
                     continue
                 keep = n - -(-up * n // down) + 1
-                order = np.argsort(level_of[(own >> shift).astype(np.int64)] << np.uint64(58) | own >> np.uint64(6), kind="stable")[:keep]
+                order = np.argsort(heavy + 1000 * late[(own >> shift).astype(np.int64)], kind="stable")[:keep]
                 same.append(None)
                 lists.append(own[order])
                 lengths.append(keep)
@@ -113,16 +126,122 @@ def linked(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str
                     found.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in found], pa.int64()), pa.array([b[i] for i in found], pa.int64())], ["a", "b"])
 
-    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    one = few(pairs, "b").hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    wanted = few(stored(pairs.select("a").distinct()), "a").hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = one.hint("merge").join(wanted, "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _enough(similarity: tuple[int, int]):
-    """Whether k shared columns, the last at `last` of n, can reach the overlap for sizes n and m."""
+def product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of each left with each right set, added up over blocks of columns."""
+    sizes = np.array([len(x) for x in (*left, *right)])
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not sizes.sum():
+        return out
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    column, at, seen = np.unique(np.concatenate((*left, *right)), return_inverse=True, return_counts=True)
+    often = seen[at] > 1  # other columns add nothing
+    row, at = row[often], np.unique(at[often], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for begin in range(0, int(at[-1]) + 1 if len(at) else 0, BLOCK):
+        own = slice(*np.searchsorted(at, (begin, begin + BLOCK)))
+        dense = np.zeros((len(sizes), BLOCK), np.float32)
+        dense[row[own], at[own] - begin] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return out
+
+
+def tiles(members: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY, size: int = SIZE) -> DataFrame:
+    """(a, b) that span the links within each group: members (group, id, sides) multiplied out over whole sets, tile by tile."""
     up, down = similarity
-    k, n, m, last = (F.col(c) for c in ("k", "n", "m", "last"))
-    return (down * F.least(n, m) >= up * F.greatest(n, m)) & ((up + down) * F.least(k + n - 1 - last, m) >= up * (n + m))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    rows = few(dealt, "id").join(texts, "id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    rows = rows.select("id", "text", "group", "part", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"))
+
+    def multiply(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(frame["x"].iloc[0]), int(frame["y"].iloc[0])
+        sides = [frame[frame["part"] == k] for k in ((x,) if x == y else (x, y))]
+        sets = [[s for _, s in shingle_sets(pa.array(f["text"], pa.string()), size=size)] for f in sides]
+        ids = np.concatenate([f["id"].to_numpy(np.int64) for f in sides])
+        left, right = sets[0], sets[-1]
+        both = product(left, right)
+        total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+        i, j = np.nonzero((both > 0) & ((up + down) * both >= up * total))
+        j = j + (0 if x == y else len(left))
+        labels = least_labels(i, j, np.arange(len(ids)))
+        moved = np.flatnonzero(labels != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[moved], "b": ids[labels[moved]]})
+
+    return rows.groupBy("group", "x", "y").applyInPandas(multiply, "a long, b long")
+
+
+def whole_groups(stream: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches in the order of their first `keys` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        same = np.ones(batch.num_rows, bool)
+        for i in range(keys):
+            x = batch.column(i).to_numpy(zero_copy_only=False)
+            same &= x == x[-1]
+        other = np.flatnonzero(~same)
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last:
+            held.append(batch.slice(0, last))
+            yield pa.Table.from_batches(held)
+            held = []
+        elif held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def column_pairs(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(a, b, n): pairs of different components in a group (group, id, n, component, hs) that can be linked.
+
+    hs has half the bits of the row's kept columns that others have too: counts can only come out too high. Of two rows the one whose kept columns end first has all that it
+    shares among them, so the overlap is at most their common columns and what follows in that row: this must reach the bound
+    that the two sizes give.
+    """
+    up, down = similarity
+
+    def pairs_of(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        follows = -(-up * n // down) - 1
+        if len(ids) <= 12:
+            held = [set(x.tolist()) for x in sets]
+            both = np.array([[len(x & y) for y in held] for x in held])
+        else:
+            both = product(sets, sets)
+        can = (both > 0) & (component[:, None] != component[None, :]) & (ids[:, None] < ids[None, :])
+        can &= (up + down) * (both + np.maximum(follows[:, None], follows[None, :])) >= up * (n[:, None] + n[None, :])
+        can &= down * np.minimum(n[:, None], n[None, :]) >= up * np.maximum(n[:, None], n[None, :])
+        return np.nonzero(can)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(stream, 1):
+            group, ids, n, component = (table.column(i).to_numpy() for i in range(4))
+            lists = table.column(4).combine_chunks()
+            values, offsets = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            found: list[list[np.ndarray]] = [[], [], []]
+            for own in np.split(np.arange(len(group)), np.flatnonzero(group[1:] != group[:-1]) + 1):
+                if len(own) > 1 and (component[own] != component[own[0]]).any():
+                    i, j = pairs_of(ids[own], n[own], component[own], [values[offsets[r] : offsets[r + 1]] for r in own])
+                    for k, x in enumerate((ids[own[i]], ids[own[j]], n[own[j]])):
+                        found[k].append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in found], ["a", "b", "n"])
+
+    dealt = rows.select("group", "id", "n", "component", "hs").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "a long, b long, n long")
+
+
+def few(rows: DataFrame, key: str) -> DataFrame:
+    """rows, said to be few by a filter that holds for all: Spark then sends a bloom filter of their keys to the join's other side."""
+    return rows.where(F.col(key) >= F.lit(-(2**63)))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY, size: int = SIZE) -> DataFrame:
@@ -130,40 +249,35 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
     spark = docs.sparkSession
     tune(spark)
     folder = shared_dir(spark)
-    counts = shingle_counts(docs, text, size=size)
+    up, down = similarity
+    counts = counted(docs, text, size=size)
     sets = stored(prefixes(docs, counts, doc_id, text, similarity, size), folder)
     base = stored(sets.select("doc_id", "n_shingles", "same_as"), folder)
     columns = sets.where("prefix IS NOT NULL").select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "h"))
     centres = columns.groupBy("h").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z")).where("c < z").select("h", "c")
-    shared = stored(columns.join(centres, "h").select("h", "c", "doc_id", "n", "pos"), folder)
+    held = stored(columns.join(centres, "h").select("h", "c", "doc_id", "n", "pos"), folder)
+    shared = held.where("c <> doc_id")
     forget(spark, sets)
     sizes = base.where("same_as IS NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("m"))
-    edges = base.where("same_as IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
-    left = shared.where("c <> doc_id").select("h", F.col("c").alias("a"), F.col("doc_id").alias("b"), "n", "pos")
-    rounds = 0
-    found = []
-    while True:
-        counted = left.groupBy("a", "b", "n").agg(F.count("*").alias("k"), F.max("pos").alias("last"))
-        pairs = counted.join(sizes.withColumnRenamed("doc_id", "a"), "a").where(_enough(similarity)).select("a", "b").distinct()
-        found.append(stored(linked(stored(pairs, folder), docs, doc_id, text, similarity, size), folder))
-        links = edges
-        for f in found:
-            links = links.unionByName(f)
-        known = components(links, folder)
-        labels = known.withColumnRenamed("id", "doc_id")
-        open_rows = shared.where("c <> doc_id").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_columns = open_rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"), F.min("doc_id").alias("next")).where("x < y")
-        rest = stored(open_rows.join(open_columns.select("h", "rows", "next"), "h").select("h", "doc_id", "n", "pos", "component", "rows", "next"), folder)
-        rounds += 1
-        if rest.isEmpty():
-            break
-        few = F.col("rows") <= SMALL if rounds < ROUNDS else F.lit(True)
-        one, other = rest.where(few), rest.where(few).select("h", F.col("doc_id").alias("a"), F.col("component").alias("component_a"))
-        across = one.join(other, "h").where("a < doc_id AND component <> component_a").select("h", "a", F.col("doc_id").alias("b"), "n", "pos")
-        many = rest.where(~few)
-        heads = many.where("doc_id = next").select("h", F.col("component").alias("component_a")).distinct()
-        star = many.join(heads, "h").where("doc_id <> next AND component <> component_a").select("h", F.col("next").alias("a"), F.col("doc_id").alias("b"), "n", "pos")
-        left = across.unionByName(star)
-        shared = many.select("h", F.col("next").alias("c"), "doc_id", "n", "pos")
+    total = F.col("n") + F.col("m")
+    alike = (down * F.least("n", "m") >= up * F.greatest("n", "m")) & ((up + down) * (F.col("n") - F.col("pos")) >= up * total)
+    same = base.where("same_as IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sized = pairs.groupBy("a", "b").agg(F.max("n").alias("n"), F.min("pos").alias("pos")).join(sizes.withColumnRenamed("doc_id", "a"), "a").where(alike)
+        return stored(linked(stored(sized.select("a", "b"), folder), docs, doc_id, text, similarity, size), folder)
+
+    first = verified(shared.select(F.col("c").alias("a"), F.col("doc_id").alias("b"), "n", "pos"))
+    labels = components(same.unionByName(first), folder).withColumnRenamed("id", "doc_id")
+    labelled = stored(shared.join(labels.hint("merge"), "doc_id", "left").select("h", "c", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), folder)
+    several = labelled.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h")
+    members = stored(labelled.join(several, "h").select(F.col("c").alias("group"), F.col("doc_id").alias("id"), "n", "component").distinct(), folder)
+    groups = members.groupBy("group").agg(F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    sided = members.join(groups.select("group", F.when(F.col("rows") > SMALL, F.ceil(F.col("rows") / TILE)).cast("int").alias("sides")), "group")
+    spans = stored(tiles(sided.where("sides IS NOT NULL").select("group", "id", "sides"), docs, doc_id, text, similarity, size), folder)
+    few_members = sided.where("sides IS NULL").drop("sides")
+    kept = held.join(few_members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.expr("cast(h & 2147483647 as int)")).alias("hs"))
+    second = verified(column_pairs(few_members.join(kept, "id"), similarity).withColumn("pos", F.lit(0)))
+    known = components(same.unionByName(first).unionByName(spans).unionByName(second), folder)
     out = base.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select(F.col("doc_id").alias(doc_id), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import components, shared_dir, stored, tune
+from ._shared import components, least_labels, shared_dir, stored, tune
 
 COSINE, TREES, SPILL, LEAF, TILE, SAMPLE, LEAST = 0.9, 5, 0.02, 1500, 2500, 20_000, 24
 #: Dense clusters: sample vectors looked at, share of them that makes a cluster, most balls.
@@ -148,16 +148,7 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame | None, cosine: float, leaf
             else:
                 nb += np.bincount(j, wa[i], len(b)).astype(np.int64)
             jj = j if right is None else j + len(a)
-            while True:  # least label of each component
-                m = np.minimum(labels[i], labels[jj])
-                if (labels[i] == m).all() and (labels[jj] == m).all():
-                    break
-                np.minimum.at(labels, labels[i], m)
-                np.minimum.at(labels, labels[jj], m)
-                np.minimum.at(labels, i, m)
-                np.minimum.at(labels, jj, m)
-                while (labels[labels] != labels).any():
-                    labels = labels[labels]
+            labels = least_labels(i, jj, labels)
     return na, nb, labels
 
 
