@@ -6,8 +6,9 @@ window, and stands for all passages inside l..r that hold c, as they share the m
 joined; where windows of enough hash functions overlap in both texts, the stretch is aligned and verified shingle by
 shingle, at a Jaccard similarity of 0.75 or more.
 
-A min-hash of m windows isn't multiplied out to m * m pairs: every text is compared with the first one; windows whose centre
-lies in a verified passage are settled, and the rest of the min-hash goes on with all pairs. So that a short line that many
+A min-hash of m windows isn't multiplied out to m * m aligned pairs: every text is compared with the first one; windows whose
+centre lies in a verified passage are settled. For the rest of the min-hash the shingles around the centres are multiplied out
+in tiles, and each text is compared with the first one before it that shares enough of them. So that a short line that many
 texts share doesn't gather such rests, the shingles of short lines that a fixed-size count of all texts shows to be frequent
 come last in every hash function's order: they are centres only where nothing else is in a whole window.
 
@@ -20,6 +21,7 @@ rows. Further columns are kept by remove().
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._shared import forget, mix, shared_dir, stored, text_chunks, tune, windows, words
-from .jaccard import SLOT_BITS, shingle_counts
+from .jaccard import SLOT_BITS, counted, few, frequent, product, whole_groups
 
 #: Words of the shortest passage, hash functions, functions that must agree, similarity, words of a shingle.
 LEAST, HASHES, ENOUGH, SIMILARITY, SIZE = 50, 4, 2, 0.75, 5
+#: Rows of a tile's side where a min-hash is multiplied out.
+SIDE = 256
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64)
 
 
-def frequent(counts: np.ndarray) -> np.ndarray:
-    """Slots of the shingle count that stand out from the mean and its spread."""
-    mean = float(counts.mean())
-    return counts > mean + 6 * np.sqrt(mean) + 30
-
-
 def _lines(shingles: np.ndarray, begin: np.ndarray, hot: np.ndarray, longest: int) -> np.ndarray:
     """Marks runs of frequent shingles inside one text that are shorter than `longest`: lines that many texts share."""
     often = hot[(shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
@@ -65,41 +63,51 @@ def compact_windows(shingles: np.ndarray, begin: np.ndarray, hot: np.ndarray, wi
     Only shingles that are the least of some run of `width` can be centres, and the nearest lesser value of a centre is a
     centre itself, so the tree is built over these few alone. Of equal values the first counts as less.
     """
-    n = len(shingles)
-    out: list[tuple[np.ndarray, ...]] = []
-    sizes = np.diff(begin)
-    if n >= width and (sizes >= width).any():
-        change = np.zeros(n + 1, np.int64)
-        long = sizes >= width
-        np.add.at(change, begin[:-1][long], 1)
-        np.add.at(change, begin[1:][long] - width + 1, -1)
-        whole = np.cumsum(change[:n])[: n - width + 1] > 0
-        late = _lines(shingles, begin, hot, width // 2).astype(np.uint64) << np.uint64(63)
-        for k in range(hashes):
-            value = mix(shingles ^ _SEEDS[k]) >> np.uint64(1) | late
-            low = np.where(whole, _sliding(value, width, np.minimum), np.uint64(0))
-            edge = np.zeros(width - 1, np.uint64)
-            places = np.flatnonzero(_sliding(np.concatenate((edge, low, edge)), width, np.maximum) == value)
-            text = np.searchsorted(begin, places, "right") - 1
-            first, last = begin[text].tolist(), (begin[text + 1] - 1).tolist()
-            left, right, stack = first.copy(), last.copy(), []
-            values, at = value[places].tolist(), places.tolist()
-            now = -1
-            for i, (v, p, t) in enumerate(zip(values, at, first, strict=True)):
-                if t != now:
-                    stack, now = [], t
-                while stack and values[stack[-1]] > v:
-                    right[stack.pop()] = p - 1
-                if stack:
-                    left[i] = at[stack[-1]] + 1
-                stack.append(i)
-            left, right = np.array(left, np.int64), np.array(right, np.int64)
-            keep = right - left + 1 >= width
-            places, text = places[keep], text[keep]
-            out.append((text, mix(shingles[places] + _SEEDS[hashes + k]), left[keep] - begin[text], places - begin[text], right[keep] - begin[text], np.full(len(places), k)))
-    if not out:
+    n, texts = len(shingles), len(begin) - 1
+    if n < width or not (np.diff(begin) >= width).any():
         return tuple(np.zeros(0, np.uint64 if i == 1 else np.int64) for i in range(6))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    late = _lines(shingles, begin, hot, width - 6).astype(np.uint64) << np.uint64(63)
+    value = np.concatenate([mix(shingles ^ _SEEDS[k]) >> np.uint64(1) | late for k in range(hashes)])  # all functions, one after another
+    bounds = np.concatenate([*(begin[:-1] + k * n for k in range(hashes)), [hashes * n]])
+    long = np.diff(bounds) >= width
+    change = np.zeros(len(value) + 1, np.int64)
+    np.add.at(change, bounds[:-1][long], 1)
+    np.add.at(change, bounds[1:][long] - width + 1, -1)
+    low = np.where(np.cumsum(change[: len(value)])[: len(value) - width + 1] > 0, _sliding(value, width, np.minimum), np.uint64(0))
+    edge = np.zeros(width - 1, np.uint64)
+    places = np.flatnonzero(_sliding(np.concatenate((edge, low, edge)), width, np.maximum) == value)
+    owner = np.searchsorted(bounds, places, "right") - 1
+    left, right = _nearest(value[places], owner)
+    left = np.where(left >= 0, places[left] + 1, bounds[owner])
+    right = np.where(right < len(places), places[np.minimum(right, len(places) - 1)] - 1, bounds[owner + 1] - 1)
+    keep = right - left + 1 >= width
+    places, owner, left, right = places[keep], owner[keep], left[keep], right[keep]
+    kind, start = owner // max(texts, 1), bounds[owner]
+    return owner % max(texts, 1), mix(shingles[places - kind * n] + _SEEDS[hashes + kind]), left - start, places - start, right - start, kind
+
+
+def _nearest(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value, the place of the nearest one before it that isn't greater and after it that is less, of the same owner.
+
+    Everybody points at a neighbour and goes on to where that points while it doesn't serve, so pointers grow together. -1 and
+    len(value): none.
+    """
+    n = len(value)
+    left, right = np.arange(-1, n - 1), np.arange(1, n + 1)
+    if n:
+        first = np.concatenate(([True], owner[1:] != owner[:-1]))
+        left[first] = -1
+        right[np.concatenate((first[1:], [True]))] = n
+    open_left, open_right = np.flatnonzero(left >= 0), np.flatnonzero(right < n)
+    while len(open_left):
+        open_left = open_left[value[left[open_left]] > value[open_left]]
+        left[open_left] = left[left[open_left]]
+        open_left = open_left[left[open_left] >= 0]
+    while len(open_right):
+        open_right = open_right[value[right[open_right]] >= value[open_right]]
+        right[open_right] = right[right[open_right]]
+        open_right = open_right[right[open_right] < n]
+    return left, right
 
 
 def min_hashes(docs: DataFrame, hot: np.ndarray, least: int = LEAST) -> DataFrame:
@@ -121,13 +129,35 @@ def min_hashes(docs: DataFrame, hot: np.ndarray, least: int = LEAST) -> DataFram
 
 
 class Text:
-    """A text's shingles and compact windows."""
+    """A text's shingles and, when asked for, its compact windows."""
 
     def __init__(self, text: pa.Array, hot: np.ndarray, width: int) -> None:
         _, raw, bounds = next(text_chunks(text))
-        hashes, self.starts, self.ends, first = words(raw, bounds, True)
-        self.shingles, begin = windows(hashes, first, SIZE)
-        _, self.value, self.l, self.c, self.r, self.k = compact_windows(self.shingles, begin, hot, width)
+        hashes, _, _, first = words(raw, bounds, True)
+        self.shingles, self.begin = windows(hashes, first, SIZE)
+        self.hot, self.width = hot, width
+
+    @functools.cached_property
+    def sorted(self) -> np.ndarray:
+        return np.sort(self.shingles)
+
+    @functools.cached_property
+    def _windows(self) -> tuple[np.ndarray, ...]:
+        return compact_windows(self.shingles, self.begin, self.hot, self.width)
+
+    value, l, c, r, k = (property(lambda self, i=i: self._windows[i]) for i in range(1, 6))
+
+    def holds(self, other: "Text") -> np.ndarray:
+        """Which of the other text's shingles this one has."""
+        at = np.minimum(np.searchsorted(self.sorted, other.shingles), len(self.sorted) - 1)
+        return self.sorted[at] == other.shingles
+
+    def shares(self, other: "Text") -> bool:
+        """Whether some stretch of the other text has as many shingles of this one as a passage asks for."""
+        if len(self.shingles) < self.width or len(other.shingles) < self.width:
+            return False
+        total = np.concatenate(([0], np.cumsum(self.holds(other))))
+        return bool((total[self.width :] - total[: -self.width]).max() >= 2 * SIMILARITY / (1 + SIMILARITY) * self.width - 2)
 
 
 def shared_passages(a: Text, b: Text, width: int, enough: int = ENOUGH, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
@@ -141,52 +171,91 @@ def shared_passages(a: Text, b: Text, width: int, enough: int = ENOUGH, similari
     if not len(i):
         return []
     low_a, high_a, low_b, high_b, kind = a.l[i], a.r[i], b.l[j], b.r[j], a.k[i]
-    together = (np.minimum.outer(high_a, high_a) - np.maximum.outer(low_a, low_a) + 1 >= width) & (np.minimum.outer(high_b, high_b) - np.maximum.outer(low_b, low_b) + 1 >= width)
-    agree = np.array([len(np.unique(kind[row])) for row in together])
     out: list[tuple[int, int, int]] = []
-    for x in np.argsort(low_b - high_b, kind="stable"):  # longest windows first
+    covered = np.zeros(len(b.shingles), bool)
+    bit, anywhere = 1 << kind, a.holds(b)
+    for x in np.argsort(low_b - high_b, kind="stable").tolist():  # longest windows first
         centre, base = int(b.c[j[x]]), int(a.c[i[x]])
-        if agree[x] < enough or any(s <= centre <= e for s, e, _ in out):
+        if covered[centre]:
+            continue
+        together = np.minimum(high_a, high_a[x]) - np.maximum(low_a, low_a[x]) + 1 >= width
+        together &= np.minimum(high_b, high_b[x]) - np.maximum(low_b, low_b[x]) + 1 >= width
+        if int(np.bitwise_or.reduce(bit[together])).bit_count() < enough:
             continue
         la, ra, lb, rb = int(low_a[x]), int(high_a[x]), int(low_b[x]), int(high_b[x])
         near = a.shingles[la : ra + 1]
-        score = np.where(np.isin(b.shingles[lb : rb + 1], near), 1, -6)
-        mid = centre - lb
-        start = centre - int(np.cumsum(score[mid::-1]).argmax())
-        end = centre + int(np.cumsum(score[mid:]).argmax())
-        if end - start + 1 < width:
-            continue
-        ends = []
-        for place in (start, end):  # the matching places of a nearest to the diagonal
-            at = la + np.flatnonzero(near == b.shingles[place])
-            ends.append(int(at[np.abs(at - (place - centre + base)).argmin()]))
-        one, other = np.unique(a.shingles[min(ends) : max(ends) + 1]), np.unique(b.shingles[start : end + 1])
-        both = len(np.intersect1d(one, other, assume_unique=True))
-        if both >= similarity * (len(one) + len(other) - both):
-            out.append((start, end, min(ends)))
+        for inside in (anywhere[lb : rb + 1], None):  # first what a has anywhere, then what its window has
+            score = np.where(np.isin(b.shingles[lb : rb + 1], near) if inside is None else inside, 1, -6)
+            mid = centre - lb
+            start = centre - int(np.cumsum(score[mid::-1]).argmax())
+            end = centre + int(np.cumsum(score[mid:]).argmax())
+            if end - start + 1 < width:
+                break
+            ends = []
+            for place in (start, end):  # the matching places of a nearest to the diagonal
+                at = la + np.flatnonzero(near == b.shingles[place])
+                if len(at):
+                    ends.append(int(at[np.abs(at - (place - centre + base)).argmin()]))
+            if len(ends) == 2 and _alike(a.shingles[min(ends) : max(ends) + 1], b.shingles[start : end + 1], similarity):
+                out.append((start, end, min(ends)))
+                covered[start : end + 1] = True
+                break
     return out
 
 
+def _alike(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    if len(one) == len(other) and (one == other).all():
+        return True
+    one, other = np.unique(one), np.unique(other)
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both >= similarity * (len(one) + len(other) - both)
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, hot: np.ndarray, width: int) -> DataFrame:
-    """Rows of verified passages (doc_id, source_id, start, stop, source_start in words) and, with h, of settled min-hashes."""
+    """Rows of verified passages (doc_id, source_id, start, stop, source_start in words), and rows without source_id: of
+    settled min-hashes h, or of a text that is settled whole."""
     schema = "doc_id long, source_id long, start long, stop long, source_start long, h long"
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, one = None, None
+        last, said, one = None, None, None
+        held: list[np.ndarray] = []
+        masks: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            data, none = np.concatenate(held), np.concatenate(masks)
+            held.clear()
+            masks.clear()
+            return pa.RecordBatch.from_arrays([pa.array(data[:, i], mask=none[:, i]) for i in range(6)], ["doc_id", "source_id", "start", "stop", "source_start", "h"])
+
         for batch in stream:
-            rows: list[tuple] = []
             for n, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if a != last:
-                    last, one = a, Text(batch.column(2).slice(n, 1), hot, width)
+                if a != last or batch.column(2)[n].as_py() != said:
+                    last, said, one = a, batch.column(2)[n].as_py(), Text(batch.column(2).slice(n, 1), hot, width)
+                if batch.column(3)[n].as_py() == said:  # a copy: one passage, and nothing of it is left over
+                    if len(one.shingles) >= width:
+                        held.append(np.array([(b, a, 0, len(one.shingles) - 1 + SIZE, 0, 0), (b, 0, 0, 0, 0, 0)], np.int64))
+                        masks.append(np.array([[False] * 5 + [True], [False] + [True] * 5]))
+                    continue
                 other = Text(batch.column(3).slice(n, 1), hot, width)
-                for start, end, base in shared_passages(one, other, width):
-                    rows.append((b, a, start, end + SIZE, base, None))
-                    rows += [(b, None, None, None, None, h) for h in np.unique(other.value[(other.c >= start) & (other.c <= end)].view(np.int64)).tolist()]
-            names = ["doc_id", "source_id", "start", "stop", "source_start", "h"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names)
-
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+                found = shared_passages(one, other, width) if one.shares(other) else []
+                if not found:
+                    continue
+                held.append(np.array([(b, a, start, end + SIZE, base, 0) for start, end, base in found], np.int64))
+                masks.append(np.tile([False] * 5 + [True], (len(found), 1)))
+                inside = np.zeros(len(other.c), bool)
+                for start, end, _ in found:
+                    inside |= (other.c >= start) & (other.c <= end)
+                settled = np.unique(other.value[inside].view(np.int64))
+                held.append(np.column_stack([np.full(len(settled), b), *[np.zeros(len(settled), np.int64)] * 4, settled]))
+                masks.append(np.tile([False] + [True] * 4 + [False], (len(settled), 1)))
+                if sum(map(len, held)) > 50_000:
+                    yield rows()
+        if held:
+            yield rows()
+
+    one = few(pairs, "b").hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    wanted = few(stored(pairs.select("a").distinct()), "a").hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = one.hint("merge").join(wanted, "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
@@ -199,7 +268,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
     tune(spark)
     folder = shared_dir(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    hot = frequent(shingle_counts(texts))
+    hot = frequent(counted(texts, kinds=1)[0])
     width = least - SIZE + 1
     held = stored(min_hashes(texts, hot, least), folder)
     rows = held.select("doc_id", F.explode("hs").alias("h"))
@@ -208,13 +277,74 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
     forget(spark, held)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select("a", "b")
-        return stored(_verify(stored(counted, folder), texts, hot, width), folder)
+        often = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select("a", "b")
+        return stored(_verify(stored(often, folder), texts, hot, width), folder)
 
     found = checked(shared.select(F.col("c").alias("a"), F.col("doc_id").alias("b"), "h"))
-    rest = stored(shared.select("h", "doc_id").distinct().join(found.where("h IS NOT NULL").select("h", "doc_id").distinct(), ["h", "doc_id"], "left_anti"), folder)
-    again = checked(rest.join(rest.select("h", F.col("doc_id").alias("a")), "h").where("a < doc_id").select("a", F.col("doc_id").alias("b"), "h"))
-    return found.unionByName(again).where("h IS NULL").drop("h")
+    left = shared.select("h", "doc_id").distinct()
+    left = left.join(found.where("source_id IS NULL AND h IS NULL").select("doc_id").distinct(), "doc_id", "left_anti")
+    left = stored(left.join(found.where("h IS NOT NULL").select("h", "doc_id").distinct(), ["h", "doc_id"], "left_anti"), folder)
+    for key, least_rows in (("h", 2), ("doc_id", ENOUGH), ("h", 2)):  # only these can be in a pair with enough common min-hashes
+        left = left.join(left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= least_rows).select(key), key, "left_semi")
+    near = _near(_contexts(stored(left, folder), texts, hot, width, folder), width)
+    again = stored(_verify(stored(near.distinct(), folder), texts, hot, width), folder)
+    return found.unionByName(again).where("source_id IS NOT NULL").drop("h")
+
+
+def _contexts(rows: DataFrame, texts: DataFrame, hot: np.ndarray, width: int, folder: str) -> DataFrame:
+    """rows (h, doc_id) with around: the shingles within `width` of each centre that has the min-hash."""
+    wanted = rows.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
+    joined = few(stored(wanted, folder), "doc_id").hint("merge").join(texts, "doc_id").select("doc_id", "hs", "text")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            ids, hs, around = [], [], []
+            for n, (doc, mine) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                own = Text(batch.column(2).slice(n, 1), hot, width)
+                for w in np.flatnonzero(np.isin(own.value.view(np.int64), np.array(mine, np.int64))).tolist():
+                    c = int(own.c[w])
+                    ids.append(doc)
+                    hs.append(int(own.value[w].astype(np.int64)))
+                    around.append(np.unique(own.shingles[max(0, c - width) : c + width + 1]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(around, pa.list_(pa.int64()))], ["doc_id", "h", "around"])
+
+    return stored(joined.mapInArrow(run, "doc_id long, h long, around array<long>"), folder)
+
+
+def _near(rows: DataFrame, width: int) -> DataFrame:
+    """(a, b): for each text and min-hash the first text before it whose surroundings share as much as a passage asks for.
+
+    All rows of a min-hash are multiplied out, in tiles of bounded sides; only one row per text and tile is given on.
+    """
+    least = int(2 * SIMILARITY / (1 + SIMILARITY) * width) - 2
+    sides = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / SIDE).cast("int").alias("sides"))
+    dealt = rows.join(sides, "h").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("sides")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("h", "doc_id", "around", "part", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"))
+
+    def firsts(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if len(sets) <= 12:
+            held = [set(x.tolist()) for x in sets]
+            both = np.array([[len(x & y) for y in held] for x in held])
+        else:
+            both = product(sets, sets)
+        enough = (both >= least) & (ids[:, None] > ids[None, :])
+        first = np.where(enough, ids[None, :], np.iinfo(np.int64).max).min(axis=1)
+        has = enough.any(axis=1)
+        return first[has], ids[has]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(stream, 3):
+            keys = [table.column(i).to_numpy() for i in range(3)]
+            ids, lists = table.column(3).to_numpy(), table.column(4).combine_chunks()
+            values, offsets = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            change = np.zeros(max(0, len(ids) - 1), bool)
+            for k in keys:
+                change |= k[1:] != k[:-1]
+            found = [firsts(ids[own], [values[offsets[r] : offsets[r + 1]] for r in own]) for own in np.split(np.arange(len(ids)), np.flatnonzero(change) + 1) if len(own) > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]) if found else [], pa.int64()) for i in range(2)], ["a", "b"])
+
+    placed = dealt.select("h", "x", "y", "doc_id", "around").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+    return placed.mapInArrow(run, "a long, b long").distinct()
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
