@@ -1,0 +1,55 @@
+"""Entity mentions, with offsets, and sequence similarity: the functions that no built-in expresses, in Arrow batches."""
+
+from __future__ import annotations
+
+import difflib
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import functions as F, types as T
+
+_HANDLE, _TAG = re.compile(r"(?<![\w@])@[A-Za-z0-9_]{2,}"), re.compile(r"(?<![\w#])#[A-Za-z][\w]{1,}")
+_WORD = r"[A-Z][\w'’&-]*(?:\.\w+)*"
+_MANY, _ONE = re.compile(rf"\b{_WORD}(?:\s+{_WORD})+"), re.compile(r"\b[A-Z][A-Za-z0-9'’-]{2,}\b")
+#: Words that are no entity by themselves.
+COMMON = frozenset("the this that these those they there here and but for with from into what when where who why how all our their his her its now new tags update beats were was has have not you your".split())
+
+
+def clean_name(name: str) -> str:
+    """Compatibility form, without @, # and punctuation, case folded."""
+    text = unicodedata.normalize("NFKC", name).replace("@", "").replace("#", "").replace("’", "'")
+    return re.sub(r"\s+", " ", re.sub(r"[^\w]+", " ", text)).strip().casefold()
+
+
+def mentions_of(text: str | None) -> list[dict]:
+    """Handles, hashtags and capitalised names; of overlapping ones the surest, then the longest, then the first."""
+    found: list[tuple[float, int, int, int, str, str]] = []
+    for pattern, kind, sure in ((_HANDLE, "handle", 0.96), (_TAG, "hashtag", 0.66), (_MANY, "name", 0.88), (_ONE, "name", 0.70)):
+        for m in pattern.finditer(text or ""):
+            name = m.group().rstrip(".-'&")
+            key = clean_name(name)
+            if not key or kind == "name" and (key in COMMON or sure == 0.70 and name.isupper() and len(name) <= 3):
+                continue
+            found.append((-sure, -len(name), m.start(), m.start() + len(name), name, kind))
+    taken: list[tuple[int, int]] = []
+    out = []
+    for less, _, start, end, name, kind in sorted(found):
+        if all(end <= s or start >= e for s, e in taken):
+            taken.append((start, end))
+            out.append({"start": start, "end": end, "text": name, "name": clean_name(name), "kind": kind, "confidence": -less})
+    return sorted(out, key=lambda m: m["start"])
+
+
+MENTION = T.StructType([T.StructField(n, t) for n, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("text", T.StringType()), ("name", T.StringType()), ("kind", T.StringType()), ("confidence", T.DoubleType()))])
+
+
+@F.pandas_udf(T.ArrayType(MENTION))
+def mentions(texts: pd.Series) -> pd.Series:
+    return texts.map(mentions_of)
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity(probes: pd.Series, others: pd.Series) -> pd.Series:
+    """Ratio of matching runs of the first 1200 characters; 0 if one is empty."""
+    return pd.Series([difflib.SequenceMatcher(None, (a or "")[:1200], (b or "")[:1200]).ratio() if a and b else 0.0 for a, b in zip(probes, others, strict=True)], dtype="float64")
