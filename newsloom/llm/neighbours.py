@@ -241,14 +241,17 @@ def _links(classes: DataFrame, total: int, folder: str, cosine: float, trees: in
             two = two.select("*", F.pmod(F.xxhash64("id"), F.col("rims")).alias("y"), F.explode(F.sequence(F.lit(0), F.col("balls") - 1)).alias("x"))
             keep = ["id", "v", "w", "of", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")]
 
+            other = two.select(*keep).toDF(*(f"{c}2" for c in ("id", "v", "w", "of", "x", "y")))
+
             def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
                 if not len(left) or not len(right):
                     return pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
+                right = right.set_axis(left.columns, axis=1)
                 na, nb, labels = _compare(left, right, cosine, None)
                 both = pd.concat([left[["id"]], right[["id"]]], ignore_index=True)
                 return _found(both, np.concatenate((na, nb)), labels)
 
-            out.append(one.select(*keep).groupBy("of", "x", "y").cogroup(two.select(*keep).groupBy("of", "x", "y")).applyInPandas(meet, schema))
+            out.append(one.select(*keep).groupBy("of", "x", "y").cogroup(other.groupBy("of2", "x2", "y2")).applyInPandas(meet, schema))
 
     placed = sent.where("ball < 0").select("id", "v", "w", "leaves", F.explode("leaves").alias("leaf"))
     big = {r["leaf"]: -(-r["n"] // tile) for r in sent.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > tile).collect()}  # leaves of the forest
