@@ -145,3 +145,21 @@ def test_stream_upsert(spark, tmp_path):
         ingest.upsert_stream(source, f"{tmp_path}/out", f"{tmp_path}/check", ["url"], {"n": "greatest"}).awaitTermination()
     table = spark.read.parquet(ingest.latest(spark, f"{tmp_path}/out"))
     assert {r["url"]: r["n"] for r in table.collect()} == {"a": 3, "b": 5}
+
+
+def test_detail(spark):
+    from newsloom.operators import detail
+
+    sources = spark.createDataFrame([("a", "rss", {"priority": "3"}), ("b", "youtube", None)], "source_id string, platform string, settings map<string,string>")
+    found = {r["source_id"]: r["settings"] for r in detail.source_settings(sources).collect()}
+    assert found["a"]["priority"] == "3" and found["a"]["max_posts_per_fetch"] == "20" and found["b"]["max_posts_per_fetch"] == "5"
+    videos = spark.createDataFrame([("c", "1", "Agent Systems: Part 1", 3), ("c", "2", "Agent Systems: Part 2", 1), ("c", "3", "Something else entirely here", 2)], "channel string, video_id string, title string, published_at int")
+    assert [(r["title"], r["kind"], r["videos"]) for r in detail.video_groups(videos).collect()] == [("Agent Systems", "topic_cluster", ["2", "1"]), ("Something else entirely here", "single", ["3"])]
+    posts = spark.createDataFrame([(1,), (2,), (3,)], "post_id long")
+    covered = detail.backfill(posts, spark.createDataFrame([("t", 1), ("t", 9)], "track string, post_id long"))
+    assert {(r["track"], r["post_id"]) for r in covered.collect()} == {("t", 1), ("Other Updates", 2), ("Other Updates", 3)}
+    shown = detail.post_detail(posts, spark.createDataFrame([("x", 1)], "topic_id string, post_id long"), spark.createDataFrame([("x", "T", False)], "topic_id string, title string, is_outlier boolean"))
+    assert {r["post_id"]: r["topics_json"] for r in shown.collect()} == {1: '[{"title":"T","topic_id":"x","is_outlier":false}]', 2: "[]", 3: "[]"}
+    members = spark.createDataFrame([("b", 2, 1), ("b", 1, 2), ("b", 2, 3)], "artifact_id string, post_id long, position int")
+    marks = spark.createDataFrame([(2, "best", 0.9, 1), (2, "worse", 0.2, 2)], "post_id long, text string, importance double, position int")
+    assert [(r["post_id"], r["role"], r["highlight"]) for r in detail.artifact_references(members, marks).orderBy("place").collect()] == [(2, "primary", "best"), (1, "supporting", None)]
