@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -30,6 +32,7 @@ _powers: dict[str, np.ndarray] = {}
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of long texts fits in a Python worker; shuffle files go when their query ends."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1")  # a large table joined with few keys is filtered before its shuffle
 
@@ -86,7 +89,14 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def text_chunks(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def release() -> None:
+    """Gives freed memory back, as a worker is used again by tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def text_chunks(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row bounds) for runs of rows of about `most` bytes; a longer text is a run of its own. Null: empty."""
     if pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.large_binary()).cast(pa.large_string())
@@ -103,6 +113,8 @@ def text_chunks(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, np.
         last = min(last, n)
         yield row, raw[bounds[row] : bounds[last]], bounds[row : last + 1] - bounds[row]
         row = last
+    if n > 50:
+        release()
 
 
 def words(raw: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -27,13 +27,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ._shared import release
+
 #: The pre-token pattern of byte-level BPE, Latin letters of one byte in Latin-1, Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 #: Segments that a worker's cache holds, longest segment held, code points encoded at a time, bytes of text in a batch.
-CACHE, LONGEST, SLICE, BATCH = 400_000, 40, 1 << 20, 24 << 20
+CACHE, LONGEST, SLICE, BATCH = 250_000, 40, 1 << 20, 5 << 20
 _NO_RANK = np.int64(2**40)
 
 
@@ -44,6 +46,15 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b) if b in printable else chr(next(free)): b for b in range(256)}
 
 
+class _Numbers(dict):
+    """Numbers of segments; one that is asked for first gets the next number and is listed in new."""
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = number = len(self)
+        self.new.append(segment)
+        return number
+
+
 class Codec:
     """An encoder and decoder for one vocabulary file."""
 
@@ -58,7 +69,7 @@ class Codec:
         keys = left << 32 | right
         self.rank_of = np.argsort(keys, kind="stable")
         self.keys = keys[self.rank_of]
-        self.byte_id = np.zeros(256, np.int64)
+        self.byte_id = np.zeros(256, np.int32)
         for letter, b in letters.items():
             self.byte_id[b] = vocab[letter]
         parts: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
@@ -79,13 +90,14 @@ class Codec:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {t: k for k, t in enumerate(self.special)}
+        self.known = _Numbers({t: k for k, t in enumerate(self.special)})
+        self.known.new = []
         self.flat = np.array([*self.special.values()], np.int64)
         self.start = np.arange(len(self.special), dtype=np.int64)
         self.length = np.ones(len(self.special), np.int64)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a << 32 | b
+        keys = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.rank_of[at], _NO_RANK)
 
@@ -96,7 +108,8 @@ class Codec:
         n = len(symbol)
         if not n:
             return symbol, sizes
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        small = np.int32 if n < 2**31 else np.int64
+        after, before = np.arange(1, n + 1, dtype=small), np.arange(-1, n - 1, dtype=small)
         ends = np.cumsum(sizes)
         after[ends[ends > 0] - 1] = -1
         before[(ends - sizes)[sizes > 0]] = -1
@@ -195,20 +208,18 @@ class Codec:
         """The ids of each text."""
         if len(self.known) > CACHE:
             self._reset()
-        base, new, whole = len(self.known), [], True
+        whole = True
         numbers: list[list[np.ndarray]] = []
         known = self.known
+        new = known.new = []
         for text in texts:
             own = []
             simple = self.simple.fullmatch(text or "") is not None
             for found in self._segments(text or "", simple):
-                for s in set(found).difference(known):
-                    known[s] = len(known)
-                    new.append(s)
-                    whole &= simple
+                had = len(new)
                 own.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+                whole &= simple or len(new) == had
             numbers.append(own)
-        assert base + len(new) == len(known)
         if new:
             self._learn(new, whole)
         for own in numbers:
@@ -239,21 +250,26 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """One codec a worker and file, so that its cache serves later tasks."""
+    """One codec a worker and file."""
     return Codec(path)
 
 
-def batches(stream: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Record batches joined up to BATCH bytes, so that their new pre-tokens are merged together."""
+def batches(stream: Iterator[pa.RecordBatch], codec: Codec, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Record batches joined up to BATCH bytes, so that their new pre-tokens are merged together; then the cache is emptied."""
     held, size = [], 0
+    release()
     for batch in stream:
         held.append(batch)
         size += batch.column(column).nbytes
         if size >= BATCH:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, size = [], 0
+            release()
     if held and sum(b.num_rows for b in held):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    codec._reset()  # the worker goes on to tasks of other stages
+    held.clear()
+    release()
 
 
 #: Columns that encode() can give.
@@ -266,7 +282,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches(stream):
+        for batch in batches(stream, own):
             rows: dict[str, list] = {c: [] for c in outputs}
             keys = batch.column(0)
             for ids in own.encode(batch.column(1).to_pylist()):

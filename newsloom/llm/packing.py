@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int | None
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.codec(path)
         tail = np.array([end] if end is not None else [], "<u4")
-        for batch in bpe.batches(stream):
+        for batch in bpe.batches(stream, own):
             at, piece, start, length, crc, parts = [], [], [], [], [], []
             for row, ids in enumerate(own.encode(batch.column(1).to_pylist())):
                 ids = np.concatenate((ids.astype("<u4"), tail))
