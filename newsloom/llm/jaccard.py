@@ -52,7 +52,7 @@ def counted(docs: DataFrame, text: str = "text", bits: int = SLOT_BITS, size: in
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(slot, pa.int32()), pa.array(counts[kind, slot])], ["kind", "slot", "n"])
 
     out = np.zeros((2, 1 << bits), np.int64)
-    rows = docs.select(text).mapInArrow(run, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(text).mapInArrow(run, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
     out[rows["kind"].to_numpy(), rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return out[0], out[1]
 

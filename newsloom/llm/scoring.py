@@ -117,11 +117,11 @@ def fit(docs: DataFrame, text: str, target: Column, vocabulary: int = VOCABULARY
         yield from _counted(stream, lambda hashes, first, mark: (hashes, mark), ["h", "n", "t"])
 
     counted = stored(rows.mapInArrow(singles, "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
-    top = counted.orderBy(F.desc("n"), "h").limit(vocabulary).toPandas()  # the vocabulary
+    top = counted.orderBy(F.desc("n"), "h").limit(vocabulary).toArrow()  # the vocabulary
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    counts = np.stack([top["n"].to_numpy(np.float64), top["t"].to_numpy(np.float64)])
+    counts = np.stack([top["n"].to_numpy().astype(np.float64), top["t"].to_numpy().astype(np.float64)])
     others = np.array([total["n"], total["t"]], np.float64) - counts.sum(axis=1)
-    models = Models(top["h"].to_numpy(np.int64).view(np.uint64), counts, others, core)
+    models = Models(top["h"].to_numpy().view(np.uint64), counts, others, core)
     handed = docs.sparkSession.sparkContext.broadcast(models)
 
     def doubles(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +132,8 @@ def fit(docs: DataFrame, text: str, target: Column, vocabulary: int = VOCABULARY
         yield from _counted(stream, codes, ["p", "n", "t"])
 
     pairs = rows.mapInArrow(doubles, "p long, n long, t long").groupBy("p").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    found = stored(pairs).toPandas()  # at most core * core rows
-    models.fit_pairs(found["p"].to_numpy(np.int64), np.stack([found["n"].to_numpy(np.float64), found["t"].to_numpy(np.float64)]))
+    found = stored(pairs).toArrow()  # at most core * core rows
+    models.fit_pairs(found["p"].to_numpy(), np.stack([found["n"].to_numpy().astype(np.float64), found["t"].to_numpy().astype(np.float64)]))
     return models
 
 
