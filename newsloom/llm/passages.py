@@ -183,23 +183,62 @@ def shared_passages(a: Text, b: Text, width: int, enough: int = ENOUGH, similari
         if int(np.bitwise_or.reduce(bit[together])).bit_count() < enough:
             continue
         la, ra, lb, rb = int(low_a[x]), int(high_a[x]), int(low_b[x]), int(high_b[x])
-        near = a.shingles[la : ra + 1]
-        for inside in (anywhere[lb : rb + 1], None):  # first what a has anywhere, then what its window has
-            score = np.where(np.isin(b.shingles[lb : rb + 1], near) if inside is None else inside, 1, -6)
-            mid = centre - lb
-            start = centre - int(np.cumsum(score[mid::-1]).argmax())
-            end = centre + int(np.cumsum(score[mid:]).argmax())
-            if end - start + 1 < width:
-                break
-            ends = []
-            for place in (start, end):  # the matching places of a nearest to the diagonal
-                at = la + np.flatnonzero(near == b.shingles[place])
-                if len(at):
-                    ends.append(int(at[np.abs(at - (place - centre + base)).argmin()]))
-            if len(ends) == 2 and _alike(a.shingles[min(ends) : max(ends) + 1], b.shingles[start : end + 1], similarity):
-                out.append((start, end, min(ends)))
-                covered[start : end + 1] = True
-                break
+        found = _align(a.shingles[la : ra + 1], b.shingles[lb : rb + 1], anywhere[lb : rb + 1], base - la, centre - lb, width, similarity)
+        if found:
+            start, end, source = found
+            out.append((lb + start, lb + end, la + source))
+            covered[lb + start : lb + end + 1] = True
+    return out
+
+
+def _align(one: np.ndarray, other: np.ndarray, anywhere: np.ndarray, base: int, mid: int, width: int, similarity: float) -> tuple[int, int, int] | None:
+    """(first, last) of the best similar stretch of other that holds mid, and the first of one's; one's centre is base.
+
+    Every pair of a run of matches at or before mid and one at or after it is a candidate. The best has most matches less
+    others: a run beyond an edit is taken if it is longer than the edit, and a shorter one where the stretch is too short or
+    not similar without it. anywhere: which of other's shingles one's text has.
+    """
+    for inside in (anywhere, None):  # first what the text has, then what its window has
+        inside = np.isin(other, one) if inside is None else inside
+        edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+        starts, ends = starts[starts <= mid], ends[ends >= mid]
+        match, less = np.concatenate(([0], np.cumsum(inside))), np.concatenate(([0], np.cumsum(_again(other))))
+        gain = match - similarity * (np.arange(len(match)) - less)  # of a similar stretch it grows
+        if not len(starts) or not len(ends):
+            return None
+        starts, ends = starts[gain[starts] <= gain[ends + 1].max() + 1e-6], ends[gain[ends + 1] >= gain[starts].min() - 1e-6]
+        if not len(starts) or not len(ends) or ends[-1] - starts[0] + 1 < width:
+            return None
+    at_start, at_end = _places(one, other[starts], starts - mid + base), _places(one, other[ends], ends - mid + base)
+    twice = np.concatenate(([0], np.cumsum(_again(one))))
+    low, high = np.minimum(at_start[:, None], at_end[None, :]), np.maximum(at_start[:, None], at_end[None, :]) + 1
+    size = ends[None, :] + 1 - starts[:, None]
+    both = match[ends + 1][None, :] - match[starts][:, None]
+    most = high - low - (twice[high] - twice[low]) + size - (less[ends + 1][None, :] - less[starts][:, None])  # different shingles, at least
+    i, j = np.nonzero((size >= width) & ((1 + similarity) * both >= similarity * most))
+    for x in np.lexsort((-size[i, j], size[i, j] - 2 * both[i, j])).tolist():
+        start, end, source = int(starts[i[x]]), int(ends[j[x]]), int(low[i[x], j[x]])
+        if _alike(one[source : int(high[i[x], j[x]])], other[start : end + 1], similarity):
+            return start, end, source
+    return None
+
+
+def _again(x: np.ndarray) -> np.ndarray:
+    """Which values stand before too."""
+    out = np.ones(len(x), bool)
+    out[np.unique(x, return_index=True)[1]] = False
+    return out
+
+
+def _places(one: np.ndarray, wanted: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """For each wanted value, which one has, its place nearest to near."""
+    order = np.argsort(one, kind="stable")
+    low, high = np.searchsorted(one[order], wanted), np.searchsorted(one[order], wanted, "right")
+    out = order[low]
+    for k in np.flatnonzero(high - low > 1).tolist():
+        at = order[low[k] : high[k]]
+        out[k] = at[np.abs(at - near[k]).argmin()]
     return out
 
 

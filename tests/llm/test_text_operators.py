@@ -136,6 +136,43 @@ def test_compact_windows():
     assert got == wanted
 
 
+def near_passages():
+    """(words of the first text, words of the second, where the passage is) with one to three edits, Jaccard at least 0.75."""
+    cases = [(60, (30,)), (60, (14,)), (55, (26,)), (90, (30, 60)), (100, (33, 66)), (120, (30, 60, 90)), (120, (40, 80)), (75, (20, 50))]
+    for n, edits in cases:
+        for seed in range(12):
+            own = words(n, 1000 + 20 * n + seed)
+            changed = [f"x{seed}" if i in edits else w for i, w in enumerate(own)]
+            a, b = own, changed
+            if seed % 3 == 1:  # a word more
+                b = own[: edits[0]] + ["more"] + own[edits[0] :]
+            one, other = shingles(" ".join(a)), shingles(" ".join(b))
+            assert len(one & other) >= 0.75 * len(one | other)
+            yield words(70, 5000 + seed) + a + words(50, 6000 + seed), words(40, 7000 + seed) + b + words(80, 8000 + seed), (40, 40 + len(b)), (n, edits, seed)
+
+
+def test_edited_passages():
+    """Every near passage whose texts have a min-hash of it in common is found whole, short of the runs beyond outer edits."""
+    import numpy as np
+    import pyarrow as pa
+
+    hot, width = np.zeros(1 << jaccard.SLOT_BITS, bool), passages.LEAST - passages.SIZE + 1
+    tried = 0
+    for one, other, (low, high), case in near_passages():
+        a, b = (passages.Text(pa.array([" ".join(x)]), hot, width) for x in (one, other))
+        if len(set(a.value.tolist()) & set(b.value.tolist())) < 2:
+            continue
+        tried += 1
+        found = passages.shared_passages(a, b, width)
+        assert found, case
+        for start, end, _ in found:
+            own = set(b.shingles[start : end + 1].tolist())
+            assert start >= low and end + passages.SIZE <= high and end - start + 1 >= width
+            assert len(own & set(a.shingles.tolist())) >= 0.75 * len(own)
+        assert max(end + passages.SIZE - start for start, end, _ in found) >= 0.75 * (high - low), case
+    assert tried > 70
+
+
 def test_quality(docs):
     def counts(t):
         w = WORD.findall(t or "")
