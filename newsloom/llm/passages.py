@@ -32,7 +32,7 @@ from ._shared import forget, mix, shared_dir, stored, text_chunks, tune, windows
 from .jaccard import SLOT_BITS, counted, few, frequent, product, whole_groups
 
 #: Words of the shortest passage, hash functions, functions that must agree, similarity, words of a shingle.
-LEAST, HASHES, ENOUGH, SIMILARITY, SIZE = 50, 4, 2, 0.75, 5
+LEAST, HASHES, ENOUGH, SIMILARITY, SIZE = 50, 8, 2, 0.75, 5
 #: Rows of a tile's side where a min-hash is multiplied out.
 SIDE = 256
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64)
@@ -160,70 +160,86 @@ class Text:
         return bool((total[self.width :] - total[: -self.width]).max() >= 2 * SIMILARITY / (1 + SIMILARITY) * self.width - 2)
 
 
-def shared_passages(a: Text, b: Text, width: int, enough: int = ENOUGH, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
-    """(first shingle of b, last shingle of b, first shingle of a) of verified passages, from windows of equal min-hash."""
+def shared_passages(a: Text, b: Text, width: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+    """(first shingle of b, last shingle of b, first shingle of a) of verified passages, from windows of equal min-hash.
+
+    Every window of b is aligned with each of a that has its min-hash, until one is verified.
+    """
     if not len(a.value):
         return []
-    order = np.argsort(a.value, kind="stable")  # every window of b, with the first of a that has its min-hash
-    at = np.minimum(np.searchsorted(a.value[order], b.value), len(order) - 1)
-    j = np.flatnonzero(a.value[order][at] == b.value)
-    i = order[at[j]]
-    if not len(i):
-        return []
-    low_a, high_a, low_b, high_b, kind = a.l[i], a.r[i], b.l[j], b.r[j], a.k[i]
+    order = np.argsort(a.value, kind="stable")
+    first, last = np.searchsorted(a.value[order], b.value), np.searchsorted(a.value[order], b.value, "right")
+    j = np.flatnonzero(last > first)
     out: list[tuple[int, int, int]] = []
     covered = np.zeros(len(b.shingles), bool)
-    bit, anywhere = 1 << kind, a.holds(b)
-    for x in np.argsort(low_b - high_b, kind="stable").tolist():  # longest windows first
-        centre, base = int(b.c[j[x]]), int(a.c[i[x]])
-        if covered[centre]:
-            continue
-        together = np.minimum(high_a, high_a[x]) - np.maximum(low_a, low_a[x]) + 1 >= width
-        together &= np.minimum(high_b, high_b[x]) - np.maximum(low_b, low_b[x]) + 1 >= width
-        if int(np.bitwise_or.reduce(bit[together])).bit_count() < enough:
+    anywhere = a.holds(b)
+    for y in j[np.argsort(b.l[j] - b.r[j], kind="stable")].tolist():  # longest windows first
+        centre, lb, rb = int(b.c[y]), int(b.l[y]), int(b.r[y])
+        if covered[centre] or not _runs(b.shingles[lb : rb + 1], anywhere[lb : rb + 1], centre - lb, width, similarity):
             continue
-        la, ra, lb, rb = int(low_a[x]), int(high_a[x]), int(low_b[x]), int(high_b[x])
-        found = _align(a.shingles[la : ra + 1], b.shingles[lb : rb + 1], anywhere[lb : rb + 1], base - la, centre - lb, width, similarity)
-        if found:
-            start, end, source = found
-            out.append((lb + start, lb + end, la + source))
-            covered[lb + start : lb + end + 1] = True
+        for x in order[first[y] : last[y]].tolist():
+            la, ra = int(a.l[x]), int(a.r[x])
+            found = _align(a.shingles[la : ra + 1], b.shingles[lb : rb + 1], int(a.c[x]) - la, centre - lb, width, similarity)
+            if found:
+                start, end, source = found
+                out.append((lb + start, lb + end, la + source))
+                covered[lb + start : lb + end + 1] = True
+                break
     return out
 
 
-def _align(one: np.ndarray, other: np.ndarray, anywhere: np.ndarray, base: int, mid: int, width: int, similarity: float) -> tuple[int, int, int] | None:
+def _runs(other: np.ndarray, inside: np.ndarray, mid: int, width: int, similarity: float) -> tuple[np.ndarray, ...] | None:
+    """Where runs of matches begin at or before mid, and end at or after it, as far as a similar stretch can; sums of matches
+    and of repeated shingles up to each place. None: there is no similar stretch around mid."""
+    edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    starts, ends = starts[starts <= mid], ends[ends >= mid]
+    if not len(starts) or not len(ends) or ends[-1] - starts[0] + 1 < similarity * width:
+        return None
+    match, twice = np.concatenate(([0], np.cumsum(inside))), np.concatenate(([0], np.cumsum(_again(other))))
+    gain = match - similarity * (np.arange(len(match)) - twice)  # doesn't fall over a similar stretch
+    starts, ends = starts[gain[starts] <= gain[ends + 1].max() + 1e-6], ends[gain[ends + 1] >= gain[starts].min() - 1e-6]
+    return (starts, ends, match, twice) if len(starts) and len(ends) and ends[-1] - starts[0] + 1 >= similarity * width else None
+
+
+def _align(one: np.ndarray, other: np.ndarray, base: int, mid: int, width: int, similarity: float) -> tuple[int, int, int] | None:
     """(first, last) of the best similar stretch of other that holds mid, and the first of one's; one's centre is base.
 
     Every pair of a run of matches at or before mid and one at or after it is a candidate. The best has most matches less
     others: a run beyond an edit is taken if it is longer than the edit, and a shorter one where the stretch is too short or
-    not similar without it. anywhere: which of other's shingles one's text has.
+    not similar without it. Very many candidates are taken in blocks, the widest first.
     """
-    for inside in (anywhere, None):  # first what the text has, then what its window has
-        inside = np.isin(other, one) if inside is None else inside
-        edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-        starts, ends = starts[starts <= mid], ends[ends >= mid]
-        match, less = np.concatenate(([0], np.cumsum(inside))), np.concatenate(([0], np.cumsum(_again(other))))
-        gain = match - similarity * (np.arange(len(match)) - less)  # of a similar stretch it grows
-        if not len(starts) or not len(ends):
-            return None
-        starts, ends = starts[gain[starts] <= gain[ends + 1].max() + 1e-6], ends[gain[ends + 1] >= gain[starts].min() - 1e-6]
-        if not len(starts) or not len(ends) or ends[-1] - starts[0] + 1 < width:
-            return None
+    runs = _runs(other, np.isin(other, one), mid, width, similarity)
+    if not runs:
+        return None
+    starts, ends, match, twice = runs
     at_start, at_end = _places(one, other[starts], starts - mid + base), _places(one, other[ends], ends - mid + base)
-    twice = np.concatenate(([0], np.cumsum(_again(one))))
-    low, high = np.minimum(at_start[:, None], at_end[None, :]), np.maximum(at_start[:, None], at_end[None, :]) + 1
-    size = ends[None, :] + 1 - starts[:, None]
-    both = match[ends + 1][None, :] - match[starts][:, None]
-    most = high - low - (twice[high] - twice[low]) + size - (less[ends + 1][None, :] - less[starts][:, None])  # different shingles, at least
-    i, j = np.nonzero((size >= width) & ((1 + similarity) * both >= similarity * most))
-    for x in np.lexsort((-size[i, j], size[i, j] - 2 * both[i, j])).tolist():
-        start, end, source = int(starts[i[x]]), int(ends[j[x]]), int(low[i[x], j[x]])
-        if _alike(one[source : int(high[i[x], j[x]])], other[start : end + 1], similarity):
-            return start, end, source
+    again = np.concatenate(([0], np.cumsum(_again(one))))
+    plain = again[-1] == 0 and twice[-1] == 0
+    block = max(1, 1_000_000 // len(ends))
+    for k in range(0, len(starts), block):
+        own = starts[k : k + block, None]
+        low, high = np.minimum(at_start[k : k + block, None], at_end), np.maximum(at_start[k : k + block, None], at_end) + 1
+        size, both = ends + 1 - own, match[ends + 1] - match[own]
+        if plain:
+            most = np.maximum(high - low, width) + np.maximum(size, width)
+        else:  # different shingles, at least
+            most = high - low - (again[high] - again[low]) + size - (twice[ends + 1] - twice[own])
+        i, j = np.nonzero((size >= similarity * width) & ((1 + similarity) * both >= similarity * most))
+        for x in np.lexsort((-size[i, j], size[i, j] - 2 * both[i, j])).tolist():
+            start, end = _widened(int(own[i[x], 0]), int(ends[j[x]]), len(other), width)
+            source, last = _widened(int(low[i[x], j[x]]), int(high[i[x], j[x]]) - 1, len(one), width)
+            if _alike(one[source : last + 1], other[start : end + 1], similarity):
+                return start, end, source
     return None
 
 
+def _widened(start: int, end: int, n: int, width: int) -> tuple[int, int]:
+    """start and end, moved apart to `width` shingles inside 0..n-1 where they are nearer: an edit beside an end leaves fewer matches."""
+    start = max(0, min(start, end - width + 1))
+    return start, min(n - 1, max(end, start + width - 1))
+
+
 def _again(x: np.ndarray) -> np.ndarray:
     """Which values stand before too."""
     out = np.ones(len(x), bool)

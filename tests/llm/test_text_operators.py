@@ -173,6 +173,31 @@ def test_edited_passages():
     assert tried > 70
 
 
+def test_near_passage_recall(spark):
+    """Near passages against brute force: 400 pairs of 50 to 60 words at Jaccard 0.75 to 0.85, at most one of them missed."""
+    import random
+
+    rng, rows = random.Random(5), []
+
+    def fresh(n):
+        return [f"r{rng.randrange(10**9)}" for _ in range(n)]
+
+    for k in range(400):
+        own = fresh(50 + k % 11)
+        changed, n = list(own), 0
+        while n < 2:  # edits at the ends cost least, and so two of them stay above the bound
+            tried = list(changed)
+            tried[rng.choice((0, 1, 2, len(own) - 1, len(own) - 2, rng.randrange(len(own))))] = f"e{k}x{n}"
+            one, other = shingles(" ".join(own)), shingles(" ".join(tried))
+            if len(one & other) < 0.75 * len(one | other):
+                break
+            changed, n = tried, n + 1
+        rows.append((2 * k, " ".join(fresh(60) + own + fresh(60))))
+        rows.append((2 * k + 1, " ".join(fresh(60) + changed + fresh(60))))
+    found = {(r["doc_id"], r["source_id"]) for r in passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({(2 * k + 1, 2 * k) for k in range(400)} - found) <= 1
+
+
 def test_quality(docs):
     def counts(t):
         w = WORD.findall(t or "")
