@@ -8,9 +8,10 @@ shingle, at a Jaccard similarity of 0.75 or more.
 
 A min-hash of m windows isn't multiplied out to m * m aligned pairs: every text is compared with the first one; windows whose
 centre lies in a verified passage are settled. For the rest of the min-hash the shingles around the centres are multiplied out
-in tiles, and each text is compared with the first one before it that shares enough of them. So that a short line that many
-texts share doesn't gather such rests, the shingles of short lines that a fixed-size count of all texts shows to be frequent
-come last in every hash function's order: they are centres only where nothing else is in a whole window.
+in tiles with those of all its texts, settled ones too, and each text is compared with those before it that share enough of
+them: in rounds, the first ones first, as long as none settles it. So that a short line that many texts share doesn't gather
+such rests, the shingles of short lines that a fixed-size count of all texts shows to be frequent come last in every hash
+function's order: they are centres only where nothing else is in a whole window.
 
 Results are passages of a text that an earlier one (by doc_id) has too; removing them leaves the first one.
 
@@ -35,6 +36,8 @@ from .jaccard import SLOT_BITS, counted, few, frequent, product, whole_groups
 LEAST, HASHES, ENOUGH, SIMILARITY, SIZE = 50, 8, 2, 0.75, 5
 #: Rows of a tile's side where a min-hash is multiplied out.
 SIDE = 256
+#: Candidates of a text, min-hash and tile that are verified in each round.
+ROUNDS = (1,)
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64)
 
 
@@ -327,79 +330,134 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
     width = least - SIZE + 1
     held = stored(min_hashes(texts, hot, least), folder)
     rows = held.select("doc_id", F.explode("hs").alias("h"))
-    first = rows.groupBy("h").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z")).where("c < z").select("h", "c")
-    shared = stored(rows.join(first, "h").where("c <> doc_id").select("h", "c", "doc_id"), folder)
+    first = rows.groupBy("h").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z"), F.count("*").alias("holders")).where("c < z").select("h", "c", "holders")
+    shared = stored(rows.join(first, "h").where("c <> doc_id").select("h", "c", "doc_id", "holders").distinct(), folder)
     forget(spark, held)
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        often = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select("a", "b")
-        return stored(_verify(stored(often, folder), texts, hot, width), folder)
-
-    found = checked(shared.select(F.col("c").alias("a"), F.col("doc_id").alias("b"), "h"))
-    left = shared.select("h", "doc_id").distinct()
-    left = left.join(found.where("source_id IS NULL AND h IS NULL").select("doc_id").distinct(), "doc_id", "left_anti")
-    left = stored(left.join(found.where("h IS NOT NULL").select("h", "doc_id").distinct(), ["h", "doc_id"], "left_anti"), folder)
-    for key, least_rows in (("h", 2), ("doc_id", ENOUGH), ("h", 2)):  # only these can be in a pair with enough common min-hashes
-        left = left.join(left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= least_rows).select(key), key, "left_semi")
-    near = _near(_contexts(stored(left, folder), texts, hot, width, folder), width)
-    again = stored(_verify(stored(near.distinct(), folder), texts, hot, width), folder)
-    return found.unionByName(again).where("source_id IS NOT NULL").drop("h")
+    pairs = shared.groupBy(F.col("c").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select("a", "b")
+    tried = stored(pairs, folder)
+    found = stored(_verify(tried, texts, hot, width), folder)
+    around = _contexts(stored(_open(shared, tried, found), folder), texts, hot, width, folder)
+    left = None
+    for most in ROUNDS:
+        near = stored(_near(around, left, most, width), folder)
+        pairs = stored(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), folder)
+        again = stored(_verify(pairs, texts, hot, width), folder)
+        found, tried = found.unionByName(again), tried.unionByName(pairs)
+        if most is None:
+            break
+        left = near.groupBy("h", "x", F.col("b").alias("doc_id")).agg(F.max("a").alias("after"), F.count("*").alias("n")).where(F.col("n") >= most).drop("n")
+        left = stored(_unsettled(left, found), folder)
+        forget(spark, near)
+        if left.isEmpty():
+            break
+    return found.where("source_id IS NOT NULL").drop("h")
+
+
+def _unsettled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (h, doc_id, ...) without those that found settles."""
+    rows = rows.join(found.where("source_id IS NULL AND h IS NULL").select("doc_id").distinct(), "doc_id", "left_anti")
+    return rows.join(found.where("h IS NOT NULL").select("h", "doc_id").distinct(), ["h", "doc_id"], "left_anti")
+
+
+def _open(shared: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame:
+    """(h, doc_id, open): min-hashes of texts that no passage explains yet, and with open = 0 all texts that can be their sources.
+
+    Settled texts and first holders stay as sources; a copy of an earlier text doesn't, as that one has all it has. A text with
+    fewer than ENOUGH min-hashes that an earlier one has isn't open. Of a min-hash with two holders, the pair may have been
+    tried; else the pair has just this one, or it has others, which are open, or settled by a third text.
+    """
+    left = _unsettled(shared, found)
+    many = shared.groupBy("doc_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= ENOUGH).select("doc_id")
+    left = left.join(many, "doc_id", "left_semi")
+    settled = found.where("h IS NOT NULL").select("doc_id").distinct()
+    two = left.where("holders = 2").join(settled, "doc_id", "left_semi").join(tried.select(F.col("a").alias("c"), F.col("b").alias("doc_id")), ["c", "doc_id"], "left_anti")
+    left = left.where("holders > 2").select("h", "c", "doc_id").unionByName(two.select("h", "c", "doc_id"))
+    copies = found.where("source_id IS NULL AND h IS NULL").select("doc_id").distinct()
+    source = shared.join(left.select("h").distinct(), "h", "left_semi").join(copies, "doc_id", "left_anti").select("h", "doc_id", F.lit(0).alias("open"))
+    holders = left.select("h", F.col("c").alias("doc_id"), F.lit(0).alias("open")).distinct()
+    rows = source.unionByName(holders).unionByName(left.select("h", "doc_id", F.lit(1).alias("open")))
+    return rows.groupBy("h", "doc_id").agg(F.max("open").alias("open"))
 
 
 def _contexts(rows: DataFrame, texts: DataFrame, hot: np.ndarray, width: int, folder: str) -> DataFrame:
-    """rows (h, doc_id) with around: the shingles within `width` of each centre that has the min-hash."""
-    wanted = rows.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    joined = few(stored(wanted, folder), "doc_id").hint("merge").join(texts, "doc_id").select("doc_id", "hs", "text")
+    """rows (h, doc_id, open) with around: the shingles within `width` of each centre that has the min-hash."""
+    wanted = rows.groupBy("doc_id").agg(F.collect_list(F.when(F.col("open") == 1, F.col("h"))).alias("hs"), F.collect_list(F.when(F.col("open") == 0, F.col("h"))).alias("others"))
+    joined = few(stored(wanted, folder), "doc_id").hint("merge").join(texts, "doc_id").select("doc_id", "hs", "others", "text")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            ids, hs, around = [], [], []
-            for n, (doc, mine) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                own = Text(batch.column(2).slice(n, 1), hot, width)
-                for w in np.flatnonzero(np.isin(own.value.view(np.int64), np.array(mine, np.int64))).tolist():
-                    c = int(own.c[w])
-                    ids.append(doc)
-                    hs.append(int(own.value[w].astype(np.int64)))
-                    around.append(np.unique(own.shingles[max(0, c - width) : c + width + 1]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(around, pa.list_(pa.int64()))], ["doc_id", "h", "around"])
-
-    return stored(joined.mapInArrow(run, "doc_id long, h long, around array<long>"), folder)
-
-
-def _near(rows: DataFrame, width: int) -> DataFrame:
-    """(a, b): for each text and min-hash the first text before it whose surroundings share as much as a passage asks for.
-
-    All rows of a min-hash are multiplied out, in tiles of bounded sides; only one row per text and tile is given on.
+            ids, hs, is_open, around = [], [], [], []
+            for n, doc in enumerate(batch.column(0).to_pylist()):
+                own = Text(batch.column(3).slice(n, 1), hot, width)
+                for column in (1, 2):
+                    mine = batch.column(column)[n].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    for w in np.flatnonzero(np.isin(own.value.view(np.int64), mine)).tolist():
+                        c = int(own.c[w])
+                        ids.append(doc)
+                        hs.append(int(own.value[w].astype(np.int64)))
+                        is_open.append(2 - column)
+                        around.append(np.unique(own.shingles[max(0, c - width) : c + width + 1]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(is_open, pa.int32()), pa.array(around, pa.list_(pa.int64()))], ["doc_id", "h", "open", "around"])
+
+    return stored(joined.mapInArrow(run, "doc_id long, h long, open int, around array<long>"), folder)
+
+
+def _near(rows: DataFrame, left: DataFrame | None, most: int | None, width: int) -> DataFrame:
+    """(h, x, a, b): for each open text and min-hash the first `most` texts before it in each part x of the holders, or all,
+    whose surroundings share as much as a passage asks for. left (h, x, doc_id, after): only these, and texts after `after`.
+
+    Open rows and all rows of a min-hash are multiplied out, in tiles of bounded sides.
     """
     least = int(2 * SIMILARITY / (1 + SIMILARITY) * width) - 2
-    sides = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / SIDE).cast("int").alias("sides"))
-    dealt = rows.join(sides, "h").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("sides")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("h", "doc_id", "around", "part", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"))
-
-    def firsts(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        if len(sets) <= 12:
+    sizes = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum("open").alias("u")).where("n > 1 AND u > 0")
+    dealt = rows.join(sizes.select("h", *[F.ceil(F.col(c) / SIDE).cast("int").alias(f"{c}_sides") for c in "nu"]), "h")
+    part = F.xxhash64("doc_id")
+    sides = [F.pmod(part, F.col(f"{c}_sides")).cast("int") for c in "nu"]
+    single = F.col("n_sides") == 1  # then a row is source and, if open, target; otherwise an open row is dealt twice
+    source = dealt.where(~(single & (F.col("open") == 1))).select("h", sides[0].alias("x"), F.explode(F.sequence(F.lit(0), F.col("u_sides") - 1)).alias("y"), "doc_id", F.lit(0).alias("role"), "around")
+    target = dealt.where("open = 1").select("h", F.explode(F.sequence(F.lit(0), F.col("n_sides") - 1)).alias("x"), sides[1].alias("y"), "doc_id", F.when(single, 2).otherwise(1).alias("role"), "around")
+    placed = source.unionByName(target)
+    if left is None:
+        placed = placed.withColumn("after", F.lit(-(2**63)).cast("long"))
+    else:
+        placed = placed.join(left.select("h", "x").distinct(), ["h", "x"], "left_semi").join(left, ["h", "x", "doc_id"], "left")
+        placed = placed.where("role <> 1 OR after IS NOT NULL").withColumn("role", F.when(F.col("after").isNull(), 0).otherwise(F.col("role")))
+        placed = placed.withColumn("after", F.coalesce("after", F.lit(-(2**63)).cast("long")))
+
+    def candidates(ids: np.ndarray, role: np.ndarray, after: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        target, source = np.flatnonzero(role > 0), np.flatnonzero(role != 1)
+        if not len(target) or not len(source):
+            return []
+        if len(ids) <= 12:
             held = [set(x.tolist()) for x in sets]
-            both = np.array([[len(x & y) for y in held] for x in held])
+            both = np.array([[len(held[i] & held[j]) for j in source] for i in target])
         else:
-            both = product(sets, sets)
-        enough = (both >= least) & (ids[:, None] > ids[None, :])
-        first = np.where(enough, ids[None, :], np.iinfo(np.int64).max).min(axis=1)
-        has = enough.any(axis=1)
-        return first[has], ids[has]
+            both = product([sets[i] for i in target], [sets[j] for j in source])
+        mine, theirs = ids[target], ids[source]
+        enough = (both >= least) & (mine[:, None] > theirs[None, :]) & (theirs[None, :] > after[target][:, None])
+        out = []
+        for b in np.unique(mine[enough.any(axis=1)]).tolist():
+            out += [(a, b) for a in np.unique(theirs[enough[mine == b].any(axis=0)])[:most].tolist()]
+        return out
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(stream, 3):
             keys = [table.column(i).to_numpy() for i in range(3)]
-            ids, lists = table.column(3).to_numpy(), table.column(4).combine_chunks()
+            ids, role, after = (table.column(i).to_numpy() for i in (3, 4, 5))
+            lists = table.column(6).combine_chunks()
             values, offsets = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
             change = np.zeros(max(0, len(ids) - 1), bool)
             for k in keys:
                 change |= k[1:] != k[:-1]
-            found = [firsts(ids[own], [values[offsets[r] : offsets[r + 1]] for r in own]) for own in np.split(np.arange(len(ids)), np.flatnonzero(change) + 1) if len(own) > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]) if found else [], pa.int64()) for i in range(2)], ["a", "b"])
-
-    placed = dealt.select("h", "x", "y", "doc_id", "around").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+            found: list[tuple[int, int, int, int]] = []
+            for own in np.split(np.arange(len(ids)), np.flatnonzero(change) + 1):
+                h, x = int(keys[0][own[0]]), int(keys[1][own[0]])
+                found += [(h, x, a, b) for a, b in candidates(ids[own], role[own], after[own], [values[offsets[r] : offsets[r + 1]] for r in own])]
+            columns = np.array(found, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[:, i].astype(np.int32) if i == 1 else columns[:, i]) for i in range(4)], ["h", "x", "a", "b"])
+
+    placed = placed.select("h", "x", "y", "doc_id", "role", "after", "around").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+    return placed.mapInArrow(run, "h long, x int, a long, b long")
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:

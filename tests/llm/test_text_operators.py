@@ -198,6 +198,24 @@ def test_near_passage_recall(spark):
     assert len({(2 * k + 1, 2 * k) for k in range(400)} - found) <= 1
 
 
+def replaced(own, places, mark):
+    return [f"{mark}{i}" if i in places else w for i, w in enumerate(own)]
+
+
+def test_drifting_copies(spark):
+    """Each copy is near the one before it and not near the first: a settled text is a source for later ones."""
+    rows = []
+    for k in range(12):
+        own = words(60, 100 * k + 7)
+        second = replaced(own, (12,), f"s{k}x")
+        third = replaced(second, (48,), f"t{k}x")  # 0.84 like the second, 0.70 like the first
+        for i, passage in enumerate((own, second, third)):
+            rows.append((10 * k + i, " ".join(replaced(range(80), range(80), f"a{k}x{i}x") + passage + replaced(range(80), range(80), f"b{k}x{i}x"))))
+    found = {(r["doc_id"], r["source_id"]) for r in passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(12):
+        assert (10 * k + 1, 10 * k) in found and (10 * k + 2, 10 * k + 1) in found
+
+
 def test_quality(docs):
     def counts(t):
         w = WORD.findall(t or "")
