@@ -36,8 +36,8 @@ from .jaccard import SLOT_BITS, counted, few, frequent, product, whole_groups
 LEAST, HASHES, ENOUGH, SIMILARITY, SIZE = 50, 8, 2, 0.75, 5
 #: Rows of a tile's side where a min-hash is multiplied out.
 SIDE = 256
-#: Candidates of a text, min-hash and tile that are verified in each round.
-ROUNDS = (1,)
+#: Candidates of a text, min-hash and tile that are verified in each round, while none before settles it; in the last all that are left.
+ROUNDS = (2, 16, None)
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64)
 
 

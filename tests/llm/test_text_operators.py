@@ -216,6 +216,19 @@ def test_drifting_copies(spark):
         assert (10 * k + 1, 10 * k) in found and (10 * k + 2, 10 * k + 1) in found
 
 
+def test_weaker_partner_first(spark):
+    """Partners of smaller id that share 37 and more shingles around a centre and aren't similar don't hide one that is."""
+    rows = []
+    for k in range(12):
+        own = words(90, 100 * k + 17)
+        weak = [replaced(own, range(2 + i, 90, 18), f"v{k}x{i}x") for i in range(16)]  # stretches of 17 words, 0.64 alike at most
+        for i, passage in enumerate((*weak, own, own)):
+            rows.append((20 * k + i, " ".join(replaced(range(80), range(80), f"a{k}x{i}x") + passage + replaced(range(80), range(80), f"b{k}x{i}x"))))
+    found = {(r["doc_id"], r["source_id"]) for r in passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(12):
+        assert (20 * k + 17, 20 * k + 16) in found
+
+
 def test_quality(docs):
     def counts(t):
         w = WORD.findall(t or "")
