@@ -38,6 +38,8 @@ LEAST, HASHES, ENOUGH, SIMILARITY, SIZE = 50, 8, 2, 0.75, 5
 SIDE = 256
 #: Candidates of a text, min-hash and tile that are verified in each round, while none before settles it; in the last all that are left.
 ROUNDS = (2, 16, None)
+#: Pairs of windows of two texts that are held at once.
+MOST_PAIRS = 20_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64)
 
 
@@ -163,26 +165,55 @@ class Text:
         return bool((total[self.width :] - total[: -self.width]).max() >= 2 * SIMILARITY / (1 + SIMILARITY) * self.width - 2)
 
 
-def shared_passages(a: Text, b: Text, width: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+def shared_passages(a: Text, b: Text, width: int, enough: int = ENOUGH, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
     """(first shingle of b, last shingle of b, first shingle of a) of verified passages, from windows of equal min-hash.
 
-    Every window of b is aligned with each of a that has its min-hash, until one is verified.
+    Every centre of b is aligned with each of a that has its min-hash, over all that their windows hold, where windows of
+    enough functions overlap in both texts (of more than MOST_PAIRS pairs of windows that isn't asked).
     """
     if not len(a.value):
         return []
     order = np.argsort(a.value, kind="stable")
     first, last = np.searchsorted(a.value[order], b.value), np.searchsorted(a.value[order], b.value, "right")
     j = np.flatnonzero(last > first)
+    if not len(j):
+        return []
+    n = (last - first)[j]
+    low_a = None
+    if n.sum() <= MOST_PAIRS:
+        y, x = np.repeat(j, n), order[np.repeat(first[j] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        low_a, high_a, low_b, high_b, bit = a.l[x], a.r[x], b.l[y], b.r[y], 1 << b.k[y]
+    j = j[np.argsort(b.c[j], kind="stable")]
+    groups = np.split(j, np.flatnonzero(np.diff(b.c[j])) + 1)
+    hulls = [(int(b.l[own].min()), int(b.r[own].max())) for own in groups]
     out: list[tuple[int, int, int]] = []
     covered = np.zeros(len(b.shingles), bool)
-    anywhere = a.holds(b)
-    for y in j[np.argsort(b.l[j] - b.r[j], kind="stable")].tolist():  # longest windows first
-        centre, lb, rb = int(b.c[y]), int(b.l[y]), int(b.r[y])
-        if covered[centre] or not _runs(b.shingles[lb : rb + 1], anywhere[lb : rb + 1], centre - lb, width, similarity):
+    anywhere, back = a.holds(b), b.holds(a)
+    possible: dict[int, bool] = {}
+    by_centre = np.argsort(a.c, kind="stable")
+    for g in sorted(range(len(groups)), key=lambda g: hulls[g][0] - hulls[g][1]):  # longest windows first
+        own, (lb, rb) = groups[g], hulls[g]
+        centre = int(b.c[own[0]])
+        if covered[centre]:
+            continue
+        theirs = np.concatenate([order[first[w] : last[w]] for w in own])
+        if not _runs(b.shingles[lb : rb + 1], anywhere[lb : rb + 1], centre - lb, width, similarity):
             continue
-        for x in order[first[y] : last[y]].tolist():
-            la, ra = int(a.l[x]), int(a.r[x])
-            found = _align(a.shingles[la : ra + 1], b.shingles[lb : rb + 1], int(a.c[x]) - la, centre - lb, width, similarity)
+        for base in np.unique(a.c[theirs]).tolist():
+            if base not in possible:  # the same from the other side, over all windows of a that have this centre
+                own_a = by_centre[np.searchsorted(a.c[by_centre], base) : np.searchsorted(a.c[by_centre], base, "right")]
+                la, ra = int(a.l[own_a].min()), int(a.r[own_a].max())
+                possible[base] = _runs(a.shingles[la : ra + 1], back[la : ra + 1], base - la, width, similarity) is not None
+            if not possible[base]:
+                continue
+            same = theirs[a.c[theirs] == base]
+            la, ra = int(a.l[same].min()), int(a.r[same].max())
+            if low_a is not None:
+                together = np.minimum(high_a, ra) - np.maximum(low_a, la) + 1 >= width
+                together &= np.minimum(high_b, rb) - np.maximum(low_b, lb) + 1 >= width
+                if int(np.bitwise_or.reduce(bit[together])).bit_count() < enough:
+                    continue
+            found = _align(a.shingles[la : ra + 1], b.shingles[lb : rb + 1], base - la, centre - lb, width, similarity)
             if found:
                 start, end, source = found
                 out.append((lb + start, lb + end, la + source))
@@ -212,7 +243,8 @@ def _align(one: np.ndarray, other: np.ndarray, base: int, mid: int, width: int,
     others: a run beyond an edit is taken if it is longer than the edit, and a shorter one where the stretch is too short or
     not similar without it. Very many candidates are taken in blocks, the widest first.
     """
-    runs = _runs(other, np.isin(other, one), mid, width, similarity)
+    ranked = np.sort(one)
+    runs = _runs(other, ranked[np.minimum(np.searchsorted(ranked, other), len(ranked) - 1)] == other, mid, width, similarity)
     if not runs:
         return None
     starts, ends, match, twice = runs
@@ -245,8 +277,9 @@ def _widened(start: int, end: int, n: int, width: int) -> tuple[int, int]:
 
 def _again(x: np.ndarray) -> np.ndarray:
     """Which values stand before too."""
-    out = np.ones(len(x), bool)
-    out[np.unique(x, return_index=True)[1]] = False
+    order = np.argsort(x, kind="stable")
+    out = np.zeros(len(x), bool)
+    out[order[1:]] = x[order[1:]] == x[order[:-1]]
     return out
 
 
