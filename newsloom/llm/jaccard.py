@@ -258,14 +258,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
     held = stored(columns.join(centres, "h").select("h", "c", "doc_id", "n", "pos"), folder)
     shared = held.where("c <> doc_id")
     forget(spark, sets)
-    sizes = base.where("same_as IS NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("m"))
+    sizes = base.where("same_as IS NULL").select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("m")).distinct()  # of a repeated id: one of each row
     total = F.col("n") + F.col("m")
     alike = (down * F.least("n", "m") >= up * F.greatest("n", "m")) & ((up + down) * (F.col("n") - F.col("pos")) >= up * total)
     same = base.where("same_as IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sized = pairs.groupBy("a", "b").agg(F.max("n").alias("n"), F.min("pos").alias("pos")).join(sizes.withColumnRenamed("doc_id", "a"), "a").where(alike)
-        return stored(linked(stored(sized.select("a", "b"), folder), docs, doc_id, text, similarity, size), folder)
+        sized = pairs.groupBy("a", "b", "n").agg(F.min("pos").alias("pos")).join(sizes, "a").where(alike)
+        return stored(linked(stored(sized.select("a", "b").distinct(), folder), docs, doc_id, text, similarity, size), folder)
 
     first = verified(shared.select(F.col("c").alias("a"), F.col("doc_id").alias("b"), "n", "pos"))
     labels = components(same.unionByName(first), folder).withColumnRenamed("id", "doc_id")

@@ -15,9 +15,9 @@ function's order: they are centres only where nothing else is in a whole window.
 
 Results are passages of a text that an earlier one (by doc_id) has too; removing them leaves the first one.
 
-Defined results: null, empty and short texts have no passages. Repeated doc_ids: rows of equal id are one text, the longest;
-removal applies to each row of that text. A null doc_id is left as it is. Texts are read whole. An empty table gives no
-rows. Further columns are kept by remove().
+Defined results: null, empty and short texts have no passages. Repeated doc_ids: every different text of an id is a text of its
+own, after the id's others of lesser hash; equal rows (id and text) are one text, and removal applies to each of them. A null
+doc_id is left as it is. Texts are read whole. An empty table gives no rows. Further columns are kept by remove().
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._shared import forget, mix, shared_dir, stored, text_chunks, tune, windows, words
 from .jaccard import SLOT_BITS, counted, few, frequent, product, whole_groups
@@ -355,15 +355,56 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
 
     stop is exclusive. A passage is listed with the first text that it was verified against.
     """
-    spark = docs.sparkSession
-    tune(spark)
-    folder = shared_dir(spark)
+    tune(docs.sparkSession)
+    folder = shared_dir(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    keys = _keys(texts, folder)
+    if keys is None:
+        return _find(texts, least, folder)
+    found = _find(_keyed(texts, keys, "doc_id", "text").select(F.col("key").alias("doc_id"), "text"), least, folder)
+    names = keys.select("key", "id")
+    found = found.join(names.toDF("doc_id", "__b"), "doc_id").join(names.toDF("source_id", "__a"), "source_id")
+    return found.select(F.col("__b").alias("doc_id"), F.col("__a").alias("source_id"), "start", "stop", "source_start")
+
+
+def _mark(text: str) -> Column:
+    return F.xxhash64(F.col(text), F.octet_length(text))
+
+
+def _keys(texts: DataFrame, folder: str) -> DataFrame | None:
+    """(key, id, mark) of the different texts of all ids, numbered in the order of id and mark; None: no id has several, and ids are keys."""
+    if texts.groupBy("doc_id").agg(F.count_distinct(_mark("text")).alias("n")).where("n > 1").isEmpty():
+        return None
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in stream:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(n, n + batch.num_rows))], ["part", "id", "mark", "n"])
+            n += batch.num_rows
+
+    pairs = texts.select(F.col("doc_id").alias("id"), _mark("text").alias("mark")).distinct()
+    dealt = pairs.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark").select(F.spark_partition_id().alias("part"), "id", "mark")
+    ranked = stored(dealt.mapInArrow(run, "part int, id long, mark long, n long"), folder)
+    sizes = sorted((r["part"], r["n"]) for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each partition
+    before = np.concatenate(([0], np.cumsum([n for _, n in sizes])))
+    starts = texts.sparkSession.createDataFrame([(p, int(b)) for (p, _), b in zip(sizes, before[:-1], strict=True)], "part int, before long")
+    return stored(ranked.join(F.broadcast(starts), "part").select((F.col("before") + F.col("n")).alias("key"), "id", "mark"), folder)
+
+
+def _keyed(rows: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """rows with the key of each one's text; null where the id is null."""
+    return rows.join(keys, (F.col(doc_id).cast("long") == F.col("id")) & (_mark(text) == F.col("mark")), "left").drop("id", "mark")
+
+
+def _find(texts: DataFrame, least: int, folder: str) -> DataFrame:
+    """find() of texts (doc_id, text) whose ids have one text each."""
+    spark = texts.sparkSession
     hot = frequent(counted(texts, kinds=1)[0])
     width = least - SIZE + 1
     held = stored(min_hashes(texts, hot, least), folder)
     rows = held.select("doc_id", F.explode("hs").alias("h"))
     first = rows.groupBy("h").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z"), F.count("*").alias("holders")).where("c < z").select("h", "c", "holders")
+    first = stored(first, folder)  # as a plain table, so that the rows of a frequent min-hash are split where they meet it
     shared = stored(rows.join(first, "h").where("c <> doc_id").select("h", "c", "doc_id", "holders").distinct(), folder)
     forget(spark, held)
     pairs = shared.groupBy(F.col("c").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select("a", "b")
@@ -495,23 +536,45 @@ def _near(rows: DataFrame, left: DataFrame | None, most: int | None, width: int)
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """docs with every found passage cut out of its text, from its first word's start to its last word's end."""
-    spans = find(docs, doc_id, text, least).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    joined = docs.join(spans, F.col(doc_id).cast("long") == F.col("__id"), "left").drop("__id")
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        return texts.combine(spans, _cut)
-
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__spans")))).drop("__spans")
-
-
-def _cut(text: str | None, spans) -> str | None:
-    if spans is None or text is None:
-        return text
-    raw = text.encode()
-    _, starts, ends, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), True)
-    kept = np.ones(len(raw), bool)
-    for s in spans:
-        if s["stop"] <= len(starts):
-            kept[starts[s["start"]] : ends[s["stop"] - 1]] = False
-    return bytes(np.frombuffer(raw, np.uint8)[kept]).decode()
+    tune(docs.sparkSession)
+    folder = shared_dir(docs.sparkSession)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    keys = _keys(texts, folder)
+    own = texts if keys is None else _keyed(texts, keys, "doc_id", "text").select(F.col("key").alias("doc_id"), "text")
+    spans = _find(own, least, folder).select("doc_id", "start", "stop").distinct()
+    spans = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("start").alias("__from"), F.collect_list("stop").alias("__to"))
+    bare = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)])  # so that no name clashes
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    if keys is None:
+        placed = bare.withColumn("__key", F.col(names[doc_id]).cast("long"))
+    else:
+        placed = _keyed(bare, keys, names[doc_id], names[text]).withColumnRenamed("key", "__key")
+    joined = placed.join(spans, F.col("__key") == F.col("__id"), "left")
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+        return _cut(texts, starts, stops)
+
+    after = F.when(F.col("__from").isNull(), F.col(names[text])).otherwise(cut(F.col(names[text]), F.col("__from"), F.col("__to")))
+    return joined.withColumn(names[text], after).select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def _cut(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+    """texts without the words from each start to each stop. Raises if a passage isn't inside its text."""
+    out = []
+    for row, raw, bounds in text_chunks(texts):
+        n = len(bounds) - 1
+        _, begins, ends, first = words(raw, bounds, True)
+        low, high = starts.slice(row, n), stops.slice(row, n)
+        owner = np.repeat(np.arange(n), np.nan_to_num(low.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64))
+        low, high = (first[owner] + x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (low, high))
+        if (low < first[owner]).any() or (high > first[owner + 1]).any() or (high <= low).any():
+            raise ValueError("a passage is not inside its text")
+        change = np.zeros(len(raw) + 1, np.int64)
+        np.add.at(change, begins[low], 1)
+        np.add.at(change, ends[high - 1], -1)
+        kept = np.cumsum(change[:-1]) == 0
+        offsets = np.concatenate(([0], np.cumsum(kept)))[bounds]
+        data = raw[kept]
+        out.append(pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())

@@ -354,3 +354,32 @@ def test_scoring(docs):
                 losses.append(-math.log(p))
             assert found[i][name] == pytest.approx(sum(losses) / len(losses), rel=1e-5)
     assert scoring.cross_entropy_difference(empty(docs), docs.select("doc_id")).count() == 0
+
+
+def test_jaccard_repeated_ids(spark):
+    """The links of all rows of an id count, whichever is longest."""
+    short = words(57, 61)
+    rows = [(1, " ".join(words(400, 62))), (1, " ".join(short)), (2, " ".join([*short, "tail"])), (2, None), (3, " ".join(words(60, 63)))]
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(found) == len(rows) and {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_passages_repeated_ids(spark):
+    """Spans belong to a row: other rows of the id are left as they are."""
+    passage, more, foreign = words(80, 71), words(50, 72), words(300, 73)
+    rows = [(1, " ".join(passage)), (2, " ".join(passage + more)), (2, " ".join(foreign)), (3, " ".join(foreign[:90])), (3, " ".join(foreign[:90])), (None, " ".join(passage)), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, __id int").repartition(3)
+    left = {r["__id"]: r["text"] for r in passages.remove(docs).collect()}
+    assert len(left) == len(rows)
+    assert [left[n] for n in (0, 2, 5, 6, 7)] == [" ".join(passage), " ".join(foreign), " ".join(passage), None, ""]
+    assert left[1].split() == more and left[3].split() == left[4].split() == []
+    assert {(r["doc_id"], r["source_id"]) for r in passages.find(docs).collect()} == {(2, 1), (3, 2)}
+
+
+def test_cut_out_of_text():
+    import pyarrow as pa
+
+    cut = lambda *spans: passages._cut(pa.array(["é one two  three ", None, ""]), pa.array([[s for s, _ in spans], None, None]), pa.array([[e for _, e in spans], None, None])).to_pylist()
+    assert cut((1, 3), (2, 3)) == ["é   three ", "", ""] and cut((0, 4)) == [" ", "", ""]
+    with pytest.raises(ValueError):
+        cut((3, 5))
