@@ -38,10 +38,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, deleted when the session ends; a local default is set where none is."""
+    """A new folder under spark.checkpoint.dir, deleted when the session ends; a local session has a default."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file:///tmp/checkpoints"
         context.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/newsloom-{uuid.uuid4().hex}"
@@ -58,6 +60,12 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew where it has fewer partitions than the session has cores: a small table in one file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for table in tables:

@@ -1,17 +1,21 @@
 """Cross-entropy difference of matched n-gram models.
 
-A target and a background bigram model share one vocabulary, counted over the whole corpus. Each text's score is the mean over
-its tokens of background loss less target loss: higher means more like the target. The background is every text, the target
-those that are marked.
+A target and a background bigram model share one vocabulary: every word of the corpus. Each text's score is the mean over its
+tokens of background loss less target loss: higher means more like the target. The background is every text, the target those
+that are marked.
 
-Models: the VOCABULARY most frequent words (ties by hash) and one class for all others have unigram probabilities with
-additive smoothing; pairs of the CORE most frequent are mixed in, P(b|a) = MIX * c(a, b) / c(a) + (1 - MIX) * P(b), with c(a)
-the pairs of core words that begin with a; after other words P(b) alone. The probabilities of a context add up to 1.
-Words are counted per task before they are shuffled; a finished model has a fixed size, whatever the corpus's.
+Models: unigram probabilities with additive smoothing, P(b) = (c(b) + SMOOTH) / (N + SMOOTH * (V + 1)), the one more for words
+that no text has; pairs are mixed in, P(b|a) = MIX * c(a, b) / c(a) + (1 - MIX) * P(b), with c(a) the pairs that begin with a;
+after a word without pairs P(b) alone. The probabilities of a context add up to 1. No word or pair of the corpus is left out.
+
+The models grow with the corpus, so no task holds one. Texts are dealt in blocks of bounded size; a block asks for the counts
+of its own different words and pairs, and brings how often it has each. Requests are sorted by key hash and dealt to buckets of
+bounded size, which add up the counts of all blocks and answer each; every block then scores its texts. A key is asked for once
+by a block, however frequent it is, so that buckets are even.
 
 Defined results: null text or one without words has no tokens: 0 tokens and null losses. A corpus without target texts gives
-the target model its smoothing only. Repeated rows count as often as they occur. An empty table gives no rows. Null id: kept.
-Further columns are not read.
+the target model its smoothing only. Repeated rows count as often as they occur. An empty table gives no rows. Null id: kept,
+never a target. Further columns are not read. Key hashes of 63 bits stand for words and pairs.
 """
 
 from __future__ import annotations
@@ -20,150 +24,216 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-
-from ._shared import shared_dir, stored, text_chunks, tune, words
-
-VOCABULARY, CORE, MIX, SMOOTH = 32_768, 1_024, 0.5, 0.1
-
-
-def _counted(stream: Iterator[pa.RecordBatch], codes, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Sums per code over the task: codes gives (code, whether in the target) arrays of a run of texts."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def fold() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        code, total, target = (np.concatenate(x) for x in zip(*held, strict=True))
-        found, at = np.unique(code, return_inverse=True)
-        return found, np.bincount(at, total, len(found)).astype(np.int64), np.bincount(at, target, len(found)).astype(np.int64)
-
-    def rows() -> pa.RecordBatch:
-        found, total, target = fold()
-        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total), pa.array(target)], names)
-
-    size = 0
-    for batch in stream:
-        mark = np.array(batch.column(1).to_pylist(), bool)
-        for row, raw, bounds in text_chunks(batch.column(0)):
-            hashes, _, _, first = words(raw, bounds, True)
-            code, target = codes(hashes, first, np.repeat(mark[row : row + len(bounds) - 1], np.diff(first)))
-            held.append((code, np.ones(len(code), np.int64), target.astype(np.int64)))
-            size += len(code)
-            if size > 2_000_000:
-                held = [fold()]
-                size = len(held[0][0])
-                if size > 1_500_000:
-                    yield rows()
-                    held, size = [], 0
-    if held:
-        yield rows()
-
-
-class Models:
-    """Both models' log probabilities over one vocabulary."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, others: np.ndarray, core: int) -> None:
-        """hashes: vocabulary by frequency; counts: [background, target] of each; others: those of all other words."""
-        self.core = min(core, len(hashes))
-        order = np.argsort(hashes)
-        self.sorted, self.number = hashes[order], order.astype(np.int32)
-        full = np.concatenate((counts, others[:, None]), axis=1) + SMOOTH
-        self.single = full / full.sum(axis=1, keepdims=True)
-        self.mixed: np.ndarray | None = None
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Vocabulary numbers; the last is for words outside."""
-        if not len(self.sorted):
-            return np.zeros(len(hashes), np.int32)
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.number[at], len(self.sorted)).astype(np.int32)
-
-    def pairs(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """For each word, the code of the pair that it ends, or -1 at a text's start or where one isn't a core word."""
-        out = np.full(len(numbers), -1, np.int64)
-        if len(numbers) > 1:
-            a, b = numbers[:-1].astype(np.int64), numbers[1:]
-            out[1:] = np.where((a < self.core) & (b < self.core), a * self.core + b, -1)
-            out[first[(first > 0) & (first < len(numbers))]] = -1
-        return out
-
-    def fit_pairs(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        dense = np.zeros((2, self.core * self.core), np.float64)
-        dense[:, codes] = counts
-        dense = dense.reshape(2, self.core, self.core)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            self.mixed = np.nan_to_num(dense / dense.sum(axis=2, keepdims=True)).reshape(2, -1).astype(np.float32)
-        self.followed = dense.sum(axis=2) > 0
-
-    def losses(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """[background, target] loss of each word, in nats."""
-        codes = self.pairs(numbers, first)
-        context = np.full(len(numbers), -1)
-        context[1:] = np.where(numbers[:-1] < self.core, numbers[:-1], -1)
-        context[first[first < len(numbers)]] = -1
-        out = np.empty((2, len(numbers)))
-        for m in range(2):
-            single = self.single[m][numbers]
-            mixed = np.where(codes >= 0, self.mixed[m][codes], 0.0) if self.mixed.shape[1] else 0.0
-            after_core = (context >= 0) & (self.followed[m][context] if self.core else False)
-            out[m] = -np.log(np.where(after_core, MIX * mixed + (1 - MIX) * single, single))
-        return out
-
-
-def fit(docs: DataFrame, text: str, target: Column, vocabulary: int = VOCABULARY, core: int = CORE) -> Models:
-    """Both models from all texts; those where target holds make the target model."""
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-
-    def singles(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counted(stream, lambda hashes, first, mark: (hashes, mark), ["h", "n", "t"])
-
-    counted = stored(rows.mapInArrow(singles, "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
-    top = counted.orderBy(F.desc("n"), "h").limit(vocabulary).toArrow()  # the vocabulary
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    counts = np.stack([top["n"].to_numpy().astype(np.float64), top["t"].to_numpy().astype(np.float64)])
-    others = np.array([total["n"], total["t"]], np.float64) - counts.sum(axis=1)
-    models = Models(top["h"].to_numpy().view(np.uint64), counts, others, core)
-    handed = docs.sparkSession.sparkContext.broadcast(models)
-
-    def doubles(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def codes(hashes: np.ndarray, first: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            out = handed.value.pairs(handed.value.numbers(hashes), first)
-            return out[out >= 0], mark[out >= 0]
-
-        yield from _counted(stream, codes, ["p", "n", "t"])
-
-    pairs = rows.mapInArrow(doubles, "p long, n long, t long").groupBy("p").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    found = stored(pairs).toArrow()  # at most core * core rows
-    models.fit_pairs(found["p"].to_numpy(), np.stack([found["n"].to_numpy().astype(np.float64), found["t"].to_numpy().astype(np.float64)]))
-    return models
-
-
-def score(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, background_loss, target_loss (means per token), difference (background less target)."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    handed = docs.sparkSession.sparkContext.broadcast(models)
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
+
+from ._shared import mix, release, shared_dir, stored, text_chunks, tune, words
+
+MIX, SMOOTH = 0.5, 0.1
+#: Bytes of text of a block, keys of a bucket, target ids that are broadcast.
+BLOCK, BUCKET, FEW = 8 << 20, 2_000_000, 500_000
+_SEED = np.random.default_rng(41).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class Block:
+    """The tokens of a run of texts as numbers of its different words, pairs and contexts, and their keys."""
+
+    def __init__(self, texts: list[pa.Array]) -> None:
+        hashes, firsts, n = [], [np.zeros(1, np.int64)], 0
+        for array in texts:
+            for _, raw, bounds in text_chunks(array):
+                own, _, _, first = words(raw, bounds, True)
+                hashes.append(own)
+                firsts.append(first[1:] + n)
+                n += len(own)
+        self.first = np.concatenate(firsts)
+        self.words, self.number = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
+        inner = np.ones(max(0, n - 1), bool)  # tokens that have one before them in their text
+        inner[self.first[(self.first > 0) & (self.first < n)] - 1] = False
+        self.second = np.flatnonzero(inner) + 1
+        code = self.number[self.second - 1] * max(1, len(self.words)) + self.number[self.second]
+        self.pairs, self.pair = np.unique(code, return_inverse=True)
+        self.before, self.after = np.divmod(self.pairs, max(1, len(self.words)))
+        self.contexts, self.context = np.unique(self.before, return_inverse=True)  # of each pair
+
+    def keys(self) -> np.ndarray:
+        """Of words (odd), contexts and pairs (even)."""
+        one = np.uint64(1)
+        with np.errstate(over="ignore"):
+            single = mix(self.words * _SEED[0])
+            context = mix(self.words[self.contexts] * _SEED[1])
+            pair = mix(self.words[self.before] * _SEED[2] + self.words[self.after] * _SEED[3])
+        return np.concatenate((single | one, context & ~one, pair & ~one))
+
+    def counts(self, marked: np.ndarray) -> np.ndarray:
+        """[in all texts, in marked texts] of each key."""
+        weights = np.repeat(marked, np.diff(self.first))
+        out = []
+        for w in (np.ones(len(weights)), weights.astype(float)):
+            pair = np.bincount(self.pair, w[self.second], len(self.pairs))
+            out.append(np.concatenate((np.bincount(self.number, w, len(self.words)), np.bincount(self.context, pair, len(self.contexts)), pair)))
+        return np.array(out).astype(np.int64)
+
+    def losses(self, counts: np.ndarray, n: float, vocabulary: int) -> np.ndarray:
+        """Loss of each token in nats, by the counts of each key in the corpus, and of tokens and words in all."""
+        single, context, pair = np.split(counts.astype(float), np.cumsum((len(self.words), len(self.contexts))))
+        of_word = (single + SMOOTH) / (n + SMOOTH * (vocabulary + 1))
+        out = of_word[self.number]
+        follows = context[self.context]
+        rest = of_word[self.after]
+        of_pair = np.where(follows > 0, MIX * pair / np.maximum(follows, 1) + (1 - MIX) * rest, rest)
+        out[self.second] = of_pair[self.pair]
+        return -np.log(out)
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """docs (id, text, target) with the block of each, and one more row for each block: its sorted keys and their counts."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = handed.value
+        number = TaskContext.get().partitionId() << 24
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            own = Block([b.column(1) for b in held])
+            marked = np.concatenate([b.column(2).to_numpy(zero_copy_only=False).astype(bool) for b in held])
+            keys = own.keys()
+            order = np.argsort(keys)
+            counts = own.counts(marked)[:, order].astype(np.uint32)
+            for b in held:
+                blank = [pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, number)), b.column(0), b.column(1), *blank], names)
+            row = [pa.array([number]), pa.nulls(1, held[0].column(0).type), pa.nulls(1, pa.string()), pa.array([len(keys)]), *(pa.array([x.tobytes()], pa.binary()) for x in (keys[order], *counts))]
+            yield pa.RecordBatch.from_arrays(row, names)
+            release()
+
         for batch in stream:
-            for row, raw, bounds in text_chunks(batch.column(1)):
-                hashes, _, _, first = words(raw, bounds, True)
-                sizes = np.diff(first)
-                sums = np.zeros((2, len(hashes) + 1))
-                np.cumsum(own.losses(own.numbers(hashes), first), axis=1, out=sums[:, 1:])
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mean = (sums[:, first[1:]] - sums[:, first[:-1]]) / sizes
-                none = sizes == 0
-                columns = [pa.array(x, pa.float64(), mask=none) for x in (mean[0], mean[1], mean[0] - mean[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sizes)), pa.array(sizes, pa.int64()), *columns], [doc_id, "n_tokens", "background_loss", "target_loss", "difference"])
+            at = 0
+            sizes = np.cumsum(batch.column(1).fill_null("").cast(pa.large_string()).cast(pa.large_binary()).value_lengths().to_numpy()) if batch.num_rows else []
+            while at < batch.num_rows:
+                done = int(sizes[at - 1]) if at else 0
+                last = max(at + 1, int(np.searchsorted(sizes, done + BLOCK - size, "right")))
+                held.append(batch.slice(at, last - at))
+                size += int(sizes[min(last, batch.num_rows) - 1]) - done
+                at = last
+                if size >= BLOCK or at < batch.num_rows:
+                    yield from close()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield from close()
+
+    names = ["block", "id", "text", "n_keys", "keys", "n", "t"]
+    return docs.select("id", "text", "target").mapInArrow(run, f"block long, id {kind}, text string, n_keys long, keys binary, n binary, t binary")
+
+
+def _answers(requests: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, n, t): counts in the whole corpus of each block's keys, in order; block null: v, v_n and v_t have a bucket's
+    different words and the sums of their counts."""
+
+    def split(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for row in range(batch.num_rows):
+                keys, n, t = (np.frombuffer(batch.column(i)[row].as_buffer(), kind) for i, kind in ((1, np.uint64), (2, np.uint32), (3, np.uint32)))
+                own = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                found, begin = np.unique(own, return_index=True)
+                end = [*begin[1:], len(keys)]
+                parts = [pa.array([x[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()) for x in (keys, n, t)]
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([batch.column(0)[row].as_py()] * len(found), pa.int64()), *parts], ["bucket", "block", "keys", "n", "t"])
+
+    def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def close() -> pa.RecordBatch:
+            keys, n, t = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+            found, at = np.unique(keys, return_inverse=True)
+            sums = [np.bincount(at, x, len(found)).astype(np.int64) for x in (n, t)]
+            cuts = np.cumsum([len(x[1]) for x in held])[:-1]
+            parts = [[x.tobytes() for x in np.split(s[at], cuts)] for s in sums]
+            word = (found & np.uint64(1)).astype(bool)
+            columns = [pa.array([x[0] for x in held] + [None], pa.int64()), pa.array([bucket] * (len(held) + 1), pa.int32())]
+            columns += [pa.array([None] * len(held) + [int(x)], pa.int64()) for x in (word.sum(), *(s[word].sum() for s in sums))]
+            columns += [pa.array([*p, None], pa.binary()) for p in parts]
+            return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "v", "v_n", "v_t", "n", "t"])
+
+        for batch in stream:
+            for row, own in enumerate(batch.column(0).to_pylist()):
+                if own != bucket and held:
+                    yield close()
+                    held = []
+                bucket = own
+                held.append((batch.column(1)[row].as_py(), *(np.frombuffer(batch.column(i)[row].as_py(), kind) for i, kind in ((2, np.uint64), (3, np.uint32), (4, np.uint32)))))
+        if held:
+            yield close()
+        release()
 
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens long, background_loss double, target_loss double, difference double")
+    dealt = requests.select("block", "keys", "n", "t").mapInArrow(split, "bucket int, block long, keys binary, n binary, t binary")
+    return dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(add, "block long, bucket int, v long, v_n long, v_t long, n binary, t binary")
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, core: int = CORE) -> DataFrame:
-    """score() of all docs by models whose target is the docs in target_ids (a column named like doc_id)."""
+def _scored(rows: DataFrame, kind: str, doc_id: str, totals: tuple[int, int, int]) -> DataFrame:
+    """Scores of rows in the order of block, each block's answers before its texts."""
+    names = [doc_id, "n_tokens", "background_loss", "target_loss", "difference"]
+    vocabulary, *sums = totals
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, answers, held = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            own = Block([b.column(3) for b in held])
+            order = np.argsort(own.keys())
+            sizes = np.diff(own.first)
+            mean = []
+            for k in range(2):
+                counts = np.empty(len(order), np.int64)
+                counts[order] = np.concatenate([a[k] for a in answers]) if len(order) else []
+                total = np.concatenate(([0.0], np.cumsum(own.losses(counts, sums[k], vocabulary))))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    mean.append((total[own.first[1:]] - total[own.first[:-1]]) / sizes)
+            none = sizes == 0
+            columns = [pa.array(x, pa.float64(), mask=none) for x in (*mean, mean[0] - mean[1])]
+            ids = pa.concat_arrays([b.column(2) for b in held])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *columns], names)
+            release()
+
+        for batch in stream:
+            blocks = batch.column(0).to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)] if len(blocks) else [0]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if blocks[a] != block:
+                    if held:
+                        yield from close()
+                    block, answers, held = blocks[a], [], []
+                asked = batch.column(1).slice(a, b - a).to_pylist()
+                n = sum(x is not None for x in asked)  # answers come first
+                answers += [tuple(np.frombuffer(batch.column(i)[a + r].as_py(), np.int64) for i in (4, 5)) for r in range(n)]
+                if b - a > n:
+                    held.append(batch.slice(a + n, b - a - n))
+        if held:
+            yield from close()
+
+    return rows.mapInArrow(run, f"`{doc_id}` {kind}, n_tokens long, background_loss double, target_loss double, difference double")
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, background_loss, target_loss (means per token), difference (background less target) of every row.
+
+    The target is the docs in target_ids (a column named like doc_id).
+    """
     spark = docs.sparkSession
     tune(spark)
-    marks = target_ids.select(F.col(doc_id).alias("__t")).distinct()
-    marked = docs.select(doc_id, text).join(marks.hint("merge"), F.col(doc_id) == F.col("__t"), "left")
-    marked = stored(marked.select(text, F.col("__t").isNotNull().alias("__target")), shared_dir(spark))
-    return score(docs, fit(marked, text, F.col("__target"), vocabulary, core), doc_id, text)
+    folder = shared_dir(spark)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    marks = stored(target_ids.select(F.col(doc_id).alias("__t")).where("__t IS NOT NULL").distinct(), folder)
+    how = "broadcast" if marks.count() <= FEW else "merge"
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marks.hint(how), F.col("id") == F.col("__t"), "left")
+    dealt = stored(_blocks(rows.select("id", "text", F.col("__t").isNotNull().alias("target"))), folder)
+    asked = dealt.where("keys IS NOT NULL")
+    n_keys, last = asked.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
+    buckets = max(1, -(-int(n_keys) // BUCKET), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_keys) // 50_000)))
+    answers = stored(_answers(asked, buckets), folder)
+    totals = tuple(answers.where("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "v_n", "v_t")]).first())
+    texts = dealt.where("keys IS NULL").select("block", F.lit(None).cast("int").alias("bucket"), "id", "text", *[F.lit(None).cast("binary").alias(c) for c in "nt"])
+    own = answers.where("block IS NOT NULL").select("block", "bucket", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"), "n", "t")
+    both = texts.unionByName(own).repartitionById((last >> 24) + 1, F.shiftright("block", 24).cast("int"))
+    return _scored(both.sortWithinPartitions("block", F.col("bucket").asc_nulls_last()), kind, doc_id, totals)
