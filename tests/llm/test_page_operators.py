@@ -96,6 +96,58 @@ def test_template_without_article(spark):
     assert all(found[k] == f"Story {k} {('long text ' * 20).strip()}\n\nMore of {k}" for k in range(12))
 
 
+LAYOUTS = {
+    "wrapper": '<div class="content-sidebar-wrap"><article><h1>Head {k}</h1><p>Story {k} told.</p><p class="share-price">Price {k}</p></article></div><div class="sidebar">aside {k}</div>',
+    "own header": '<article><header><h1>Head {k}</h1></header><div class="entry-header"><p>Story {k} told.</p></div><p>Price {k}</p><footer>by {k}</footer></article>',
+    "marked headline": '<article><div class="header"><h1>Head {k}</h1></div><p>Story {k} told.</p><p>Price {k}</p><div class="share-buttons"><p>share {k}</p></div></article>',
+    "teaser": '<main><article><h1>Head {k}</h1><p>Story {k} told.</p><p>Price {k}</p></article><article><p>read on</p></article></main><article><p>old {k}</p></article>',
+    "form around": '<form id="aspnetForm"><div id="main"><h1>Head {k}</h1><p>Story {k} told.</p><p>Price {k}</p></div></form>',
+    "newsletter": '<div class="newsletter"><p>Subscribe to {k} long letters a week and never miss what others read</p></div><div><h1>Head {k}</h1><p>Story {k} told.</p><p>Price {k}</p></div>',
+    "columns": '<div class="menu"><a href="/{k}">m{k}</a></div><div class="intro"><h1>Head {k}</h1></div><div class="body"><p>Story {k} told.</p></div><div class="body2"><p>Price {k}</p></div><footer>f</footer>',
+    "math": "<article><h1>Head {k}</h1><p>Story <math><mi>{k}</mi></math> told.<svg><text>no</text></svg></p><p>Price {k}</p></article>",
+}
+
+
+@pytest.mark.parametrize("count", [1, 12])
+def test_layouts(spark, count):
+    """Known articles of several layouts, on hosts with a template and on hosts of one page."""
+    rows = [(100 * n + k, f"http://h{n}.org/{k}", f"<html><head><title>t</title></head><body><nav><ul><li>menu {k}</li></ul></nav>{x.format(k=k)}</body></html>") for n, x in enumerate(LAYOUTS.values()) for k in range(count)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n, name in enumerate(LAYOUTS):
+        for k in range(count):
+            assert found[100 * n + k] == f"Head {k}\n\nStory {k} told.\n\nPrice {k}", name
+
+
+def test_partitions_do_not_matter(spark):
+    """Copies of a page count once, wherever they are."""
+    body = "<body><div><p>Welcome to our site</p></div><div><p>Story {k} {more}</p></div></body>"
+    rows = [(10 * c + k, "http://h.org/", body.format(k=k, more="long text " * 9)) for k in range(5) for c in range(5)]
+    results = []
+    for n in (1, 10):
+        table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+        assert html.tokens(table).where("token = 0").count() == 5
+        results.append({r["page_id"]: r["text"] for r in html.extract(table).collect()})
+    assert results[0] == results[1] and all("Welcome" not in t and t.startswith("Story") for t in results[0].values())
+
+
+def test_deep_pages():
+    import time
+    import tracemalloc
+
+    deep = "<div>" * 40_000 + "<p>text" + "</div>" * 40_000 + "<p>after"
+    inline = "<p>" + "<b>" * 40_000 + "bold" + "</b>" * 40_000
+    began = time.time()
+    tracemalloc.start()
+    assert html.Page(deep).text(None, set()) == "text\n\nafter" and html.Page(inline).text(None, set()) == "bold"
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and time.time() - began < 30
+    tracemalloc.stop()
+
+
+def test_marks():
+    assert all(html.marked(x) for x in ("ad", "post comments", "adSlot", "main-menu", "sidebar-left", "cookie_notice"))
+    assert not any(html.marked(x) for x in ("share-price", "entry-header", "content-sidebar-layout", "headers", "adjective", "story-body", ""))
+
+
 def brute(vectors, cosine=0.9):
     import numpy as np
 
