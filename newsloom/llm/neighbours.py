@@ -5,8 +5,13 @@ what lies within SPILL of it to both sides. Vectors that share a leaf in any tre
 counts in the first leaf that its vectors share, so that pairs needn't be gathered to be counted once. Links are joined to
 components.
 
-The trees are fitted on a bounded sample (SAMPLE vectors, those of least id hash); every vector is sent down every tree.
-A leaf of more than TILE vectors is compared in square tiles of at most TILE vectors a side, so no task grows with a leaf.
+The trees are fitted on a bounded sample (SAMPLE vectors, those of least id hash); every vector is sent down every tree. A leaf that
+holds too many vectors for that is split on by a tree of its own, fitted on a bounded sample of its vectors, again and again,
+so that leaves stay of one size at any size of the table. What can't be split is compared in square tiles of at most TILE
+vectors a side, so no task grows with a leaf.
+
+A tree parts a pair at the threshold in a tenth of its levels or less (KEPT, measured), and so the number of trees grows with the
+levels: as many as it takes to leave less than MISSED of such pairs apart in all of them.
 
 Copies and dense clusters: equal vectors are one vertex with a weight. Where the sample shows a dense cluster, a ball is laid
 around one of its vectors, of half the angle that links: all within are linked, so their links are counted, not compared.
@@ -19,6 +24,8 @@ no links and a null component. An empty table gives no rows. Further columns are
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +33,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import components, least_labels, shared_dir, stored, tune
+from ._shared import components, least_labels, shared_dir, spread, stored, tune
 
-COSINE, TREES, SPILL, LEAF, TILE, SAMPLE, LEAST = 0.9, 5, 0.02, 1500, 2500, 20_000, 24
+COSINE, SPILL, LEAF, TILE, SAMPLE, LEAST = 0.9, 0.01, 300, 2500, 20_000, 16
+#: Share of pairs at the threshold that a level keeps together, share that may be apart in all trees.
+KEPT, MISSED = 0.895, 0.01
+#: Times LEAF that a leaf may hold, sample vectors that it is split by, vectors of a task, leaves whose sizes are broadcast.
+OVER, SPLIT, TASK, FEW = 4, 2_000, 100_000, 100_000
 #: Dense clusters: sample vectors looked at, share of them that makes a cluster, most balls.
 LOOKED, DENSE, BALLS = 4_000, 0.01, 64
 
@@ -39,6 +50,12 @@ def usable(vector) -> object:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def trees_for(total: int, leaf: int = LEAF) -> int:
+    """Trees for a table of `total` vectors."""
+    together = KEPT ** max(1.0, math.log2(max(2, total / leaf)))
+    return max(2, math.ceil(math.log(MISSED) / math.log(1 - together)))
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # no overflow in squares
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
@@ -47,13 +64,13 @@ def unit(rows: np.ndarray) -> np.ndarray:
 class Forest:
     """Random-projection trees as arrays; leaves are numbered across trees."""
 
-    def __init__(self, sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 5) -> None:
+    def __init__(self, sample: np.ndarray, total: int, trees: int, leaf: int = LEAF, spill: float = SPILL, seed: int = 5) -> None:
         self.spill, self.leaves = spill, 0
         self.directions: list[np.ndarray] = []
         self.nodes: list[tuple[int, float, int, int]] = []  # direction, threshold, low child, high child; leaves are negative
         rng = np.random.default_rng(seed)
         scale = total / max(1, len(sample))
-        self.roots = [self._grow(sample, scale, leaf, rng) for _ in range(trees if len(sample) * scale > leaf else 1)]
+        self.roots = [self._grow(sample, scale, leaf, rng) for _ in range(trees)]
 
     def _grow(self, rows: np.ndarray, scale: float, leaf: int, rng) -> int:
         if len(rows) * scale > leaf and len(rows) >= LEAST:
@@ -166,12 +183,13 @@ def _found(frame: pd.DataFrame, counts: np.ndarray, labels: np.ndarray) -> pd.Da
     return pd.DataFrame({"id": ids[has], "n": counts[has], "root": ids[labels[has]]})
 
 
-def dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
+def dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, trees: int | None = None, leaf: int = LEAF, spill: float = SPILL, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row. trees: by default as many as the table's size asks for."""
     spark = vectors.sparkSession
     tune(spark)
     folder = shared_dir(spark)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    plain = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = spread(vectors).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(plain).alias("v"))  # floats are shuffled as such
     good = usable(F.col("v")) & F.col("id").isNotNull()
     classes = stored(rows.where(good).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w")).withColumn("dims", F.size("v")), folder)
     out_rows = rows.join(classes.select("v", F.col("id").alias("rep"), "w"), "v", "left").select("id", F.when(good, F.col("rep")).alias("rep"), F.when(good, F.col("w")).alias("w"))
@@ -192,14 +210,14 @@ def dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     )
 
 
-def _links(classes: DataFrame, total: int, folder: str, cosine: float, trees: int, leaf: int, spill: float, tile: int, sample: int) -> list[DataFrame]:
+def _links(classes: DataFrame, total: int, folder: str, cosine: float, trees: int | None, leaf: int, spill: float, tile: int, sample: int) -> list[DataFrame]:
     """(id, n, root): weights of links and a linked id, from balls, the rims of balls, and leaves."""
     spark = classes.sparkSession
     taken = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
     fitted = unit(np.stack(taken).astype(np.float64))
     centres = balls(fitted, cosine)
     inner, outer = float(np.sqrt((1 + cosine) / 2)) + 1e-12, float(np.cos(np.arccos(cosine) * 1.5)) - 1e-9
-    forest = Forest(fitted, total, trees, leaf, spill)
+    forest = Forest(fitted, total, trees or trees_for(total, leaf), leaf, spill)
     model = spark.sparkContext.broadcast((forest, centres))  # bounded by the sample's size
 
     def send(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +237,10 @@ def _links(classes: DataFrame, total: int, folder: str, cosine: float, trees: in
                 for r, c in zip(free[at].tolist(), code.tolist(), strict=True):
                     leaves[r].append(c)
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball, pa.int32()), pa.array(rim, ints), pa.array(leaves, ints)], ["id", "v", "w", "ball", "rim", "leaves"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball, pa.int32()), pa.array(rim, ints), pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "w", "ball", "rim", "leaves"])
 
-    sent = stored(classes.select("id", "v", "w").mapInArrow(send, "id long, v array<double>, w long, ball int, rim array<int>, leaves array<int>"), folder)
+    kind = classes.schema["v"].dataType.simpleString()
+    sent = stored(classes.select("id", "v", "w").mapInArrow(send, f"id long, v {kind}, w long, ball int, rim array<int>, leaves array<long>"), folder)
     out = []
     schema = "id long, n long, root long"
 
@@ -253,11 +272,10 @@ def _links(classes: DataFrame, total: int, folder: str, cosine: float, trees: in
 
             out.append(one.select(*keep).groupBy("of", "x", "y").cogroup(other.groupBy("of2", "x2", "y2")).applyInPandas(meet, schema))
 
-    placed = sent.where("ball < 0").select("id", "v", "w", "leaves", F.explode("leaves").alias("leaf"))
-    big = {r["leaf"]: -(-r["n"] // tile) for r in sent.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > tile).collect()}  # leaves of the forest
-    sides = F.create_map(*[F.lit(x) for kv in big.items() for x in kv]) if big else None
-    n_sides = F.coalesce(F.get(F.map_values(F.map_filter(sides, lambda k, _: k == F.col("leaf"))), F.lit(0)), F.lit(1)) if big else F.lit(1)
-    dealt = placed.withColumn("sides", n_sides).withColumn("part", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    placed, sizes = _split(sent.where("ball < 0").select("id", "v", "w", "leaves", F.explode("leaves").alias("leaf")), folder, leaf, spill)
+    big = sizes.where(F.col("n") > tile).select("leaf", F.ceil(F.col("n") / tile).cast("int").alias("sides"))
+    sided = placed.join(big.hint("broadcast" if sizes.count() <= FEW else "merge"), "leaf", "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
+    dealt = sided.withColumn("part", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
     tiles = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select(
         "id", "v", "w", "leaves", "leaf", "part", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y")
     )
@@ -275,3 +293,53 @@ def _links(classes: DataFrame, total: int, folder: str, cosine: float, trees: in
 
     out.append(tiles.groupBy("leaf", "x", "y").applyInPandas(within, schema))
     return out
+
+
+def _split(placed: DataFrame, folder: str, leaf: int, spill: float) -> tuple[DataFrame, DataFrame]:
+    """placed (id, v, w, leaves, leaf) with leaves of more than OVER * leaf vectors split by trees of their own, and (leaf, n)."""
+    kind = placed.schema["v"].dataType.simpleString()
+    sizes = stored(placed.groupBy("leaf").agg(F.count("*").alias("n")), folder)
+    big = sizes.where(F.col("n") > OVER * leaf)
+    if big.isEmpty():
+        return placed, sizes
+    placed = stored(placed.drop("leaves").withColumn("closed", F.lit(False)), folder)
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        own = unit(np.stack(frame["v"]).astype(np.float64))
+        forest = Forest(own, int(frame["n"].iloc[0]), 1, leaf, spill, seed=int(frame["leaf"].iloc[0]) & 0xFFFF)
+        return pd.DataFrame({"leaf": frame["leaf"].iloc[:1], "tree": [pickle.dumps(forest)]})
+
+    def send(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector of a leaf once for each leaf of its tree that it is in; the tree stands before the vectors."""
+        forest: Forest | None = None
+        for batch in stream:
+            is_tree = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *np.flatnonzero(is_tree).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b and is_tree[a]:
+                    forest, a = pickle.loads(batch.column(5)[a].as_py()), a + 1
+                if a < b:
+                    own = batch.slice(a, b - a)
+                    at, code = forest.leaves_of(_matrix(own.column(3)))[0]
+                    new = own.column(0).to_numpy()[at] * 4096 + code
+                    columns = [own.column(i).take(pa.array(at)) for i in (2, 3, 4)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(new, pa.int64()), pa.array([forest.leaves == 1] * len(at), pa.bool_())], ["id", "v", "w", "leaf", "closed"])
+
+    done = placed.limit(0)
+    for _ in range(4):  # a leaf's number has room for so many
+        how = "broadcast" if big.limit(FEW + 1).count() <= FEW else "merge"
+        rows = placed.join(big.hint(how), "leaf")
+        trees = stored(rows.where(F.pmod(F.xxhash64("id", "leaf"), F.col("n")) < SPLIT).select("leaf", "v", "n").groupBy("leaf").applyInPandas(fit, "leaf long, tree binary"), folder)
+        tasks = F.ceil(F.col("n") / TASK).cast("int")
+        one = trees.join(big.hint(how), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("part"), F.lit(None).cast("long").alias("id"), F.lit(None).cast(kind).alias("v"), F.lit(None).cast("long").alias("w"), "tree")
+        two = rows.select("leaf", F.pmod(F.xxhash64("id"), tasks).cast("int").alias("part"), "id", "v", "w", F.lit(None).cast("binary").alias("tree"))
+        dealt = one.unionByName(two).repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.col("tree").isNull())
+        sent = stored(dealt.mapInArrow(send, f"id long, v {kind}, w long, leaf long, closed boolean"), folder)
+        done = done.unionByName(placed.join(big.select("leaf").hint(how), "leaf", "left_anti"))
+        done, placed = done.unionByName(sent.where("closed").select(*done.columns)), sent.where("NOT closed").select(*done.columns)
+        big = stored(placed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > OVER * leaf), folder)
+        if big.isEmpty():
+            break
+    ended = stored(done.unionByName(placed).drop("closed"), folder)
+    lists = ended.groupBy("id").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
+    return ended.join(lists, "id").select("id", "v", "w", "leaves", "leaf"), stored(ended.groupBy("leaf").agg(F.count("*").alias("n")), folder)

@@ -189,6 +189,29 @@ def test_forest(spark, leaf, tile, hot):
         assert found == expected
 
 
+def test_forest_splits_large_leaves(spark, monkeypatch):
+    """With a sample far too small for the table, leaves are split on, and pairs are counted once."""
+    rng = random.Random(3)
+    gauss = lambda n: [rng.gauss(0, 1) for _ in range(n)]
+    rows = [(i, gauss(16)) for i in range(2500)]
+    for i in range(2500, 2800):
+        rows.append((i, [x + rng.gauss(0, 0.1) for x in rng.choice(rows)[1]]))
+    rows += [(3000 + i, [1.0 + rng.gauss(0, 1e-9)] + [0.5] * 15) for i in range(300)]  # can't be split
+    monkeypatch.setattr(neighbours, "SPLIT", 150)
+    monkeypatch.setattr(neighbours, "TASK", 100)
+    monkeypatch.setattr(neighbours, "balls", lambda sample, cosine: sample[:0])
+    expected = brute(rows)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    seen = []
+    split = neighbours._split
+    monkeypatch.setattr(neighbours, "_split", lambda *a: seen.append(split(*a)) or seen[-1])
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neighbours.dedup(table, leaf=30, tile=50, trees=10, sample=100).collect()}
+    sizes = {r["leaf"]: r["n"] for r in seen[0][1].collect()}
+    assert len(sizes) > 200 and max(sizes.values()) < 450  # the 300 and a few
+    assert all(found[i][0] <= expected[i][0] for i in expected)
+    assert sum(v[0] for v in found.values()) >= 0.98 * sum(v[0] for v in expected.values())
+
+
 def test_forest_empty(spark):
     assert neighbours.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
