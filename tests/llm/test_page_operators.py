@@ -207,7 +207,7 @@ def test_forest_splits_large_leaves(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_split", lambda *a: seen.append(split(*a)) or seen[-1])
     found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neighbours.dedup(table, leaf=30, tile=50, trees=10, sample=100).collect()}
     sizes = {r["leaf"]: r["n"] for r in seen[0][1].collect()}
-    assert len(sizes) > 200 and max(sizes.values()) < 450  # the 300 and a few
+    assert len(sizes) > 200 and max(sizes.values()) < 600  # the 300, and less of others
     assert all(found[i][0] <= expected[i][0] for i in expected)
     assert sum(v[0] for v in found.values()) >= 0.98 * sum(v[0] for v in expected.values())
 
