@@ -5,7 +5,7 @@ covariance determinant estimate of a vector of transformed statistics, and rejec
 beyond a cutoff.
 
 The estimate: of several starts (median and median deviations, correlations of spatial signs, correlations of hyperbolic
-tangents, the inner half) each goes through concentration steps (keep the COVERAGE share of rows nearest to the estimate,
+tangents, the inner half, and DRAWS sets of some DRAWN rows that a hash picks) each goes through concentration steps (keep the COVERAGE share of rows nearest to the estimate,
 estimate again) until its determinant falls no more; the start of least determinant is taken, and estimated once more from the
 rows within the 97.5 % quantile. Covariances are scaled to be consistent for normal rows and have the square of a least
 deviation added to their diagonal.
@@ -27,13 +27,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._shared import SPACES, shared_dir, spread, stored
 
 #: Share of rows that the estimate is made from, share of normal rows that the cutoff rejects, least rows of a group, most
 #: concentration steps, groups up to which a table of estimates is broadcast (some 500 bytes each and start).
 COVERAGE, LEVEL, MIN_ROWS, STEPS, FEW = 0.75, 1e-10, 50, 50, 10_000
+DRAWS, DRAWN = 6, 12
 #: Least standard deviation of each component: below it differences aren't taken as odd.
 VECTOR = (("v_words", 0.5), ("v_length", 0.08), ("v_symbols", 0.12), ("v_lines", 0.3), ("v_repeats", 0.3))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -162,21 +163,20 @@ def _distance(rows: DataFrame, models: DataFrame, how: str, kind: str = "inner")
             rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
         near = near.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
         solved.append(F.col(f"y{i}") * F.col(f"y{i}"))
-    more = [c for c in models.columns if c not in _KEY and c[0] not in "ml"]
+    more = [c for c in models.columns if c not in _KEY and c[0] not in "ml" and c != "size"]
     return near.select(*rows.columns, *more, sum(solved[1:], solved[0]).alias("d2"))
 
 
-def _level() -> Column:
-    return F.round(F.log(F.col("d2") + 1e-9) * 64).cast("int")
-
-
-def _inner(rows: DataFrame, models: DataFrame, how: str, share: float, folder: str) -> DataFrame:
-    """Estimates of each model's inner `share` of rows, with ties of the rounded log distance."""
+def _inner(rows: DataFrame, models: DataFrame, how: str, share: float) -> DataFrame:
+    """Estimates of each model's inner `share` of rows, with ties of the rounded log distance: rows are summed up by distance first."""
     key = [*_KEY, "start"]
-    far = _distance(rows, models, how).withColumn("level", _level())
-    bound = far.groupBy(*key).agg(F.percentile("level", F.lit(share)).alias("bound"))
-    kept = far.join(bound.hint(how), key).where("level <= bound")
-    return stored(_factored(kept.groupBy(*key).agg(*_sums([F.col(c) for c in _NAMES])), key, consistency(share)), folder)
+    far = _distance(rows, models, how).withColumn("level", F.round(F.log(F.col("d2") + 1e-9) * 32).cast("int"))
+    shells = far.groupBy(*key, "level").agg(*_sums([F.col(c) for c in _NAMES]))
+    group = Window.partitionBy(*key)
+    before = F.coalesce(F.sum("n").over(group.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = shells.withColumn("before", before).withColumn("whole", F.sum("n").over(group)).where(F.col("before") < share * F.col("whole"))
+    sums = [c for c in shells.columns if c not in (*key, "level")]
+    return _factored(kept.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums]), key, consistency(share))
 
 
 def _starts(rows: DataFrame, how: str, folder: str) -> DataFrame:
@@ -197,25 +197,25 @@ def _starts(rows: DataFrame, how: str, folder: str) -> DataFrame:
     shape = turned.groupBy(*_KEY, F.col("u.start").alias("start")).agg(*_sums([F.col(f"u.u{i}") for i in range(len(VECTOR))]))
     centred = {(i, j): F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * (F.col(f"s{j}") / F.col("n")) + (0.01 if i == j else 0) for i, j in _PAIRS}
     other = shape.join(robust.hint(how), _KEY).select(*key, *[f"m{i}" for i in range(len(VECTOR))], *[(c * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}{j}") for (i, j), c in centred.items()])
-    half = _inner(rows, stored(first.select("*"), folder), how, 0.5, folder).withColumn("start", F.lit(3))
-    return stored(first.unionByName(_cholesky(other, key)).unionByName(half), folder)
+    half = _inner(rows, first, how, 0.5).withColumn("start", F.lit(3))
+    sizes = rows.groupBy(*_KEY).agg(F.count("*").alias("size"))
+    drawn = rows.join(sizes.hint(how), _KEY).withColumn("start", F.explode(F.array(*[F.lit(4 + k) for k in range(DRAWS)])))
+    drawn = drawn.where(F.pmod(F.xxhash64("start", *_NAMES), F.col("size")) < DRAWN).groupBy(*key).agg(*_sums([F.col(c) for c in _NAMES]))
+    return stored(first.unionByName(_cholesky(other, key)).unionByName(half).unionByName(_factored(drawn, key, 1.0)), folder)
 
 
 def estimates(rows: DataFrame, how: str, folder: str, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
     """(k0, k1, m0.., l00..): the minimum covariance determinant estimate of rows (k0, k1, vector) of each key."""
     key = [*_KEY, "start"]
-    now = _inner(rows, _starts(rows, how, folder), how, coverage, folder)
-    settled = now.limit(0)
+    now = stored(_inner(rows, _starts(rows, how, folder), how, coverage).withColumn("falls", F.lit(True)), folder)
+    values = [c for c in now.columns if c not in (*key, "falls")]
     for _ in range(steps):
-        if now.isEmpty():
+        after = _inner(rows, now.where("falls").drop("falls"), how, coverage).select(*key, *[F.col(c).alias(f"{c}_") for c in values])
+        falls = F.coalesce(F.col("size_") < F.col("size") - 1e-9, F.lit(False))
+        now = stored(now.join(after.hint(how), key, "left").select(*key, *[F.when(falls, F.col(f"{c}_")).otherwise(F.col(c)).alias(c) for c in values], falls.alias("falls")), folder)
+        if now.where("falls").isEmpty():
             break
-        after = _inner(rows, now, how, coverage, folder).withColumnsRenamed({c: f"{c}_" for c in now.columns if c not in key})
-        both = now.join(after.hint(how), key)
-        falls = F.col("size_") < F.col("size") - 1e-9
-        settled = settled.unionByName(stored(both.where(~falls).select(*now.columns), folder))
-        now = stored(both.where(falls).select(*key, *[F.col(f"{c}_").alias(c) for c in now.columns if c not in key]), folder)
-    ended = settled.unionByName(now)
-    best = stored(ended.groupBy(*_KEY).agg(F.min_by(F.struct(*[c for c in now.columns if c not in _KEY]), F.struct("size", "start")).alias("x")).select(*_KEY, "x.*"), folder)
+    best = now.groupBy(*_KEY).agg(F.min_by(F.struct(*values), F.struct("size", "start")).alias("x")).select(*_KEY, "x.*")
     inside = _distance(rows, best.drop("size"), how).where(F.col("d2") <= quantile(0.025))
     again = _factored(inside.groupBy(*_KEY).agg(*_sums([F.col(c) for c in _NAMES])), _KEY, consistency(0.975))
     return stored(again.drop("size"), folder)

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -110,7 +111,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         for batch in stream:
             at = 0
-            sizes = np.cumsum(batch.column(1).fill_null("").cast(pa.large_string()).cast(pa.large_binary()).value_lengths().to_numpy()) if batch.num_rows else []
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
             while at < batch.num_rows:
                 done = int(sizes[at - 1]) if at else 0
                 last = max(at + 1, int(np.searchsorted(sizes, done + BLOCK - size, "right")))

@@ -159,8 +159,9 @@ def test_edited_passages():
     hot, width = np.zeros(1 << jaccard.SLOT_BITS, bool), passages.LEAST - passages.SIZE + 1
     tried = 0
     for one, other, (low, high), case in near_passages():
-        a, b = passages.Text.each(pa.array([" ".join(x) for x in (one, other)]), hot, width)
-        if len(set(a.value.tolist()) & set(b.value.tolist())) < 2:
+        a, b = passages.Text.each(pa.array([" ".join(x) for x in (one, other)]))
+        least = [set(passages.compact_windows(x.shingles, np.array([0, len(x.shingles)]), hot, width)[1].tolist()) for x in (a, b)]
+        if len(least[0] & least[1]) < 2:
             continue
         tried += 1
         found = passages.shared_passages(a, b, width)
@@ -253,6 +254,68 @@ def test_outliers(spark):
     assert [i for i, k in found.items() if not k] == [100, 101]  # the source with one row is judged by its language
 
 
+def plain_mcd(v):
+    """Squared distances by a minimum covariance determinant estimate of 60 random starts and one reweighting, in NumPy."""
+    import numpy as np
+
+    floor = np.diag([f**2 for _, f in quality.VECTOR])
+    p = v.shape[1]
+
+    def estimate(rows, share):
+        return rows.mean(axis=0), np.cov(rows.T, bias=True) * quality.consistency(share) + floor
+
+    def distances(mean, cov):
+        return np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(cov), v - mean)
+
+    rng, best = np.random.default_rng(4), None
+    for k in range(60):
+        mean, cov = estimate(v[rng.choice(len(v), p + 1 if k else len(v), replace=False)], 0.75)
+        size = np.inf
+        for _ in range(100):
+            d = distances(mean, cov)
+            level = np.round(np.log(d + 1e-9) * 32)
+            mean, cov = estimate(v[level <= np.sort(level)[int(np.ceil(0.75 * len(v))) - 1]], 0.75)
+            now = np.linalg.slogdet(cov)[1]
+            if now >= size - 1e-9:
+                break
+            size = now
+        if best is None or size < best[0]:
+            best = size, mean, cov
+    mean, cov = estimate(v[distances(*best[1:]) <= quality.quantile(0.025)], 0.975)
+    return distances(mean, cov)
+
+
+def test_outliers_against_numpy(spark):
+    """Verdicts by groups are those of a search over many starts."""
+    import math
+    import random
+
+    import numpy as np
+
+    rng, rows = random.Random(9), []
+    for group in range(3):
+        for i in range(150):
+            n = rng.randrange(40, 300)
+            mark = rng.choice(("", "", "", "#", "%%")) if i % 9 else "$$$$$$"
+            size = 3 + group if i % 13 else 17
+            lines = ["\n" if rng.random() < 0.05 else " " for _ in range(n)]
+            rows.append((1000 * group + i, "".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, size + 3))) + (mark if rng.random() < 0.3 else "") + x for x in lines), "en", f"s{group}"))
+    found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+    for group in range(3):
+        own = found[found.index // 1000 == group]
+        own = own[~own.base_failed]
+        grid = lambda x: math.floor(x * 1024 + 0.5) / 1024
+        v = np.array([[grid(math.log(r.n_words)), grid(math.log((r.word_chars + 1) / r.n_words)), grid(math.log1p(10 * r.n_symbols / r.n_words)), grid(math.log1p(100 * r.n_dup_lines / (r.n_words + 20))), grid(math.log1p(10 * r.n_repeat_words / r.n_words))] for r in own.itertuples()])
+        d = plain_mcd(v)
+        assert (own.kept.to_numpy() == (d <= quality.quantile(quality.LEVEL))).all() and 0 < (~own.kept).sum() < 60
+
+
+def test_quantiles():
+    """Values of the published tables of the chi-square distribution."""
+    assert quality.quantile(0.05) == pytest.approx(11.070, abs=1e-3) and quality.quantile(0.01, 7) == pytest.approx(18.475, abs=1e-3)
+    assert quality.consistency(0.999999) == pytest.approx(1, abs=1e-3)
+
+
 def test_bpe(docs):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(VOCABULARY)
