@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
+import json
+from html import entities
+
 from pyspark.sql import Column, functions as F
 
-#: The XML entities, decoded in this order.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Named character references, of the standard library's table, and characters whose folded form isn't their lower-case one.
+_NAMED = json.dumps({f"&{name}": value for name, value in entities.html5.items() if name.endswith(";")})
+_FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and c.casefold() != c.lower() and c != "\u0130"}
+_REFERENCE = r"(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);)"
+
+
+def _decoded(reference: Column) -> Column:
+    """The character of a reference; itself if there is none."""
+    digits = F.regexp_extract(reference, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).try_cast("long")
+    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    named = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), reference)
+    return F.when(reference.startswith("&#"), F.when(valid, char).otherwise("\ufffd")).otherwise(F.coalesce(named, reference))
 
 
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references with a semicolon decoded, once: those that give & come last."""
+    found = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), 1)), lambda r: F.struct((_decoded(r) == "&").alias("last"), r.alias("r"), _decoded(r).alias("c")))
+    return F.when(text.rlike(_REFERENCE), F.aggregate(F.array_sort(found), text, lambda t, x: F.replace(t, x["r"], x["c"]))).otherwise(text)
+
+
+def casefold(text: Column) -> Column:
+    """Lower case, with the characters folded that lower case leaves: \u00df is ss."""
+    low = F.lower(text)
+    table = F.map_entries(F.from_json(F.lit(json.dumps(_FOLDED)), "map<string,string>"))
+    marks = "".join(_FOLDED)
+    return F.when(low.rlike(f"[{marks}]"), F.aggregate(table, low, lambda t, x: F.replace(t, x["key"], x["value"]))).otherwise(low)
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def strip_html(value: Column) -> Column:
@@ -24,8 +47,8 @@ def strip_html(value: Column) -> Column:
 
 
 def normalize(value: Column) -> Column:
-    """Decoded, white space collapsed, lower case; null is empty."""
-    return F.lower(squeeze(unescape(F.coalesce(value, F.lit("")))))
+    """Decoded, white space collapsed, case folded; null is empty."""
+    return casefold(squeeze(unescape(F.coalesce(value, F.lit("")))))
 
 
 def hash_text(value: Column) -> Column:

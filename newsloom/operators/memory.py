@@ -8,27 +8,31 @@ from ..functions import entities, events, text
 
 
 def mentions(posts: DataFrame) -> DataFrame:
-    """post_id, published_at and each mention of the title and content."""
-    found = F.explode(entities.mentions(F.concat_ws("\n", "title", "content")))
-    return posts.select("post_id", "published_at", found.alias("m")).select("post_id", "published_at", "m.*")
+    """post_id, published_at, role (title or body) and each mention of it."""
+    parts = F.explode(F.array(F.struct(F.lit("title").alias("role"), F.col("title").alias("text")), F.struct(F.lit("body").alias("role"), F.col("content").alias("text"))))
+    rows = posts.select("post_id", "published_at", parts.alias("p")).select("post_id", "published_at", "p.*").where("text <> ''")
+    return rows.select("post_id", "published_at", "role", F.explode(entities.mentions("text", "role")).alias("m")).select("post_id", "published_at", "role", "m.*")
 
 
 def resolve(found: DataFrame, known: DataFrame) -> DataFrame:
-    """post_id, start, name, state, entity_id, confidence of mentions against known entities (entity_id, name).
+    """post_id, role, start, name, entity_type, state, entity_id, confidence of mentions against known entities (entity_id, name,
+    entity_type). Names match within a type.
 
-    One known entity of the name: resolved. Several: for review. None: the first mention makes a provisional entity, later
+    One known entity of the name and type: resolved. Several: for review. None: the first mention makes a provisional entity, later
     ones, by time, post and place, resolve to it.
     """
-    held = known.groupBy("name").agg(F.count("*").alias("known"), F.min("entity_id").alias("entity_id"))
-    rows = found.join(held, "name", "left")
-    heads = rows.groupBy("name").agg(F.min(F.struct("published_at", "post_id", "start")).alias("head"))
-    rows = rows.join(heads, "name")
-    first = F.struct("published_at", "post_id", "start") == F.col("head")
+    key = ["name", "entity_type"]
+    held = known.groupBy(*key).agg(F.count("*").alias("known"), F.min("entity_id").alias("entity_id"))
+    rows = found.join(held, key, "left")
+    place = F.struct("published_at", "post_id", F.col("role") == "body", "start")
+    heads = rows.groupBy(*key).agg(F.min(place).alias("head"))
+    rows = rows.join(heads, key)
+    first = place == F.col("head")
     n = F.coalesce("known", F.lit(0))
     state = F.when(n == 1, "resolved").when(n > 1, "needs_review").when(first, "provisional").otherwise("resolved")
     sure = F.when(n > 1, 0.0).when((n == 0) & first, F.greatest(F.lit(0.55), F.col("confidence") - 0.1)).otherwise(F.greatest(F.lit(0.92), F.col("confidence")))
-    made = F.substring(F.sha2("name", 256), 1, 16)
-    return rows.select("post_id", "start", "name", state.alias("state"), F.when(n == 1, F.col("entity_id")).when(n == 0, made).alias("entity_id"), F.round(sure, 3).alias("confidence"))
+    made = F.substring(F.sha2(F.concat_ws(":", "entity_type", "name"), 256), 1, 16)
+    return rows.select("post_id", "role", "start", *key, state.alias("state"), F.when(n == 1, F.col("entity_id")).when(n == 0, made).alias("entity_id"), F.round(sure, 3).alias("confidence"))
 
 
 def event_memory(posts: DataFrame) -> DataFrame:

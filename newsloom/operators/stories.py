@@ -53,3 +53,64 @@ def split(updates: DataFrame) -> DataFrame:
     """updates (story_id, update_id, day, current) with place: earlier, current or later; without a current one all are earlier."""
     now = F.max(F.when(F.col("current"), F.col("day"))).over(Window.partitionBy("story_id"))
     return updates.withColumn("__now", now).withColumn("place", F.when(F.col("__now").isNull(), "earlier").when(F.col("current"), "current").when(F.col("day") < F.col("__now"), "earlier").otherwise("later")).drop("__now")
+
+
+#: Decisions about candidates, in the order in which they are listed.
+DECISIONS = ("accepted", "proposed", "needs_review", "rejected")
+
+
+def role_of(method, relation, title, other_title):
+    """The part that a candidate plays in a story, by how it was found and whether it is earlier or later."""
+    differs = (F.trim(F.lower(F.coalesce(title, F.lit("")))) != "") & (F.trim(F.lower(F.coalesce(other_title, F.lit("")))) != "") & (F.trim(F.lower(title)) != F.trim(F.lower(other_title)))
+    return (
+        F.when(method.isin("same_canonical_url", "same_normalized_url", "same_content_hash"), "corroboration")
+        .when(relation == "later", "follow_up")
+        .when(relation == "earlier", "context")
+        .when(differs, "commentary")
+        .otherwise("context")
+    )
+
+
+def attach(stories: DataFrame, members: DataFrame, updates: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """stories, members and updates after accepted candidates are attached; attaching them again changes nothing.
+
+    stories: story_id, title, first_seen, last_seen. members: story_id, post_id, role, relevance. updates: story_id, day, title,
+    importance. accepted: story_id, post_id, title, role, score, published_at. Of a post the last role and the greatest
+    relevance stay; a story's window grows; a day without an update gets one, of the best candidate of that day.
+    """
+    new = accepted.select("story_id", "post_id", "role", F.col("score").alias("relevance"), F.lit(1).alias("seq"))
+    both = members.select("story_id", "post_id", "role", "relevance", F.lit(0).alias("seq")).unionByName(new)
+    held = both.groupBy("story_id", "post_id").agg(F.max_by("role", F.struct("seq", "relevance")).alias("role"), F.max("relevance").alias("relevance"))
+    seen = accepted.groupBy("story_id").agg(F.min("published_at").alias("low"), F.max("published_at").alias("high"))
+    window = {"first_seen": F.least("first_seen", "low"), "last_seen": F.greatest("last_seen", "high")}  # nulls are passed over
+    grown = stories.join(seen, "story_id", "left").withColumns(window).select(*stories.columns)
+    days = accepted.where("published_at IS NOT NULL").select("story_id", F.to_date("published_at").alias("day"), "title", "score", "post_id")
+    best = days.groupBy("story_id", "day").agg(F.max_by("title", F.struct("score", -F.col("post_id"))).alias("title"), F.max("score").alias("importance"))
+    missing = best.join(updates.select("story_id", "day"), ["story_id", "day"], "left_anti")
+    named = missing.join(stories.select("story_id", F.col("title").alias("__story")), "story_id", "left")
+    made = named.select("story_id", "day", F.coalesce(F.nullif("title", F.lit("")), "__story", F.lit("Story update")).alias("title"), "importance")
+    return grown, held, updates.select("story_id", "day", "title", "importance").unionByName(made)
+
+
+def detail(stories: DataFrame, members: DataFrame, updates: DataFrame, most: int = 50) -> DataFrame:
+    """A card of each story: counts, anchor, posts by role (the most relevant `most` of each) and updates in order.
+
+    members: story_id, post_id, role, relevance, is_anchor. updates: story_id, day, title, importance.
+    """
+    role = F.coalesce(F.nullif("role", F.lit("")), F.lit("context"))
+    rank = F.row_number().over(Window.partitionBy("story_id", "role").orderBy(F.col("relevance").desc(), "post_id"))
+    ranked = members.withColumn("role", role).withColumn("rank", rank)
+    roles = ranked.groupBy("story_id", "role").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "post_id")))).alias("p"))
+    roles = roles.groupBy("story_id").agg(F.sum("n").alias("posts"), F.array_sort(F.collect_list(F.struct("role", "n", F.transform("p", lambda x: x["post_id"]).alias("post_ids")))).alias("roles"))
+    anchor = members.where("is_anchor").groupBy("story_id").agg(F.max_by("post_id", F.struct("relevance", -F.col("post_id"))).alias("anchor"))
+    told = updates.groupBy("story_id").agg(F.count("*").alias("updates"), F.max("day").alias("last_update"), F.array_sort(F.collect_list(F.struct("day", "title", "importance"))).alias("timeline"))
+    out = stories.join(roles, "story_id", "left").join(anchor, "story_id", "left").join(told, "story_id", "left")
+    return out.withColumns({"posts": F.coalesce("posts", F.lit(0)), "updates": F.coalesce("updates", F.lit(0))})
+
+
+def candidate_order(candidates: DataFrame) -> DataFrame:
+    """candidates (decision, score, published_at, created_at) in the order of a review list."""
+    rank = F.lit(len(DECISIONS))
+    for i, name in reversed(list(enumerate(DECISIONS))):
+        rank = F.when(F.col("decision") == name, i).otherwise(rank)
+    return candidates.orderBy(rank, F.col("score").desc(), "published_at", "created_at")

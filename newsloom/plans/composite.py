@@ -80,7 +80,7 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = memory.mentions(_posts(spark, sf_dir))
-    known = found.where("kind = 'name' AND post_id < 50").select("name").distinct().select(F.concat(F.lit("known-"), F.md5("name")).alias("entity_id"), "name")
+    known = found.where("kind IN ('multiword', 'single') AND post_id < 50").select("name", "entity_type").distinct().select(F.concat(F.lit("known-"), F.md5("name")).alias("entity_id"), "name", "entity_type")
     return memory.resolve(found, known)
 
 
@@ -207,7 +207,7 @@ QUERIES = {
     )
 }
 
-_NORMAL = "lower(trim(regexp_replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')))"
+_NORMAL = "replace(lower(trim(regexp_replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))), 'ß', 'ss')"
 _TITLE, _CONTENT = _NORMAL.format("title"), _NORMAL.format("content")
 _SHORT = "rtrim(substr(trim(title), 1, 220))"
 _SCORED_POSTS = """scored_posts AS (SELECT id, novelty, round(greatest(100 * (0.50 * novelty_raw + 0.28 * (0.30 + 0.30 * least(artifacts / 3, 1.0) + 0.20 * least(relations / 5, 1.0) + 0.20 * 0.9)

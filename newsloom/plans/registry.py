@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import tables
-from . import composite, relational
+from . import composite, content, relational
 
 
 def _statement(body: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,5 +18,5 @@ def _statement(body: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _statement(body) for name, body in relational.SQL.items()} | composite.QUERIES
-ORACLE_SQL: dict[str, str] = {name: tables.duckdb_sql(relational.duck_sql(body)) for name, body in relational.SQL.items()} | {name: tables.duckdb_sql(body) for name, body in composite.ORACLE.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _statement(body) for name, body in relational.SQL.items()} | composite.QUERIES | content.QUERIES
+ORACLE_SQL: dict[str, str] = {name: tables.duckdb_sql(relational.duck_sql(body)) for name, body in relational.SQL.items()} | {name: tables.duckdb_sql(body) for name, body in (composite.ORACLE | content.ORACLE).items()}

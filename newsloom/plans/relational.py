@@ -26,13 +26,7 @@ SQL: dict[str, str] = {
     "posts_literal_order": "SELECT v.ord, p.post_id, p.title FROM (VALUES (1, 21), (2, 3), (3, 8)) v(ord, post_id) JOIN posts p ON p.post_id = v.post_id",
     "items_by_kind": """SELECT post_id, CASE WHEN lang = 'en' THEN 'post' ELSE 'story' END AS target_type,
   CASE WHEN lang = 'en' THEN title END AS post_title, CASE WHEN lang <> 'en' THEN source_id END AS story_source FROM posts""",
-    "source_route": """SELECT source_id, CASE platform WHEN 'telegram' THEN 'telegram_rss' WHEN 'reddit' THEN 'reddit_subreddit'
-  WHEN 'youtube' THEN 'youtube_channel' ELSE 'generic_rss' END AS strategy FROM sources""",
     "source_search": "SELECT source_id, platform FROM sources WHERE platform LIKE '%red%' OR lower(source_id) LIKE '%1%'",
-    "archive_plan": """SELECT n AS pages, batch, n + (n - 1 - floor((n - 1) / batch)) * delay + floor((n - 1) / batch) * cooldown AS seconds FROM (
-  SELECT CAST(p AS BIGINT) AS n, CAST(10 AS BIGINT) AS batch, CAST(10 AS BIGINT) AS delay, CAST(30 AS BIGINT) AS cooldown FROM (SELECT ceil(count(*) / 20.0) AS p FROM posts GROUP BY source_id) c) x""",
-    "rate_limits": """SELECT source_id, greatest(coalesce(CASE WHEN priority % 3 = 0 THEN 3 END, CASE WHEN priority % 2 = 0 THEN 7 END, 9), 0) AS page_delay,
-  greatest(coalesce(CASE WHEN priority % 2 = 0 THEN 8 END, 10), 1) AS batch_size FROM sources""",
     "fetch_due": f"""SELECT s.source_id, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'fetch' WHEN {AS_OF} - last_minute < 20 * 60 THEN 'skip' ELSE 'fetch' END AS decision
   FROM sources s LEFT JOIN (SELECT source_id, count(*) AS n, max(minute) AS last_minute FROM posts GROUP BY source_id) p ON p.source_id = s.source_id""",
     "ingest_order": "SELECT source_id, platform, CAST(row_number() OVER (PARTITION BY platform ORDER BY priority, source_id) AS INT) AS position FROM sources WHERE enabled",

@@ -107,10 +107,11 @@ def test_inbox_order(spark):
 
 
 def test_resolution(spark):
-    rows = [(1, datetime(2024, 1, 1), 0, "ada", 0.8), (2, datetime(2024, 1, 2), 0, "ada", 0.8), (3, datetime(2024, 1, 2), 5, "bob", 0.8), (3, datetime(2024, 1, 2), 9, "cy", 0.8)]
-    known = spark.createDataFrame([("e1", "bob"), ("e2", "cy"), ("e3", "cy")], "entity_id string, name string")
-    found = memory.resolve(spark.createDataFrame(rows, "post_id long, published_at timestamp, start int, name string, confidence double"), known)
-    assert {(r["post_id"], r["name"]): r["state"] for r in found.collect()} == {(1, "ada"): "provisional", (2, "ada"): "resolved", (3, "bob"): "resolved", (3, "cy"): "needs_review"}
+    rows = [(1, datetime(2024, 1, 1), 0, "ada", "person", 0.8), (2, datetime(2024, 1, 2), 0, "ada", "person", 0.8), (3, datetime(2024, 1, 2), 5, "bob", "person", 0.8), (3, datetime(2024, 1, 2), 9, "cy", "person", 0.8), (4, datetime(2024, 1, 3), 0, "bob", "organization", 0.8)]
+    known = spark.createDataFrame([("e1", "bob", "person"), ("e2", "cy", "person"), ("e3", "cy", "person")], "entity_id string, name string, entity_type string")
+    table = spark.createDataFrame(rows, "post_id long, published_at timestamp, start int, name string, entity_type string, confidence double").withColumn("role", F.lit("body"))
+    found = {(r["post_id"], r["name"]): r["state"] for r in memory.resolve(table, known).collect()}
+    assert found == {(1, "ada"): "provisional", (2, "ada"): "resolved", (3, "bob"): "resolved", (3, "cy"): "needs_review", (4, "bob"): "provisional"}
 
 
 def test_feed(spark):
@@ -163,3 +164,81 @@ def test_detail(spark):
     members = spark.createDataFrame([("b", 2, 1), ("b", 1, 2), ("b", 2, 3)], "artifact_id string, post_id long, position int")
     marks = spark.createDataFrame([(2, "best", 0.9, 1), (2, "worse", 0.2, 2)], "post_id long, text string, importance double, position int")
     assert [(r["post_id"], r["role"], r["highlight"]) for r in detail.artifact_references(members, marks).orderBy("place").collect()] == [(2, "primary", "best"), (1, "supporting", None)]
+
+
+def test_kinds_of_entities():
+    """Types and confidences of mentions, by title and body."""
+    kinds = {"OpenAI Research": "organization", "Dr Smith": "person", "@user": "unknown", "Anna": "organization", "NASA": "unknown", "DeepMind": "organization", "the": "unknown", "": "unknown", "Ada Lovelace": "organization"}
+    assert {m: entities.kind_of(m) for m in kinds} == {**kinds, "Anna": "unknown"}  # of four letters
+    assert entities.kind_of("Anna", "title") == "organization"
+    found = {m["text"]: (m["kind"], m["confidence"]) for m in entities.mentions_of("#ai #science Berlin said Berlin and Paris, with OpenAI and Lab Lab")}
+    assert found["#ai"] == ("hashtag", 0.55) and found["#science"] == ("hashtag", 0.66) and found["Berlin"][0] == "single" and "Paris" not in found
+    assert found["Lab Lab"] == ("multiword", 0.88) and found["OpenAI"] == ("single", 0.70)
+    assert [m["text"] for m in entities.mentions_of("Paris", "title")] == ["Paris"] and entities.mentions_of(None) == []
+
+
+def test_upserts_change_nothing_twice(spark):
+    """Every table's rules: merging the same rows again gives the same table."""
+    from newsloom.operators import merge
+
+    for table, (keys, rules) in merge.TABLES.items():
+        kinds = {"map": "map<string,string>", "append": "array<string>", "any": "boolean", "add": "bigint"}
+        own = {c: kinds.get(k, "string") for c, k in rules.items() if k not in ("add", "append", "concat")}
+        row = lambda i: tuple({"map<string,string>": {"a": str(i), f"k{i}": "x"}, "boolean": i % 2 == 0, "string": None if i % 3 == 0 else f"v{i}"}[t] for t in own.values())  # noqa: E731, B023
+        schema = ", ".join([*(f"{k} string" for k in keys), *(f"{c} {t}" for c, t in own.items()), "seq bigint"])
+        frame = lambda ids: spark.createDataFrame([(*(f"key{i % 3}" + ("b" if k == "to_id" else "") for k in keys), *row(i), i) for i in ids], schema)  # noqa: E731, B023
+        once = merge.upsert(table, frame(range(4)), frame(range(4, 9)))
+        twice = merge.upsert(table, once.drop("first_write"), frame(range(4, 9)))
+        strip = lambda t: sorted((str({k: v for k, v in r.asDict().items() if k != "first_write"}) for r in t.collect()))
+        assert strip(once) == strip(twice), table
+
+
+def test_transcripts(spark):
+    from newsloom.functions import sources
+
+    rows = [
+        ("a", False, "de", 0, "vtt", "WEBVTT\n\n1\n00:00 --> 00:01\nHallo\n"),
+        ("a", True, "en", 0, "json3", '{"events": [{"segs": [{"utf8": "Hi "}, {"utf8": "you"}]}, {}, {"segs": [{"utf8": "\\n"}]}, {"segs": [{"utf8": "there"}]}]}'),
+        ("b", False, "fr", 0, "srv3", "<tt><p t='1'>un</p><p> </p><p>deux</p></tt>"),
+        ("b", True, "fr", 0, "vtt", "later"),
+        ("c", False, "en", 0, "vtt", "WEBVTT\n12\n"),
+    ]
+    tracks = spark.createDataFrame(rows, "video_id string, automatic boolean, language string, position int, kind string, payload string")
+    found = {r["video_id"]: (r["source"], r["text"]) for r in sources.best_transcript(tracks).collect()}
+    assert found == {"a": ("automatic_captions:en", "Hi you\nthere"), "b": ("subtitles:fr", "un\ndeux")}
+
+
+def test_compaction_and_addresses(spark):
+    from newsloom.functions import sources
+
+    row = spark.range(1).select(
+        F.char_length(sources.compact_text(F.repeat(F.lit("x"), 700), "content")).alias("short"),
+        F.char_length(sources.compact_text(F.repeat(F.lit("x"), 700), "title")).alias("whole"),
+        sources.compact_list(F.sequence(F.lit(1), F.lit(30)), "topics").alias("topics"),
+        sources.compact_list(F.sequence(F.lit(1), F.lit(300)), "events").alias("events"),
+        sources.compact_list(F.sequence(F.lit(1), F.lit(20)), "items").alias("items"),
+        sources.public_address(F.lit("see http://127.0.0.1:9504/a and https://base/b"), "https://t.example", "https://base").alias("address"),
+    ).first()
+    assert row["short"] == 600 + len("... [truncated]") and row["whole"] == 700
+    assert (len(row["topics"]["items"]), row["topics"]["dropped"], row["events"]["items"][0], len(row["items"]["items"])) == (12, 18, 101, 20)
+    assert row["address"] == "see https://t.example/a and https://t.example/b"
+
+
+def test_folding_and_references(spark):
+    """As the standard library does, for references with a semicolon."""
+    import html
+
+    said = ["Straße &amp;lt; &lt;b&gt; &eacute;&#8217;&#x1F600;&nbsp;x &unknown; &copy 1", "ΟΔΟΣ ﬁn ẞ", "plain & simple", "&#0; &#xD800; &amp;amp;", "", "İstanbul"[1:]]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", text.unescape(F.col("s")).alias("u"), text.casefold(F.col("s")).alias("f")).collect()
+    for r in rows:
+        wanted = html.unescape(said[r["i"]].replace("&copy 1", "@@"))
+        assert r["u"].replace("&copy 1", "@@") == wanted and r["f"] == said[r["i"]].casefold()
+
+
+def test_sources_csv(spark, tmp_path):
+    from newsloom.sources import sinks
+
+    sources = spark.createDataFrame([("1", "rss", "u", True, 3), ("2", "rss", None, False, 0), ("3", None, "w", True, None)], "id string, platform string, handle_or_url string, enabled boolean, post_count int")
+    totals = {r["platform"]: (r["sources"], r["enabled"], r["posts"]) for r in sinks.sources_csv(sources, f"{tmp_path}/out").collect()}
+    assert totals == {"rss": (2, 1, 3), "unknown": (1, 1, 0), None: (3, 2, 3)}
+    assert spark.read.csv(f"{tmp_path}/out", header=True).columns == list(sinks.SOURCE_COLUMNS)
