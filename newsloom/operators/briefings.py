@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text
+from . import ranking
 
 
 def daily(posts: DataFrame, day: str = "day") -> DataFrame:
     """day, content: a Markdown briefing of each day. posts: post_id, source_id, title, content, published_at, day."""
-    newest = F.row_number().over(Window.partitionBy(day).orderBy(F.col("published_at").desc(), F.col("post_id").desc()))
-    ranked = posts.select(day, "source_id", newest.alias("rn"), text.brief(F.col("title"), F.col("content")).alias("brief"), text.topic(F.col("title"), F.col("content")).alias("topic"))
-    head = F.col("rn") <= 5
-    by_source = ranked.groupBy(day, "source_id").agg(F.min("rn").alias("first"), F.count("*").alias("n"))
-    order = F.row_number().over(Window.partitionBy(day).orderBy("first"))
-    names = by_source.withColumn("place", order).groupBy(day).agg(F.sum("n").alias("n"), F.count("*").alias("sources"), F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("first", "source_id")))).alias("top"))
-    lines = ranked.where(head).groupBy(day).agg(F.array_sort(F.collect_list(F.struct("rn", "source_id", "brief", "topic"))).alias("top_posts"))
+    keys = posts.select(day, "source_id", "published_at", "post_id")
+    first = ranking.top(keys, [day], [F.col("published_at").desc(), F.col("post_id").desc()], 5, "rn").select("post_id", "rn")
+    ranked = posts.join(first, "post_id").select(day, "source_id", "rn", text.brief(F.col("title"), F.col("content")).alias("brief"), text.topic(F.col("title"), F.col("content")).alias("topic"))
+    by_source = keys.groupBy(day, "source_id").agg(F.max(F.struct("published_at", "post_id")).alias("newest"), F.count("*").alias("n"))
+    order = F.row_number().over(Window.partitionBy(day).orderBy(F.col("newest").desc()))
+    names = by_source.withColumn("place", order).groupBy(day).agg(F.sum("n").alias("n"), F.count("*").alias("sources"), F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "source_id")))).alias("top"))
+    lines = ranked.groupBy(day).agg(F.array_sort(F.collect_list(F.struct("rn", "source_id", "brief", "topic"))).alias("top_posts"))
     both = names.join(lines, day)
     executive = F.concat(
         F.format_string("- %d posts collected across %d sources: ", "n", "sources"),

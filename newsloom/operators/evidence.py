@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import entities, language, text, urls
-from . import graph
+from . import graph, ranking
 
 VERSION = "evidence-foundation-v1"
 #: Phrases that mark a translated text.
@@ -47,15 +47,25 @@ def artifacts(posts: DataFrame) -> DataFrame:
 
 
 def candidates(posts: DataFrame, shared: DataFrame, caps: tuple[int, int, int] | None = (50, 50, 100), days: int = 7) -> DataFrame:
-    """(probe, candidate) by equal address, shared artifact, or equal host within days: equi-joins, each capped per probe (None: all)."""
+    """(probe, candidate) by equal address, shared artifact, or equal host within days, newest first, each capped per probe (None: all).
+
+    A probe's newest are among the newest cap + 1 of a key, itself included: only these are joined, so a busy key costs each
+    probe no more than its cap.
+    """
+    most = caps or (None,) * 3
+
+    def newest(rows: DataFrame, key: str, cap: int | None) -> DataFrame:
+        return rows if cap is None else ranking.top(rows, [key], [F.col("then").desc(), F.col("candidate")], cap + 1).drop("rank")
+
     probe = posts.select(F.col("post_id").alias("probe"), "normalized_url", "url_host", F.col("published_at").alias("at"))
     other = posts.select(F.col("post_id").alias("candidate"), "normalized_url", "url_host", F.col("published_at").alias("then"))
-    by_url = probe.join(other.drop("url_host"), "normalized_url").select("probe", "candidate", "then")
+    by_url = probe.join(newest(other.drop("url_host").where("normalized_url IS NOT NULL"), "normalized_url", most[0]), "normalized_url").select("probe", "candidate", "then")
     links = shared.select("normalized_url", F.col("post_id").alias("probe"))
-    by_artifact = links.join(shared.select("normalized_url", F.col("post_id").alias("candidate")), "normalized_url").join(other.select("candidate", "then"), "candidate").select("probe", "candidate", "then")
-    by_host = probe.drop("normalized_url").join(other.drop("normalized_url"), "url_host").where(F.col("then") >= F.col("at") - F.expr(f"INTERVAL {days} DAYS")).select("probe", "candidate", "then")
+    linked = shared.select("normalized_url", F.col("post_id").alias("candidate")).join(other.select("candidate", "then"), "candidate")
+    by_artifact = links.join(newest(linked, "normalized_url", most[1]), "normalized_url").select("probe", "candidate", "then")
+    by_host = probe.drop("normalized_url").join(newest(other.drop("normalized_url").where("url_host IS NOT NULL"), "url_host", most[2]), "url_host").where(F.col("then") >= F.col("at") - F.expr(f"INTERVAL {days} DAYS")).select("probe", "candidate", "then")
     out = None
-    for pool, cap in zip((by_url, by_artifact, by_host), caps or (None,) * 3, strict=True):
+    for pool, cap in zip((by_url, by_artifact, by_host), most, strict=True):
         pool = pool.where("probe <> candidate").distinct()
         if cap is not None:
             rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.col("then").desc(), "candidate"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .ranking import checkpoints
+
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(id, component) of the ids in edges (a, b): the least id that each reaches.
@@ -11,9 +13,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     Each round takes the least label of all neighbours and then the label of that label, so paths halve. A hub's neighbours
     are combined before the shuffle. Lineage is cut by checkpoint(), whose folder the session names.
     """
-    context = edges.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir("file:///tmp/checkpoints")
+    checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
     before = None
@@ -26,4 +26,6 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if total == before:
             break
         before = total
+    else:
+        raise RuntimeError("components did not settle")
     return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))

@@ -10,15 +10,22 @@ from ..functions import text
 METHODS = ("same_normalized_url", "same_canonical_url", "same_content_hash", "same_title_hash", "title_similarity", "summary_similarity")
 
 
-def pool(posts: DataFrame, days: int = 30, cap: int | None = 120) -> DataFrame:
-    """(post_id, other) within `days` of each other, nearest first: an equi-join on time buckets and their neighbours."""
+def pool(posts: DataFrame, days: int = 30, cap: int = 120) -> DataFrame:
+    """(post_id, other, gap in seconds) of the `cap` posts nearest in time of the same blocking key, within `days`.
+
+    The nearest are among the `cap` before and the `cap` after in the order of time and id, so a busy key costs no more for each
+    post. Every post is dealt to its own stretch of time and, as a neighbour, to the two beside it: a key is split by time. Of
+    more than `cap` posts of one moment those next in the order of ids are taken.
+    """
     span = days * 86400
-    mine = posts.select("post_id", "blocking", F.unix_seconds("published_at").alias("t")).withColumn("bucket", F.explode(F.array(*[F.floor(F.col("t") / span) + k for k in (-1, 0, 1)])))
-    theirs = posts.select(F.col("post_id").alias("other"), "blocking", F.unix_seconds("published_at").alias("u")).withColumn("bucket", F.floor(F.col("u") / span))
-    rows = mine.join(theirs, ["blocking", "bucket"]).where((F.col("post_id") != F.col("other")) & (F.abs(F.col("t") - F.col("u")) <= span))
-    if cap is not None:
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("post_id").orderBy(F.abs(F.col("t") - F.col("u")), "other"))).where(F.col("rank") <= cap)
-    return rows.select("post_id", "other")
+    at = posts.where("published_at IS NOT NULL").select("post_id", "blocking", F.unix_seconds("published_at").alias("t"))
+    dealt = at.withColumn("k", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("stretch", F.floor(F.col("t") / span) + F.col("k"))
+    around = Window.partitionBy("blocking", "stretch").orderBy("t", "post_id").rowsBetween(-cap, cap)
+    rows = dealt.withColumn("near", F.collect_list(F.struct("t", "post_id")).over(around)).where("k = 0")
+    gap = lambda x: F.abs(x["t"] - F.col("t"))
+    close = F.filter("near", lambda x: (x["post_id"] != F.col("post_id")) & (gap(x) <= span))
+    first = F.slice(F.array_sort(F.transform(close, lambda x: F.struct(gap(x).alias("gap"), x["post_id"].alias("other")))), 1, cap)
+    return rows.select("post_id", F.explode(first).alias("n")).select("post_id", "n.other", "n.gap")
 
 
 def score(pairs: DataFrame, posts: DataFrame) -> DataFrame:
@@ -26,7 +33,7 @@ def score(pairs: DataFrame, posts: DataFrame) -> DataFrame:
     columns = ("normalized_url", "content_hash", "title_hash", "url_host", "published_at")
     extra = {"title_words": text.tokens(F.col("title")), "summary_words": text.tokens(text.first_sentence(F.col("content"))), "tag_set": F.coalesce("tags", F.array().cast("array<string>"))}
     side = lambda key, p: posts.select(F.col("post_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in columns], *[c.alias(f"{p}_{n}") for n, c in extra.items()])
-    rows = pairs.join(side("post_id", "a"), "post_id").join(side("other", "b"), "other")
+    rows = pairs.select("post_id", "other").join(side("post_id", "a"), "post_id").join(side("other", "b"), "other")
     same = lambda c: F.coalesce((F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col(f"a_{c}") != ""), F.lit(False))
     title, summary = (text.jaccard(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in ("title_words", "summary_words"))
     rows = rows.withColumns({"title_like": title, "summary_like": summary})

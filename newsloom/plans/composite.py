@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import language, text, urls
-from ..operators import briefings, evidence, inbox, memory, merge, stories, topics
+from ..operators import briefings, evidence, inbox, memory, merge, ranking, stories, topics
 from ..sources import feeds, tables
 
 
@@ -108,15 +108,40 @@ def _newest(posts: DataFrame) -> DataFrame:
     return posts.agg(F.max("minute").alias("now"))
 
 
+def cluster_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first post of the same text, and how many there are: by a hash, so that texts don't meet in one task."""
+    marks = _posts(spark, sf_dir).select("post_id", F.sha2("content", 256).alias("mark"))
+    heads = marks.groupBy("mark").agg(F.min("post_id").alias("canonical"), F.count("*").alias("size"))
+    return marks.alias("m").join(heads.alias("h"), F.col("m.mark").eqNullSafe(F.col("h.mark"))).select("post_id", "canonical", "size")
+
+
+def nearby_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every post the 120 nearest in time of the same source and language, within 30 days."""
+    posts = _posts(spark, sf_dir).select("post_id", "published_at", F.concat_ws("|", "source_id", "lang").alias("blocking"))
+    return stories.pool(posts).select("post_id", "other", (F.col("gap") / 60).cast("long").alias("gap"))
+
+
+def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = _posts(spark, sf_dir)
+    recent = posts.crossJoin(F.broadcast(_newest(posts))).where("minute >= now - 10080").select("post_id", F.char_length("title").alias("size"), "minute")
+    return ranking.positions(recent, [F.col("size").desc(), F.col("minute").desc(), F.col("post_id").asc()]).select("post_id", F.col("position").cast("int").alias("position"))
+
+
+def posts_in_caller_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = ranking.positions(tables.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("post_id")), [F.col("post_id").desc()], "ord")
+    return wanted.join(_posts(spark, sf_dir).select("post_id", "source_id"), "post_id").select("ord", "post_id", "source_id")
+
+
 def inbox_post_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of the last week with what their scores are made of."""
     posts, acts = _posts(spark, sf_dir), tables.interactions(spark, sf_dir)
     users = acts.agg((F.max("user_id") + 1).alias("users"))
     clicks = acts.where("kind = 'click'").groupBy("user_id").agg(F.count("*").alias("artifacts"))
-    copies = posts.groupBy(F.xxhash64("content").alias("ck"), "content").agg(F.count("*").alias("copies"), F.min("post_id").alias("first")).drop("ck")
+    posts = posts.withColumn("mark", F.sha2("content", 256)).drop("content", "title")  # texts don't go through shuffles
+    copies = posts.groupBy("mark").agg(F.count("*").alias("copies"), F.min("post_id").alias("first"))
     rows = posts.crossJoin(F.broadcast(users)).crossJoin(F.broadcast(_newest(posts)))  # one row each
     rows = rows.where(F.col("minute") >= F.col("now") - inbox.POST_HOURS * 60).withColumn("user_id", F.col("post_id") % F.col("users"))
-    rows = rows.join(clicks, "user_id", "left").join(copies, "content").join(tables.sources(spark, sf_dir).select("source_id", "priority"), "source_id")
+    rows = rows.join(clicks, "user_id", "left").join(copies, "mark").join(tables.sources(spark, sf_dir).select("source_id", "priority"), "source_id")
     return rows.select(
         F.col("post_id").alias("id"),
         ((F.col("now") - F.col("minute")) / 60).alias("hours"),
@@ -172,7 +197,7 @@ def source_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = _posts(spark, sf_dir).withColumn("cluster", F.min("post_id").over(Window.partitionBy("content")))
+    posts = _posts(spark, sf_dir).select("post_id", "source_id", "title").join(cluster_canonical(spark, sf_dir).select("post_id", F.col("canonical").alias("cluster")), "post_id")
     return briefings.tracks(posts)
 
 
@@ -203,7 +228,7 @@ QUERIES = {
     for f in (
         post_fingerprints, post_briefs, page_hosts, page_urls, page_posts, post_languages, post_tags, post_highlights, post_artifacts, post_relations, evidence_clusters,
         entity_mentions, entity_resolution, event_memory, story_candidates, similar_topics, topic_storage, inbox_posts, inbox_stories, inbox_rebuild, daily_briefings,
-        source_briefings, weekly_topics, source_profiles, source_tracks, merged_posts, comment_tree, hourly_activity, user_sessions,
+        cluster_canonical, nearby_posts, queue_position, posts_in_caller_order, source_briefings, weekly_topics, source_profiles, source_tracks, merged_posts, comment_tree, hourly_activity, user_sessions,
     )
 }
 
@@ -241,6 +266,19 @@ ORACLE: dict[str, str] = {
     "inbox_rebuild": f"""WITH {_SCORED_POSTS}, {_SCORED_STORIES},
 items AS (SELECT 'story' AS target_type, id AS target_id, score, novelty FROM scored_stories WHERE score >= 30 UNION ALL SELECT 'post', id, score, novelty FROM scored_posts WHERE score >= 25)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, novelty DESC, CASE WHEN target_type = 'story' THEN 0 ELSE 1 END, target_id) AS INT) AS position FROM items) x WHERE position <= 100""",
+    "cluster_canonical": "SELECT post_id, min(post_id) OVER (PARTITION BY content) AS canonical, count(*) OVER (PARTITION BY content) AS size FROM posts",
+    "nearby_posts": """SELECT post_id, other, gap FROM (SELECT a.post_id, b.post_id AS other, abs(a.minute - b.minute) AS gap, row_number() OVER (PARTITION BY a.post_id ORDER BY abs(a.minute - b.minute), b.post_id) AS rn
+  FROM posts a JOIN posts b ON b.source_id = a.source_id AND b.lang = a.lang AND b.post_id <> a.post_id AND abs(a.minute - b.minute) <= 43200) x WHERE rn <= 120""",
+    "queue_position": "SELECT post_id, CAST(row_number() OVER (ORDER BY length(title) DESC, minute DESC, post_id) AS INT) AS position FROM posts WHERE minute >= (SELECT max(minute) FROM posts) - 10080",
+    "posts_in_caller_order": "SELECT o.ord, p.post_id, p.source_id FROM (SELECT doc_id AS post_id, row_number() OVER (ORDER BY doc_id DESC) AS ord FROM labels) o JOIN posts p ON p.post_id = o.post_id",
+    "post_tags": """SELECT post_id, array_to_string(list_filter(['rss', CASE WHEN regexp_matches(t, 'ai|llm|model|agent|openai|gemini|claude') THEN 'ai' END, CASE WHEN regexp_matches(t, 'paper|research|study|benchmark') THEN 'research' END,
+  CASE WHEN regexp_matches(t, 'video|youtube|watch') THEN 'video' END, CASE WHEN regexp_matches(t, 'policy|law|regulation|government') THEN 'policy' END, CASE WHEN regexp_matches(t, 'code|coding|programming|dev') THEN 'coding' END,
+  CASE WHEN regexp_matches(t, 'server|infra|deployment|docker|kubernetes') THEN 'infrastructure' END], lambda x: x IS NOT NULL)[1:5], ',') AS tags FROM (SELECT post_id, lower(title || ' ' || content) AS t FROM posts) x""",
+    "daily_briefings": f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY minute DESC, post_id DESC) AS rn, CASE WHEN trim(title) = '' THEN '' WHEN regexp_matches({_SHORT}, '[.!?]$') THEN {_SHORT} ELSE {_SHORT} || '.' END AS brief, substr(trim(title), 1, 120) AS topic FROM posts),
+s AS (SELECT day, source_id, min(rn) AS first FROM p GROUP BY day, source_id), n AS (SELECT day, string_agg(source_id, ', ' ORDER BY first) AS names FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY first) AS place FROM s) x WHERE place <= 3 GROUP BY day)
+SELECT CAST(p.day AS VARCHAR) AS day, '## Executive Summary' || chr(10) || '- ' || count(*) || ' posts collected across ' || count(DISTINCT source_id) || ' sources: ' || any_value(names) || '. Most recent activity came from ' || arg_min(source_id, rn) || '.'
+  || chr(10) || chr(10) || '## Main Developments' || chr(10) || string_agg(CASE WHEN rn <= 5 THEN '- ' || source_id || ': ' || brief END, chr(10) ORDER BY rn)
+  || chr(10) || chr(10) || '## Signals To Watch' || chr(10) || string_agg(CASE WHEN rn <= 3 THEN '- Watch for follow-up from ' || source_id || ' on ' || topic || '.' END, chr(10) ORDER BY rn) AS content FROM p JOIN n ON n.day = p.day GROUP BY p.day""",
     "source_briefings": f"""SELECT CAST(day AS STRING) AS day, source_id, 'Updates from ' || source_id AS title, count(*) AS post_count, string_agg(CASE WHEN rn <= 3 THEN brief END, ' ' ORDER BY rn) AS summary FROM (
   SELECT day, source_id, CASE WHEN regexp_matches({_SHORT}, '[.!?]$') THEN {_SHORT} ELSE {_SHORT} || '.' END AS brief, row_number() OVER (PARTITION BY day, source_id ORDER BY post_id) AS rn FROM posts) x GROUP BY day, source_id""",
     "weekly_topics": """SELECT CAST(CAST(date_trunc('week', day) AS DATE) AS STRING) AS week, 'Updates from ' || source_id AS title, string_agg(DISTINCT CAST(day AS STRING), ', ' ORDER BY CAST(day AS STRING)) AS days, count(*) AS posts

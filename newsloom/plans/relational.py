@@ -19,6 +19,7 @@ SQL: dict[str, str] = {
     "posts_optional_filters": "SELECT post_id, lang FROM posts WHERE (lang = 'en' OR lang = 'de') AND source_id = 'src1' AND post_id <> 17",
     "posts_guarded_cast": "SELECT post_id, CASE WHEN regexp_replace(source_id, '^src', '') RLIKE_DIGITS THEN CAST(regexp_replace(source_id, '^src', '') AS INT) ELSE 999 END AS priority FROM posts",
     "posts_json_path": "SELECT event_id, coalesce(k, 999) AS k FROM interactions",
+    "posts_coalesced": "SELECT post_id FROM posts WHERE coalesce(CASE WHEN post_id % 3 = 0 THEN day END, CASE WHEN post_id % 3 = 1 THEN CAST('2024-01-03' AS DATE) END, CAST('2024-01-09' AS DATE)) BETWEEN DATE '2024-01-02' AND DATE '2024-01-05'",
     "posts_membership": "SELECT post_id, title FROM posts WHERE post_id IN (3, 5, 8, 13, 21, 34)",
     "posts_semi_join": "SELECT p.post_id, p.source_id FROM posts p WHERE p.post_id IN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)",
     "posts_anti_join": "SELECT p.post_id, p.source_id FROM posts p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.post_id)",
@@ -47,11 +48,7 @@ SELECT post_id, count(*) AS degree FROM (SELECT f AS post_id FROM e UNION ALL SE
     "polymorphic_left_join": """WITH items AS (SELECT post_id AS target_id, CASE WHEN post_id % 2 = 0 THEN 'post' ELSE 'source' END AS target_type FROM posts)
 SELECT i.target_id, i.target_type, p.title, l.quality FROM items i LEFT JOIN posts p ON i.target_type = 'post' AND p.post_id = i.target_id
 LEFT JOIN labels l ON i.target_type = 'source' AND l.doc_id = i.target_id""",
-    "posts_in_caller_order": "SELECT o.ord, p.post_id, p.source_id FROM (SELECT doc_id AS post_id, row_number() OVER (ORDER BY doc_id DESC) AS ord FROM labels) o JOIN posts p ON p.post_id = o.post_id",
     "table_counts": """SELECT (SELECT count(*) FROM posts) AS posts, (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM sources WHERE enabled) AS enabled, (SELECT count(*) FROM interactions) AS interactions""",
-    "nearby_posts": """WITH near AS (SELECT a.post_id, b.post_id AS other, abs(a.minute - b.minute) AS gap, row_number() OVER (PARTITION BY a.post_id ORDER BY abs(a.minute - b.minute), b.post_id) AS rn
-  FROM posts a JOIN posts b ON b.source_id = a.source_id AND b.lang = a.lang AND b.post_id <> a.post_id AND b.minute BETWEEN a.minute - 43200 AND a.minute + 43200 WHERE a.post_id % 50 = 0)
-SELECT post_id, other, gap FROM near WHERE rn <= 120""",
     "nation_revenue": """SELECT n.n_name, CAST(count(*) AS BIGINT) AS n_lines, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem l
   JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY n.n_name""",
     # --- aggregates -----------------------------------------------------------------------------
@@ -75,9 +72,7 @@ SELECT post_id, other, gap FROM near WHERE rn <= 120""",
   FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""",
     # --- windows --------------------------------------------------------------------------------
     "latest_update": "SELECT source_id, post_id, minute FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY day DESC, length(content) DESC, post_id DESC) AS rn FROM posts) x WHERE rn = 1",
-    "queue_position": f"SELECT post_id, CAST(row_number() OVER (ORDER BY length(title) DESC, minute DESC, post_id) AS INT) AS position FROM posts WHERE minute >= {AS_OF} - 10080",
     "top_per_probe": "SELECT lang, source_id, post_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, source_id ORDER BY minute DESC, post_id) AS rn FROM posts) x WHERE rn <= 5",
-    "cluster_canonical": "SELECT post_id, min(post_id) OVER (PARTITION BY content) AS canonical, count(*) OVER (PARTITION BY content) AS size FROM posts",
     "timeline_split": """SELECT post_id, CASE WHEN day < cur THEN 'earlier' WHEN post_id = cur_id THEN 'current' ELSE 'later' END AS place FROM (
   SELECT post_id, day, max(CASE WHEN rn = mid THEN day END) OVER (PARTITION BY source_id) AS cur, max(CASE WHEN rn = mid THEN post_id END) OVER (PARTITION BY source_id) AS cur_id FROM (
   SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY minute, post_id) AS rn, floor((count(*) OVER (PARTITION BY source_id) + 1) / 2) AS mid FROM posts) a) b""",
@@ -93,6 +88,10 @@ SELECT user_id, CAST(island AS BIGINT) AS island, min(s) AS start_minute, max(e)
   FROM sources s LEFT JOIN (SELECT source_id, count(*) AS n, max(minute) AS last_minute FROM posts GROUP BY source_id) p ON p.source_id = s.source_id""",
     "track_buckets": """SELECT CASE WHEN rn > 5 THEN 'Other Updates' ELSE source_id END AS track, CAST(sum(n) AS BIGINT) AS posts FROM (
   SELECT source_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(minute), source_id) AS rn FROM posts GROUP BY source_id) x GROUP BY CASE WHEN rn > 5 THEN 'Other Updates' ELSE source_id END""",
+    "topics_in_order": "SELECT lang AS topic, source_id, lang = 'fr' AS is_outlier FROM posts WHERE day = DATE '2024-01-03' ORDER BY lang = 'fr', minute, post_id LIMIT 30",
+    "inbox_in_order": "SELECT post_id, post_id % 10 AS priority FROM posts ORDER BY post_id % 10 DESC, minute, post_id LIMIT 25 OFFSET 10",
+    "artifacts_in_order": "SELECT post_id, position FROM (SELECT post_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY CASE WHEN post_id % 5 = 0 THEN 0 ELSE 1 END, post_id % 9 DESC, post_id) AS INT) AS position FROM posts) x WHERE position <= 3",
+    "comments_by_score": "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(coalesce(text, '')) % 17 DESC, turn) AS rn FROM conversations) x WHERE rn <= 5",
     "top_comments": "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rn FROM conversations) x WHERE rn <= 5",
     # --- set operations -------------------------------------------------------------------------
     "shared_members": "SELECT text FROM documents WHERE source = 'src0' INTERSECT SELECT text FROM documents WHERE source = 'src1'",

@@ -5,9 +5,10 @@ Fetching is left to whoever brings the documents; every parser takes a table wit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
+from ..operators.ranking import checkpoints
 
 
 def _tag(item: Column, name: str) -> Column:
@@ -50,6 +51,26 @@ def feed(documents: DataFrame, xml: str = "xml") -> DataFrame:
     return found.orderBy(F.col("published_at").desc_nulls_last(), "url")
 
 
+def rss_post(items: DataFrame, priority: int | None = None) -> DataFrame:
+    """Items of feed() as unified posts: kind of feed, categories with the feed's own, a date (now if there is none), metadata."""
+    kind = F.when(F.lower("feed_url").contains("atom"), "atom").otherwise("rss")
+    when = F.coalesce("published_at", F.current_timestamp())
+    said = F.coalesce(F.nullif("content", F.lit("")), F.nullif("title", F.lit("")), F.lit(""))
+    labels = F.array_sort(F.array_distinct(F.transform("categories", lambda c: F.lower(c))))
+    meta = F.create_map(F.lit("feed_type"), kind, F.lit("guid"), F.coalesce("guid", "url"), F.lit("undated"), F.col("published_at").isNull().cast("string"))
+    return items.select(F.lit("rss").alias("platform"), F.col("feed_url").alias("source"), "url", "title", said.alias("content"), "content_html", when.alias("date"), "media_urls", labels.alias("categories"), meta.alias("metadata"))
+
+
+def timeframe(items: DataFrame, days: int, most: int = 100, now: Column | None = None) -> DataFrame:
+    """Of each feed the `most` newest posts (feed_url, published_at, url) of the last `days` (0: all), oldest first."""
+    now = F.current_timestamp() if now is None else now
+    rank = F.row_number().over(Window.partitionBy("feed_url").orderBy(F.col("published_at").desc_nulls_last(), "url"))
+    rows = items.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
+    if days:
+        rows = rows.where(F.col("published_at") >= now - F.expr(f"INTERVAL {int(days)} DAYS"))
+    return rows.orderBy(F.col("published_at").asc_nulls_first(), "url")
+
+
 def telegram(posts: DataFrame) -> DataFrame:
     """Posts with a canonical message address, without sponsored ones, with external_id."""
     number = F.regexp_extract("url", r"^https?://t\.me/\w+/(\d+)$", 1)
@@ -85,20 +106,24 @@ def listing(documents: DataFrame, json: str = "json") -> DataFrame:
     )
 
 
-def flatten_comments(comments: DataFrame, limit: int | None = None, max_depth: int = 20, descend_deleted: bool = False) -> DataFrame:
-    """comments (id, parent_id, position, body) depth first as (id, depth, path): one join per level.
+def flatten_comments(comments: DataFrame, limit: int | None = None, max_depth: int | None = None, descend_deleted: bool = False, authors: bool = False) -> DataFrame:
+    """comments (id, parent_id, position, body) depth first as (id, depth, path): one join per level, as long as there is one.
 
-    Deleted and removed ones go, with their replies unless descend_deleted.
+    Deleted and removed ones go, with their replies unless descend_deleted; with authors, those without one (author) go as well,
+    and their replies stay. max_depth: replies below it go.
     """
+    checkpoints(comments.sparkSession)
     gone = F.trim(F.coalesce("body", F.lit(""))).isin("[deleted]", "[removed]", "")
-    rows = comments.select("id", "parent_id", "body", gone.alias("gone"), F.format_string("%08d", F.col("position")).alias("key"))
-    level = rows.where("parent_id IS NULL").select("id", "body", "gone", F.lit(0).alias("depth"), F.col("key").alias("path"))
-    out = level
-    for depth in range(1, max_depth + 1):
+    hidden = gone | F.coalesce(F.trim("author"), F.lit("")).isin("", "[deleted]") if authors else gone
+    rows = comments.select("id", "parent_id", "body", gone.alias("gone"), hidden.alias("hidden"), F.format_string("%08d", F.col("position")).alias("key"))
+    level = rows.where("parent_id IS NULL").select("id", "body", "gone", "hidden", F.lit(0).alias("depth"), F.col("key").alias("path")).checkpoint()
+    out, depth = level, 0
+    while depth != max_depth and not level.isEmpty():
+        depth += 1
         parents = (level if descend_deleted else level.where("NOT gone")).select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = rows.join(parents, "parent_id").select("id", "body", "gone", F.lit(depth).alias("depth"), F.concat("above", F.lit("/"), "key").alias("path"))
+        level = rows.join(parents, "parent_id").select("id", "body", "gone", "hidden", F.lit(depth).alias("depth"), F.concat("above", F.lit("/"), "key").alias("path")).checkpoint()
         out = out.unionByName(level)
-    out = out.where("NOT gone").drop("gone").orderBy("path")
+    out = out.where("NOT hidden").drop("gone", "hidden").orderBy("path")
     return out if limit is None else out.limit(limit)
 
 

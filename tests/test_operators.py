@@ -144,8 +144,50 @@ def test_stream_upsert(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
         source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
         ingest.upsert_stream(source, f"{tmp_path}/out", f"{tmp_path}/check", ["url"], {"n": "greatest"}).awaitTermination()
-    table = spark.read.parquet(ingest.latest(spark, f"{tmp_path}/out"))
-    assert {r["url"]: r["n"] for r in table.collect()} == {"a": 3, "b": 5}
+    table = ingest.table(spark, f"{tmp_path}/out")
+    assert {r["url"]: r["n"] for r in table.collect()} == {"a": 3, "b": 5} and table.columns == ["url", "n", "seq"]
+    written = sorted(len(found) for found in ingest.versions(spark, f"{tmp_path}/out").values())
+    assert written == [1, 2]  # the second batch leaves the other bucket alone
+    for k in range(4, 7):
+        spark.createDataFrame([("a", k, k)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        ingest.upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", ["url"], {"n": "greatest"}).awaitTermination()
+    assert {r["url"]: r["n"] for r in ingest.table(spark, f"{tmp_path}/out").collect()} == {"a": 6, "b": 5}
+    assert max(len(found) for found in ingest.versions(spark, f"{tmp_path}/out").values()) == ingest.KEPT
+
+
+def test_deep_comments(spark):
+    """Replies at any depth; a cut by depth, deleted parents, and comments without an author."""
+    chain = [(str(i), str(i - 1) if i else None, 0, "text", "x") for i in range(40)]
+    rows = [*chain, ("d", "3", 1, "[deleted]", "x"), ("e", "d", 0, "below", "x"), ("f", None, 1, "no author", None), ("g", "f", 0, "reply", "y")]
+    table = spark.createDataFrame(rows, "id string, parent_id string, position int, body string, author string")
+    ids = lambda **k: [r["id"] for r in feeds.flatten_comments(table, **k).collect()]
+    whole = ids()
+    assert whole[:4] == ["0", "1", "2", "3"] and len(whole) == 42 and "e" not in whole and whole[-2:] == ["f", "g"]
+    assert "e" in ids(descend_deleted=True) and "d" not in ids(descend_deleted=True)
+    assert len(ids(max_depth=2)) == 5 and "f" not in ids(authors=True) and "g" in ids(authors=True) and ids(limit=2) == ["0", "1"]
+
+
+def test_rss_posts(spark):
+    rows = [("http://x/atom.xml", f"u{i}", f"t{i}", "", "h", datetime(2024, 1, 1 + i) if i else None, ["B", "a", "b"], ["m"], None) for i in range(5)]
+    items = spark.createDataFrame(rows, "feed_url string, url string, title string, content string, content_html string, published_at timestamp, categories array<string>, media_urls array<string>, guid string")
+    now = F.lit(datetime(2024, 1, 6))
+    assert [r["url"] for r in feeds.timeframe(items, 3, now=now).collect()] == ["u2", "u3", "u4"]
+    assert [r["url"] for r in feeds.timeframe(items, 0, most=2, now=now).collect()] == ["u3", "u4"]
+    post = {r["url"]: r for r in feeds.rss_post(items).collect()}
+    assert post["u1"]["categories"] == ["a", "b"] and post["u1"]["content"] == "t1" and post["u0"]["date"] is not None and post["u0"]["metadata"]["undated"] == "true"
+    assert post["u1"]["metadata"]["feed_type"] == "atom" and post["u1"]["metadata"]["guid"] == "u1"
+
+
+def test_positions_and_tops(spark):
+    from newsloom.operators import ranking
+
+    rows = [(i, (i * 7919) % 101, i % 3) for i in range(2000)]
+    table = spark.createDataFrame(rows, "id long, v long, k int").repartition(7)
+    found = {r["id"]: r["position"] for r in ranking.positions(table, [F.col("v").desc(), F.col("id").asc()]).collect()}
+    assert found == {r[0]: n + 1 for n, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    tops = {(r["k"], r["rank"]): r["id"] for r in ranking.top(table, ["k"], [F.col("v").desc(), F.col("id").asc()], 5).collect()}
+    assert tops == {(k, n + 1): r[0] for k in range(3) for n, r in enumerate(sorted((r for r in rows if r[2] == k), key=lambda r: (-r[1], r[0]))[:5])}
+    assert ranking.positions(table.limit(0), [F.col("id")]).count() == 0
 
 
 def test_detail(spark):
