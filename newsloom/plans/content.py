@@ -368,8 +368,8 @@ FROM r JOIN m ON m.u = r.u GROUP BY r.u""",
     "upsert_inbox": f"""WITH f AS (SELECT post_id % 60 AS t, lang, min(post_id) AS first FROM posts GROUP BY post_id % 60, lang)
 SELECT a.t AS target_id, priority_score, reason_summary, surfaced_at, first_write FROM (SELECT post_id % 60 AS t, max(post_id % 29) AS priority_score, min(minute) AS surfaced_at, {_FIRST_WRITE.format("post_id")} FROM posts GROUP BY post_id % 60) a
 JOIN (SELECT t, string_agg(lang, '; ' ORDER BY first) AS reason_summary FROM f GROUP BY t) b ON b.t = a.t""",
-    "upsert_topics": f"SELECT post_id % 7 AS source_topic_id, post_id % 11 AS target_topic_id, arg_min(post_id % 31, post_id) / 30.0::DOUBLE AS similarity_score, {_FIRST_WRITE.format('post_id')} FROM posts GROUP BY post_id % 7, post_id % 11",
-    "watch_progress": "SELECT user_id AS video_id, arg_max(minute, event_id) AS progress, count(*) AS sessions, arg_max(kind, event_id) FILTER (WHERE event_id % 4 = 0) AS notes FROM interactions GROUP BY user_id",
+    "upsert_topics": f"SELECT post_id % 7 AS source_topic_id, post_id % 11 AS target_topic_id, arg_min(post_id % 31, (post_id % 2, post_id)) / 30.0::DOUBLE AS similarity_score, {_FIRST_WRITE.format('post_id')} FROM posts GROUP BY post_id % 7, post_id % 11",
+    "watch_progress": "SELECT user_id AS video_id, arg_max(minute, (event_id % 2, event_id)) AS progress, count(*) AS sessions, arg_max(kind, event_id) FILTER (WHERE event_id % 4 = 0) AS notes FROM interactions GROUP BY user_id",
     "replaced_highlights": """SELECT post_id % 45 AS post_id, lang, post_id AS position FROM posts p WHERE p.post_id % 3 = 0 AND p.post_id % 45 < 20
   OR p.post_id % 3 <> 0 AND p.post_id % 45 NOT IN (SELECT q.post_id % 45 FROM posts q WHERE q.post_id % 3 = 0 AND q.post_id % 45 < 20)""",
     "recent_log": "SELECT user_id, kind, event_id AS seq FROM interactions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3",
