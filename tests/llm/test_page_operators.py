@@ -212,6 +212,20 @@ def test_forest_splits_large_leaves(spark, monkeypatch):
     assert sum(v[0] for v in found.values()) >= 0.98 * sum(v[0] for v in expected.values())
 
 
+def test_forest_repeated_ids(spark):
+    """Equal ids with different vectors are one vertex; every row is returned; equal vectors link."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0]), (None, [1.0, 0.0]), (5, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).repartition(3)
+    found = neighbours.dedup(table).collect()
+    assert len(found) == len(rows)
+    assert {(r["vec_id"], r["component_id"], r["kept"]) for r in found} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (None, None, True), (5, 5, True)}
+
+
+def test_trees_grow_with_the_table():
+    assert [neighbours.trees_for(n) for n in (10, 10_000, 10**6, 10**9)] == sorted(neighbours.trees_for(n) for n in (10, 10_000, 10**6, 10**9))
+    assert neighbours.trees_for(50_000) >= 8
+
+
 def test_forest_empty(spark):
     assert neighbours.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

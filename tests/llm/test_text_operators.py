@@ -448,3 +448,42 @@ def test_cut_out_of_text():
     assert cut((1, 3), (2, 3)) == ["é   three ", "", ""] and cut((0, 4)) == [" ", "", ""]
     with pytest.raises(ValueError):
         cut((3, 5))
+
+
+def test_repeated_rows(spark):
+    """Repeated rows, ids with several texts, null ids and very long texts, row by row."""
+    from newsloom.llm import _shared
+
+    long = " ".join(words(30_000, 5))
+    said = [(1, "one two three " * 5), (1, "one two three " * 5), (1, "other words here"), (None, "null id text"), (None, None), (2, long), (2, long), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in said], "doc_id long, text string, lang string, source string, n_tokens int").repartition(3)
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(VOCABULARY)
+    ids = [library.encode(t or "", add_special_tokens=False).ids for _, t in said]
+    digest = lambda x: hashlib.sha256(b"".join(v.to_bytes(4, "little") for v in x)).hexdigest()
+    found = bpe.encode(docs, VOCABULARY, outputs=("n_tokens", "ids_sha256", "decoded_sha256")).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"]) for r in found) == sorted((str(i), len(x), digest(x)) for (i, _), x in zip(said, ids, strict=True))
+    pieces = packing.pack(docs, VOCABULARY, capacity=512).collect()
+    assert sum(r["length"] for r in pieces) == sum(len(x) + 1 for x in ids) and max(r["offset"] + r["length"] for r in pieces) <= 512
+    assert Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == Counter(i for i, _ in said)
+    spans = {}
+    for r in pieces:
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in spans.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))]
+    scores = scoring.cross_entropy_difference(docs, docs.where("doc_id = 1").select("doc_id")).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in scores) == sorted((str(i), len(WORD.findall(t or ""))) for i, t in said)
+    assert len({r["difference"] for r in scores if r["n_tokens"] == 15}) == 1
+    judged = quality.judge(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"]) for r in judged) == sorted((str(i), len(WORD.findall(t or ""))) for i, t in said)
+    assert all(r["kept"] == (not r["base_failed"]) for r in judged)  # too few rows for an estimate
+    assert _shared.spread(docs.limit(0)).count() == 0
+
+
+def test_scoring_tells_copies_apart(spark):
+    """By the default parameters, texts of words that nobody else uses score apart when they occur twice."""
+    rows = [(i, " ".join(f"only{i}x{k}" for k in range(60))) for i in range(40)] + [(100 + i, " ".join(f"only{i}x{k}" for k in range(60))) for i in range(10)]
+    rows += [(200 + i, " ".join(words(80, 900 + i))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["difference"] for r in scoring.cross_entropy_difference(docs, docs.where("doc_id >= 200").select("doc_id")).collect()}
+    twice, once = [found[i] for i in (*range(10), *range(100, 110))], [found[i] for i in range(10, 40)]
+    assert max(twice) < min(once)
