@@ -279,6 +279,15 @@ s AS (SELECT day, source_id, min(rn) AS first FROM p GROUP BY day, source_id), n
 SELECT CAST(p.day AS VARCHAR) AS day, '## Executive Summary' || chr(10) || '- ' || count(*) || ' posts collected across ' || count(DISTINCT source_id) || ' sources: ' || any_value(names) || '. Most recent activity came from ' || arg_min(source_id, rn) || '.'
   || chr(10) || chr(10) || '## Main Developments' || chr(10) || string_agg(CASE WHEN rn <= 5 THEN '- ' || source_id || ': ' || brief END, chr(10) ORDER BY rn)
   || chr(10) || chr(10) || '## Signals To Watch' || chr(10) || string_agg(CASE WHEN rn <= 3 THEN '- Watch for follow-up from ' || source_id || ' on ' || topic || '.' END, chr(10) ORDER BY rn) AS content FROM p JOIN n ON n.day = p.day GROUP BY p.day""",
+    "post_highlights": r"""WITH f AS (SELECT post_id, trim(regexp_replace(content, '\s+', ' ', 'g')) AS flat FROM posts),
+s AS (SELECT post_id, list_filter(string_split(regexp_replace(flat, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')[1:5] AS s FROM f),
+p AS (SELECT post_id, unnest(range(1, len(s) + 1)) AS i, s FROM s)
+SELECT post_id, CAST(i AS INT) AS position, s[i] AS text, CAST(round(greatest(0.1, 1 - (i - 1) * 0.15), 2) AS DOUBLE) AS importance, CASE WHEN i = 1 THEN 'evidence' ELSE 'detail' END AS kind FROM p""",
+    "source_tracks": r"""WITH w AS (SELECT post_id, source_id, min(post_id) OVER (PARTITION BY content) AS cluster, trim(regexp_extract(title, '^(.*?)(\s*[|:]\s*|\s+[-–—]\s+)', 1)) AS prefix,
+  list_filter(regexp_extract_all(lower(title), '[a-z0-9]{3,}'), lambda x: x NOT IN ('with', 'from', 'that', 'this', 'about', 'into', 'over', 'after', 'before', 'their', 'there', 'have', 'been')) AS t FROM posts),
+k AS (SELECT post_id, source_id, cluster, lower(CASE WHEN prefix <> '' AND len(regexp_split_to_array(prefix, '\s+')) BETWEEN 2 AND 8 THEN prefix ELSE array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i)[1:3], ' ') END) AS key FROM w),
+c AS (SELECT source_id, key, count(DISTINCT cluster) AS d, count(*) AS n, row_number() OVER (PARTITION BY source_id ORDER BY count(DISTINCT cluster) DESC, count(*) DESC, min(post_id)) AS rn FROM k GROUP BY source_id, key)
+SELECT source_id, CASE WHEN rn > 5 OR key = '' THEN 'Other Updates' ELSE key END AS track, CAST(sum(n) AS BIGINT) AS posts, CAST(sum(d) AS BIGINT) AS distinct_posts FROM c GROUP BY ALL""",
     "source_briefings": f"""SELECT CAST(day AS STRING) AS day, source_id, 'Updates from ' || source_id AS title, count(*) AS post_count, string_agg(CASE WHEN rn <= 3 THEN brief END, ' ' ORDER BY rn) AS summary FROM (
   SELECT day, source_id, CASE WHEN regexp_matches({_SHORT}, '[.!?]$') THEN {_SHORT} ELSE {_SHORT} || '.' END AS brief, row_number() OVER (PARTITION BY day, source_id ORDER BY post_id) AS rn FROM posts) x GROUP BY day, source_id""",
     "weekly_topics": """SELECT CAST(CAST(date_trunc('week', day) AS DATE) AS STRING) AS week, 'Updates from ' || source_id AS title, string_agg(DISTINCT CAST(day AS STRING), ', ' ORDER BY CAST(day AS STRING)) AS days, count(*) AS posts
