@@ -144,9 +144,10 @@ def product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     row, at = row[often], np.unique(at[often], return_inverse=True)[1]
     order = np.argsort(at, kind="stable")
     row, at = row[order], at[order]
-    for begin in range(0, int(at[-1]) + 1 if len(at) else 0, BLOCK):
+    columns = int(at[-1]) + 1 if len(at) else 0
+    for begin in range(0, columns, BLOCK):
         own = slice(*np.searchsorted(at, (begin, begin + BLOCK)))
-        dense = np.zeros((len(sizes), BLOCK), np.float32)
+        dense = np.zeros((len(sizes), min(BLOCK, columns - begin)), np.float32)
         dense[row[own], at[own] - begin] = 1
         out += dense[: len(left)] @ dense[len(left) :].T
     return out

@@ -3,15 +3,18 @@
 A text is a sequence of five-word shingles. For each of HASHES hash functions, the Cartesian tree over its values has a node for
 every shingle that is the least of a stretch; a node (l, c, r) whose stretch has at least the least length is a compact
 window, and stands for all passages inside l..r that hold c, as they share the min-hash at c. Windows of equal min-hash are
-joined; where windows of enough hash functions overlap in both texts, the stretch is aligned and verified shingle by
-shingle, at a Jaccard similarity of 0.75 or more.
+joined; two texts that share two are verified: runs of equal shingles are chained, and stretches of a Jaccard similarity of 0.75
+or more are passages.
 
 A min-hash of m windows isn't multiplied out to m * m aligned pairs: every text is compared with the first one; windows whose
 centre lies in a verified passage are settled. For the rest of the min-hash the shingles around the centres are multiplied out
 in tiles with those of all its texts, settled ones too, and each text is compared with those before it that share enough of
-them: in rounds, the first ones first, as long as none settles it. So that a short line that many texts share doesn't gather
-such rests, the shingles of short lines that a fixed-size count of all texts shows to be frequent come last in every hash
-function's order: they are centres only where nothing else is in a whole window.
+them: in rounds, the first ones first, as long as none settles it. Stretches with very few different shingles (a word said again
+and again) are compared with the first text that has their min-hash, and not multiplied out. So that a short line that many
+texts share doesn't gather such rests, the shingles of short lines that a fixed-size count of all texts shows to be frequent
+come last in every hash function's order: they are centres only where nothing else is in a whole window.
+
+Copies of whole texts are found by a hash first: each is a passage of the first one, and takes no part in the rest.
 
 Results are passages of a text that an earlier one (by doc_id) has too; removing them leaves the first one.
 
@@ -27,19 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ._shared import forget, mix, shared_dir, stored, text_chunks, tune, windows, words
+from ._shared import forget, mix, release, shared_dir, stored, text_chunks, tune, windows, words
 from .jaccard import SLOT_BITS, counted, few, frequent, product, whole_groups
 
-#: Words of the shortest passage, hash functions, functions that must agree, similarity, words of a shingle.
-LEAST, HASHES, ENOUGH, SIMILARITY, SIZE = 50, 8, 2, 0.75, 5
+#: Words of the shortest passage, hash functions (two must agree), similarity, words of a shingle.
+LEAST, HASHES, SIMILARITY, SIZE = 50, 6, 0.75, 5
 #: Rows of a tile's side where a min-hash is multiplied out.
 SIDE = 256
+#: Shingles of even hash that surroundings must share: of the 37 and more that a passage has, fewer are even in one case of 1,000.
+SHARED = 10
+#: Copies whose ids are broadcast.
+FEW = 500_000
 #: Candidates of a text, min-hash and tile that are verified in each round, while none before settles it; in the last all that are left.
-ROUNDS = (2, 16, None)
-#: Pairs of windows of two texts that are held at once.
-MOST_PAIRS = 20_000
+ROUNDS = (6, None)
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64)
 
 
@@ -116,7 +122,7 @@ def _nearest(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def min_hashes(docs: DataFrame, hot: np.ndarray, least: int = LEAST) -> DataFrame:
-    """(doc_id, hs): the min-hashes of each text's compact windows."""
+    """(doc_id, n_words, hs, cs): the min-hashes of each text's compact windows and the shingles that have them, their centres."""
     width = least - SIZE + 1
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,147 +130,224 @@ def min_hashes(docs: DataFrame, hot: np.ndarray, least: int = LEAST) -> DataFram
             ids = batch.column(0)
             for row, raw, bounds in text_chunks(batch.column(1)):
                 hashes, _, _, first = words(raw, bounds, True)
-                text, value, *_ = compact_windows(*windows(hashes, first, SIZE), hot, width)
-                order = np.argsort(text, kind="stable")
-                offsets = np.searchsorted(text[order], np.arange(len(bounds))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(bounds) - 1), lists], ["doc_id", "hs"])
+                text, value, _, centre, _, _ = compact_windows(*windows(hashes, first, SIZE), hot, width)
+                order = np.lexsort((centre, value, text))
+                text, value, centre = text[order], value[order], centre[order]
+                order = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (value[1:] != value[:-1])))[: len(text)])  # the first centre of each min-hash
+                offsets = pa.array(np.searchsorted(text[order], np.arange(len(bounds))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (value[order].view(np.int64), centre[order].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(bounds) - 1), pa.array(np.diff(first)), *lists], ["doc_id", "n_words", "hs", "cs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hs array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, hs array<long>, cs array<int>")
 
 
 class Text:
-    """A text's shingles and, when asked for, its compact windows."""
+    """A text's shingles, in its order and sorted."""
 
-    def __init__(self, text: pa.Array, hot: np.ndarray, width: int) -> None:
-        _, raw, bounds = next(text_chunks(text))
-        hashes, _, _, first = words(raw, bounds, True)
-        self.shingles, self.begin = windows(hashes, first, SIZE)
-        self.hot, self.width = hot, width
+    def __init__(self, shingles: np.ndarray) -> None:
+        self.shingles = shingles
 
-    @functools.cached_property
-    def sorted(self) -> np.ndarray:
-        return np.sort(self.shingles)
+    @classmethod
+    def each(cls, texts: pa.Array) -> Iterator["Text"]:
+        """Every text of a column, whose words are hashed together."""
+        for _, raw, bounds in text_chunks(texts):
+            hashes, _, _, first = words(raw, bounds, True)
+            shingles, begin = windows(hashes, first, SIZE)
+            for low, high in zip(begin.tolist(), begin[1:].tolist(), strict=False):
+                yield cls(shingles[low:high])
 
     @functools.cached_property
-    def _windows(self) -> tuple[np.ndarray, ...]:
-        return compact_windows(self.shingles, self.begin, self.hot, self.width)
+    def order(self) -> np.ndarray:
+        return np.argsort(self.shingles, kind="stable")
 
-    value, l, c, r, k = (property(lambda self, i=i: self._windows[i]) for i in range(1, 6))
-
-    def holds(self, other: "Text") -> np.ndarray:
-        """Which of the other text's shingles this one has."""
-        at = np.minimum(np.searchsorted(self.sorted, other.shingles), len(self.sorted) - 1)
-        return self.sorted[at] == other.shingles
+    @functools.cached_property
+    def sorted(self) -> np.ndarray:
+        return self.shingles[self.order]
 
-    def shares(self, other: "Text") -> bool:
-        """Whether some stretch of the other text has as many shingles of this one as a passage asks for."""
-        if len(self.shingles) < self.width or len(other.shingles) < self.width:
-            return False
-        total = np.concatenate(([0], np.cumsum(self.holds(other))))
-        return bool((total[self.width :] - total[: -self.width]).max() >= 2 * SIMILARITY / (1 + SIMILARITY) * self.width - 2)
+    @functools.cached_property
+    def again(self) -> np.ndarray:
+        """How many shingles before each place stand before too."""
+        twice = np.zeros(len(self.shingles), np.int64)
+        twice[self.order[1:]] = self.sorted[1:] == self.sorted[:-1]
+        return np.concatenate(([0], np.cumsum(twice)))
 
 
-def shared_passages(a: Text, b: Text, width: int, enough: int = ENOUGH, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
-    """(first shingle of b, last shingle of b, first shingle of a) of verified passages, from windows of equal min-hash.
+def shared_passages(a: Text, b: Text, width: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+    """(first shingle of b, last shingle of b, first shingle of a) of every similar stretch of the two texts.
 
-    Every centre of b is aligned with each of a that has its min-hash, over all that their windows hold, where windows of
-    enough functions overlap in both texts (of more than MOST_PAIRS pairs of windows that isn't asked).
+    Runs of equal shingles are chained, from the longest one on, to both sides. In a similar stretch of several runs each gap
+    costs at least 2 * (SIZE - 1) shingles, so that its longest run has (SIZE - 1) * similarity / (1 - similarity) or more:
+    shorter ones needn't be begun with.
     """
-    if not len(a.value):
+    if len(a.shingles) < width or len(b.shingles) < width:
         return []
-    order = np.argsort(a.value, kind="stable")
-    first, last = np.searchsorted(a.value[order], b.value), np.searchsorted(a.value[order], b.value, "right")
-    j = np.flatnonzero(last > first)
-    if not len(j):
+    found = _runs(a, b)
+    if found is None:
+        return []
+    inside, b_at, a_at, n = found
+    total = np.concatenate(([0], np.cumsum(inside)))
+    shortest = (SIZE - 1) * similarity / (1 - similarity)
+    if (total[width:] - total[:-width]).max() < 2 * similarity / (1 + similarity) * width - 2:  # no stretch has as many as a passage asks for
+        return []
+    b_at, a_at, n = _grown(a.shingles, b.shingles, b_at, a_at, n)
+    if n.max() < shortest:
         return []
-    n = (last - first)[j]
-    low_a = None
-    if n.sum() <= MOST_PAIRS:
-        y, x = np.repeat(j, n), order[np.repeat(first[j] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        low_a, high_a, low_b, high_b, bit = a.l[x], a.r[x], b.l[y], b.r[y], 1 << b.k[y]
-    j = j[np.argsort(b.c[j], kind="stable")]
-    groups = np.split(j, np.flatnonzero(np.diff(b.c[j])) + 1)
-    hulls = [(int(b.l[own].min()), int(b.r[own].max())) for own in groups]
-    out: list[tuple[int, int, int]] = []
     covered = np.zeros(len(b.shingles), bool)
-    anywhere, back = a.holds(b), b.holds(a)
-    possible: dict[int, bool] = {}
-    by_centre = np.argsort(a.c, kind="stable")
-    for g in sorted(range(len(groups)), key=lambda g: hulls[g][0] - hulls[g][1]):  # longest windows first
-        own, (lb, rb) = groups[g], hulls[g]
-        centre = int(b.c[own[0]])
-        if covered[centre]:
+    out: list[tuple[int, int, int]] = []
+    chains = _Chains(a_at, b_at, n, similarity)
+    hopeless: set[int] = set()
+    for k in np.argsort(-n, kind="stable").tolist():
+        if n[k] < shortest:
+            break
+        if k in hopeless or covered[b_at[k] + n[k] // 2]:
             continue
-        theirs = np.concatenate([order[first[w] : last[w]] for w in own])
-        if not _runs(b.shingles[lb : rb + 1], anywhere[lb : rb + 1], centre - lb, width, similarity):
+        runs, mid, members = chains.through(k)
+        matches = np.concatenate(([0], np.cumsum(runs[:, 2])))
+        share = similarity / (1 + similarity)
+        gain = matches[:-1] - share * (_place(a, runs[:, 0]) + _place(b, runs[:, 1]))
+        loss = matches[1:] - share * (_place(a, runs[:, 0] + runs[:, 2]) + _place(b, runs[:, 1] + runs[:, 2]))
+        after, before = np.maximum.accumulate(loss[::-1])[::-1], np.minimum.accumulate(gain)
+        hope = runs[:, 2] >= similarity * width  # long enough alone; or else there is a similar stretch with a run beside it
+        hope[:-1] |= after[1:] >= before[:-1] - 1e-6
+        hope[1:] |= after[1:] >= before[:-1] - 1e-6
+        hopeless.update(m for m, h in zip(members, hope.tolist(), strict=True) if not h)
+        if not hope[mid]:
             continue
-        for base in np.unique(a.c[theirs]).tolist():
-            if base not in possible:  # the same from the other side, over all windows of a that have this centre
-                own_a = by_centre[np.searchsorted(a.c[by_centre], base) : np.searchsorted(a.c[by_centre], base, "right")]
-                la, ra = int(a.l[own_a].min()), int(a.r[own_a].max())
-                possible[base] = _runs(a.shingles[la : ra + 1], back[la : ra + 1], base - la, width, similarity) is not None
-            if not possible[base]:
-                continue
-            same = theirs[a.c[theirs] == base]
-            la, ra = int(a.l[same].min()), int(a.r[same].max())
-            if low_a is not None:
-                together = np.minimum(high_a, ra) - np.maximum(low_a, la) + 1 >= width
-                together &= np.minimum(high_b, rb) - np.maximum(low_b, lb) + 1 >= width
-                if int(np.bitwise_or.reduce(bit[together])).bit_count() < enough:
-                    continue
-            found = _align(a.shingles[la : ra + 1], b.shingles[lb : rb + 1], base - la, centre - lb, width, similarity)
-            if found:
-                start, end, source = found
-                out.append((lb + start, lb + end, la + source))
-                covered[lb + start : lb + end + 1] = True
-                break
+        best = _best(a, b, (runs, mid), width, similarity)
+        if best:
+            out.append(best)
+            covered[best[0] : best[1] + 1] = True
     return out
 
 
-def _runs(other: np.ndarray, inside: np.ndarray, mid: int, width: int, similarity: float) -> tuple[np.ndarray, ...] | None:
-    """Where runs of matches begin at or before mid, and end at or after it, as far as a similar stretch can; sums of matches
-    and of repeated shingles up to each place. None: there is no similar stretch around mid."""
-    edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-    starts, ends = starts[starts <= mid], ends[ends >= mid]
-    if not len(starts) or not len(ends) or ends[-1] - starts[0] + 1 < similarity * width:
-        return None
-    match, twice = np.concatenate(([0], np.cumsum(inside))), np.concatenate(([0], np.cumsum(_again(other))))
-    gain = match - similarity * (np.arange(len(match)) - twice)  # doesn't fall over a similar stretch
-    starts, ends = starts[gain[starts] <= gain[ends + 1].max() + 1e-6], ends[gain[ends + 1] >= gain[starts].min() - 1e-6]
-    return (starts, ends, match, twice) if len(starts) and len(ends) and ends[-1] - starts[0] + 1 >= similarity * width else None
+def _place(text: Text, at: np.ndarray) -> np.ndarray:
+    """Different shingles before each place."""
+    return at - text.again[at]
 
 
-def _align(one: np.ndarray, other: np.ndarray, base: int, mid: int, width: int, similarity: float) -> tuple[int, int, int] | None:
-    """(first, last) of the best similar stretch of other that holds mid, and the first of one's; one's centre is base.
-
-    Every pair of a run of matches at or before mid and one at or after it is a candidate. The best has most matches less
-    others: a run beyond an edit is taken if it is longer than the edit, and a shorter one where the stretch is too short or
-    not similar without it. Very many candidates are taken in blocks, the widest first.
-    """
-    ranked = np.sort(one)
-    runs = _runs(other, ranked[np.minimum(np.searchsorted(ranked, other), len(ranked) - 1)] == other, mid, width, similarity)
-    if not runs:
+def _runs(a: Text, b: Text) -> tuple[np.ndarray, ...] | None:
+    """Which shingles of b a has, and runs of them: where they begin in b and in a, and lengths. None: there is none."""
+    at = np.minimum(np.searchsorted(a.sorted, b.shingles), len(a.sorted) - 1)
+    inside = a.sorted[at] == b.shingles
+    if not inside.any():
         return None
-    starts, ends, match, twice = runs
-    at_start, at_end = _places(one, other[starts], starts - mid + base), _places(one, other[ends], ends - mid + base)
-    again = np.concatenate(([0], np.cumsum(_again(one))))
-    plain = again[-1] == 0 and twice[-1] == 0
+    place = np.where(inside, a.order[at], -2)
+    on = inside[1:] & inside[:-1] & (place[1:] == place[:-1] + 1)
+    first = np.flatnonzero(inside & ~np.concatenate(([False], on)))
+    last = np.flatnonzero(inside & ~np.concatenate((on, [False])))
+    return inside, first, place[first], last - first + 1
+
+
+def _grown(one: np.ndarray, other: np.ndarray, b: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each run made as long as it can be, in their order: a shingle that `one` has several times may have ended it."""
+    right, left = np.zeros(len(b), bool), np.zeros(len(b), bool)
+    can = (b + n < len(other)) & (a + n < len(one))
+    right[can] = other[(b + n)[can]] == one[(a + n)[can]]
+    can = (b > 0) & (a > 0)
+    left[can] = other[b[can] - 1] == one[a[can] - 1]
+    done: dict[int, int] = {}  # by diagonal, the end of the last run
+    for k in np.flatnonzero(right | left).tolist():
+        x, y, m = int(a[k]), int(b[k]), int(n[k])
+        if done.get(x - y, -1) >= y + m:
+            n[k] = 0  # part of a run before it
+            continue
+        m += _equal(one[x + m :], other[y + m :]) if right[k] else 0
+        back = _equal(one[:x][::-1], other[:y][::-1]) if left[k] else 0
+        a[k], b[k], n[k] = x - back, y - back, m + back
+        done[x - y] = y + m
+    if not done:
+        return b, a, n
+    order = np.lexsort((a, b))
+    b, a, n = b[order], a[order], n[order]
+    kept = (n > 0) & np.concatenate(([True], (b[1:] != b[:-1]) | (a[1:] != a[:-1])))
+    return b[kept], a[kept], n[kept]
+
+
+def _equal(one: np.ndarray, other: np.ndarray) -> int:
+    """Length of the common start."""
+    at, step, n = 0, 32, min(len(one), len(other))
+    while at < n:
+        end = min(n, at + step)
+        off = (one[at:end] != other[at:end]).argmax()
+        if one[at + off] != other[at + off]:
+            return at + int(off)
+        at, step = end, 4 * step
+    return n
+
+
+class _Chains:
+    """Runs in order: after a run comes always the one with fewest shingles between; the end is where all matches couldn't pay."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, similarity: float) -> None:
+        """Runs in the order of b. Where the neighbour follows with less between than any further one can have, it is the next one."""
+        a_end, b_end = a + n, b + n
+        ends = max(a_end.max(), b_end.max())
+        self.n, self.most = n, (1 - similarity) / similarity * n.sum()
+        self.sides = ((a, b), (ends - a_end, ends - b_end))
+        self.known: tuple[dict[int, tuple[int, int]], ...] = ({}, {})
+        between = a[1:] - a_end[:-1], b[1:] - b_end[:-1]
+        cost = between[0] + between[1]
+        plain = (between[0] >= 0) & (between[1] >= 0) & (cost <= self.most)
+        further = np.append(b[2:] - b_end[:-2], 1 << 60)[: len(cost)]
+        self.known[0].update((k, (k + 1, 0)) for k in np.flatnonzero(plain & (cost <= further)).tolist())
+        further = np.concatenate(([1 << 60], b[2:] - np.maximum.accumulate(b_end)[:-2]))[: len(cost)]
+        self.known[1].update((k + 1, (k, 0)) for k in np.flatnonzero(plain & (cost <= further)).tolist())
+
+    def _next(self, side: int, k: int) -> tuple[int, int]:
+        """The run after k, or -1, and how much of its start k has already."""
+        if k not in self.known[side]:
+            a, b = self.sides[side]
+            x, y = a[k] + self.n[k], b[k] + self.n[k]
+            skip = np.maximum(0, np.maximum(x - a, y - b))
+            cost = np.where(skip < self.n, a + b + 2 * skip - x - y, 1 << 60)
+            j = int(cost.argmin())
+            self.known[side][k] = (j, int(skip[j])) if cost[j] <= self.most else (-1, 0)
+        return self.known[side][k]
+
+    def _onward(self, side: int, k: int) -> tuple[list[int], list[int]]:
+        """The runs after k, and how much of its start each has lost."""
+        out, skips = [], []
+        while (step := self._next(side, k))[0] >= 0:
+            k = step[0]
+            out.append(k)
+            skips.append(step[1])
+        return out, skips
+
+    def through(self, k: int) -> tuple[np.ndarray, int, list[int]]:
+        """Rows (in a, in b, length) of the chain that holds run k, k's place in it, and the numbers of its runs."""
+        (after, lost), (before, cut) = self._onward(0, k), self._onward(1, k)
+        before.reverse()
+        own = [*before, k, *after]
+        a, b = self.sides[0]
+        runs = np.stack((a[own], b[own], self.n[own]), axis=1)
+        runs[: len(before), 2] -= np.array(cut[::-1], np.int64)  # on this side a run's end is what it loses
+        runs[len(before) + 1 :] += np.array(lost, np.int64)[:, None] * (1, 1, -1)
+        return runs, len(before), own
+
+
+def _best(a: Text, b: Text, chain: tuple[np.ndarray, int], width: int, similarity: float) -> tuple[int, int, int] | None:
+    """Of the stretches of a chain that hold its longest run, the similar one with most matches less others.
+
+    So a run beyond an edit is taken if it is longer than the edit, and a shorter one where the stretch is too short or not
+    similar without it. Very many candidates are taken in blocks.
+    """
+    runs, mid = chain
+    matches = np.concatenate(([0], np.cumsum(runs[:, 2])))
+    starts, ends = runs[: mid + 1], runs[mid:]
+    a_end, b_end = (ends[:, i] + ends[:, 2] for i in range(2))
     block = max(1, 1_000_000 // len(ends))
-    for k in range(0, len(starts), block):
-        own = starts[k : k + block, None]
-        low, high = np.minimum(at_start[k : k + block, None], at_end), np.maximum(at_start[k : k + block, None], at_end) + 1
-        size, both = ends + 1 - own, match[ends + 1] - match[own]
-        if plain:
-            most = np.maximum(high - low, width) + np.maximum(size, width)
-        else:  # different shingles, at least
-            most = high - low - (again[high] - again[low]) + size - (twice[ends + 1] - twice[own])
-        i, j = np.nonzero((size >= similarity * width) & ((1 + similarity) * both >= similarity * most))
-        for x in np.lexsort((-size[i, j], size[i, j] - 2 * both[i, j])).tolist():
-            start, end = _widened(int(own[i[x], 0]), int(ends[j[x]]), len(other), width)
-            source, last = _widened(int(low[i[x], j[x]]), int(high[i[x], j[x]]) - 1, len(one), width)
-            if _alike(one[source : last + 1], other[start : end + 1], similarity):
+    for k in range(max(0, mid + 1 - block), -1, -block) if block <= mid else (0,):
+        own = starts[k : k + block]
+        both = matches[mid + 1 :][None, :] - matches[k : k + len(own)][:, None]
+        a_size, b_size = a_end[None, :] - own[:, 0][:, None], b_end[None, :] - own[:, 1][:, None]
+        a_twice = a.again[a_end][None, :] - a.again[own[:, 0]][:, None]
+        b_twice = b.again[b_end][None, :] - b.again[own[:, 1]][:, None]
+        most = np.maximum(a_size, width) - a_twice + np.maximum(b_size, width) - b_twice  # different shingles, at least
+        i, j = np.nonzero((b_size >= similarity * width) & ((1 + similarity) * both >= similarity * most - 1e-6))
+        for x in np.lexsort((-b_size[i, j], b_size[i, j] - 2 * both[i, j])).tolist():
+            start, end = _widened(int(own[i[x], 1]), int(b_end[j[x]]) - 1, len(b.shingles), width)
+            source, last = _widened(int(own[i[x], 0]), int(a_end[j[x]]) - 1, len(a.shingles), width)
+            if _alike(a.shingles[source : last + 1], b.shingles[start : end + 1], similarity):
                 return start, end, source
     return None
 
@@ -275,25 +358,6 @@ def _widened(start: int, end: int, n: int, width: int) -> tuple[int, int]:
     return start, min(n - 1, max(end, start + width - 1))
 
 
-def _again(x: np.ndarray) -> np.ndarray:
-    """Which values stand before too."""
-    order = np.argsort(x, kind="stable")
-    out = np.zeros(len(x), bool)
-    out[order[1:]] = x[order[1:]] == x[order[:-1]]
-    return out
-
-
-def _places(one: np.ndarray, wanted: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """For each wanted value, which one has, its place nearest to near."""
-    order = np.argsort(one, kind="stable")
-    low, high = np.searchsorted(one[order], wanted), np.searchsorted(one[order], wanted, "right")
-    out = order[low]
-    for k in np.flatnonzero(high - low > 1).tolist():
-        at = order[low[k] : high[k]]
-        out[k] = at[np.abs(at - near[k]).argmin()]
-    return out
-
-
 def _alike(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
     if len(one) == len(other) and (one == other).all():
         return True
@@ -302,52 +366,25 @@ def _alike(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(one) + len(other) - both)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, hot: np.ndarray, width: int) -> DataFrame:
-    """Rows of verified passages (doc_id, source_id, start, stop, source_start in words), and rows without source_id: of
-    settled min-hashes h, or of a text that is settled whole."""
-    schema = "doc_id long, source_id long, start long, stop long, source_start long, h long"
+def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Rows of verified passages: doc_id, source_id, start, stop, source_start in words."""
+    names = ["doc_id", "source_id", "start", "stop", "source_start"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, said, one = None, None, None
-        held: list[np.ndarray] = []
-        masks: list[np.ndarray] = []
-
-        def rows() -> pa.RecordBatch:
-            data, none = np.concatenate(held), np.concatenate(masks)
-            held.clear()
-            masks.clear()
-            return pa.RecordBatch.from_arrays([pa.array(data[:, i], mask=none[:, i]) for i in range(6)], ["doc_id", "source_id", "start", "stop", "source_start", "h"])
-
+        last, one = None, None
         for batch in stream:
-            for n, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if a != last or batch.column(2)[n].as_py() != said:
-                    last, said, one = a, batch.column(2)[n].as_py(), Text(batch.column(2).slice(n, 1), hot, width)
-                if batch.column(3)[n].as_py() == said:  # a copy: one passage, and nothing of it is left over
-                    if len(one.shingles) >= width:
-                        held.append(np.array([(b, a, 0, len(one.shingles) - 1 + SIZE, 0, 0), (b, 0, 0, 0, 0, 0)], np.int64))
-                        masks.append(np.array([[False] * 5 + [True], [False] + [True] * 5]))
-                    continue
-                other = Text(batch.column(3).slice(n, 1), hot, width)
-                found = shared_passages(one, other, width) if one.shares(other) else []
-                if not found:
-                    continue
-                held.append(np.array([(b, a, start, end + SIZE, base, 0) for start, end, base in found], np.int64))
-                masks.append(np.tile([False] * 5 + [True], (len(found), 1)))
-                inside = np.zeros(len(other.c), bool)
-                for start, end, _ in found:
-                    inside |= (other.c >= start) & (other.c <= end)
-                settled = np.unique(other.value[inside].view(np.int64))
-                held.append(np.column_stack([np.full(len(settled), b), *[np.zeros(len(settled), np.int64)] * 4, settled]))
-                masks.append(np.tile([False] + [True] * 4 + [False], (len(settled), 1)))
-                if sum(map(len, held)) > 50_000:
-                    yield rows()
-        if held:
-            yield rows()
+            found: list[tuple] = []
+            texts_a = batch.column(2)
+            for n, (a, b, other) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), Text.each(batch.column(3)), strict=True)):
+                if a != last:
+                    last, one = a, next(Text.each(texts_a.slice(n, 1)))
+                found += [(b, a, start, end + SIZE, base) for start, end, base in shared_passages(one, other, width)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(5)], names)
 
     one = few(pairs, "b").hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     wanted = few(stored(pairs.select("a").distinct()), "a").hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.hint("merge").join(wanted, "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -357,24 +394,35 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
     """
     tune(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    keys = _keys(texts, folder)
+    texts, keys = _texts(docs, doc_id, text, folder)
+    found = _find(texts, least, folder)
     if keys is None:
-        return _find(texts, least, folder)
-    found = _find(_keyed(texts, keys, "doc_id", "text").select(F.col("key").alias("doc_id"), "text"), least, folder)
+        return found
     names = keys.select("key", "id")
     found = found.join(names.toDF("doc_id", "__b"), "doc_id").join(names.toDF("source_id", "__a"), "source_id")
     return found.select(F.col("__b").alias("doc_id"), F.col("__a").alias("source_id"), "start", "stop", "source_start")
 
 
+def _texts(docs: DataFrame, doc_id: str, text: str, folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) of the different texts, each with an id of its own, and the keys that stand for ids, or None."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    several = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(_mark("text")).alias("x"), F.max(_mark("text")).alias("y")).where("n > 1")
+    several = stored(several, folder)
+    if several.isEmpty():
+        return texts, None
+    if several.where("x < y OR x IS NULL AND y IS NOT NULL").isEmpty():
+        return stored(texts.dropDuplicates(["doc_id"]), folder), None
+    keys = _keys(texts, folder)
+    own = _keyed(texts, keys, "doc_id", "text").select(F.col("key").alias("doc_id"), "text")
+    return stored(own.dropDuplicates(["doc_id"]), folder), keys
+
+
 def _mark(text: str) -> Column:
     return F.xxhash64(F.col(text), F.octet_length(text))
 
 
-def _keys(texts: DataFrame, folder: str) -> DataFrame | None:
-    """(key, id, mark) of the different texts of all ids, numbered in the order of id and mark; None: no id has several, and ids are keys."""
-    if texts.groupBy("doc_id").agg(F.count_distinct(_mark("text")).alias("n")).where("n > 1").isEmpty():
-        return None
+def _keys(texts: DataFrame, folder: str) -> DataFrame:
+    """(key, id, mark) of the different texts of all ids, numbered in the order of id and mark."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -396,93 +444,121 @@ def _keyed(rows: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFram
     return rows.join(keys, (F.col(doc_id).cast("long") == F.col("id")) & (_mark(text) == F.col("mark")), "left").drop("id", "mark")
 
 
+def _copies(texts: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, source_id) of texts that are equal to an earlier one."""
+    marks = stored(texts.select("doc_id", _mark("text").alias("mark")), folder)
+    several = marks.groupBy("mark").agg(F.min("doc_id").alias("source_id"), F.count("*").alias("n")).where("n > 1").select("mark", "source_id")
+    return stored(marks.join(few(stored(several, folder), "source_id").hint("merge"), "mark").where("doc_id <> source_id").select("doc_id", "source_id"), folder)
+
+
 def _find(texts: DataFrame, least: int, folder: str) -> DataFrame:
-    """find() of texts (doc_id, text) whose ids have one text each."""
+    """find() of texts (doc_id, text), whose ids differ. Copies of whole texts are settled first and take no part in the rest."""
     spark = texts.sparkSession
-    hot = frequent(counted(texts, kinds=1)[0])
+    copies = _copies(texts, folder)
+    if copies.limit(FEW + 1).count() <= FEW:
+        single = texts.join(F.broadcast(copies.select("doc_id")), "doc_id", "left_anti")
+    else:
+        single = stored(texts.join(copies.select("doc_id").hint("merge"), "doc_id", "left_anti"), folder)
+    hot = frequent(counted(single, kinds=1)[0])
     width = least - SIZE + 1
-    held = stored(min_hashes(texts, hot, least), folder)
-    rows = held.select("doc_id", F.explode("hs").alias("h"))
-    first = rows.groupBy("h").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z"), F.count("*").alias("holders")).where("c < z").select("h", "c", "holders")
+    held = stored(min_hashes(single, hot, least), folder)
+    whole = copies.join(held.where(F.col("n_words") >= least).select(F.col("doc_id").alias("source_id"), F.col("n_words").cast("long").alias("stop")), "source_id")
+    whole = stored(whole.select("doc_id", "source_id", F.lit(0).cast("long").alias("start"), "stop", F.lit(0).cast("long").alias("source_start")), folder)
+    rows = held.select("doc_id", F.explode(F.arrays_zip("hs", "cs")).alias("w")).select("doc_id", F.col("w.hs").alias("h"), F.col("w.cs").alias("at"))
+    first = rows.groupBy("h").agg(F.min("doc_id").alias("c"), F.min_by("at", "doc_id").alias("c_at"), F.max("doc_id").alias("z"), F.count("*").alias("holders"))
+    first = first.where("c < z").select("h", "c", "c_at", "holders")
     first = stored(first, folder)  # as a plain table, so that the rows of a frequent min-hash are split where they meet it
-    shared = stored(rows.join(first, "h").where("c <> doc_id").select("h", "c", "doc_id", "holders").distinct(), folder)
+    shared = stored(rows.join(few(first, "c").hint("merge"), "h").where("c <> doc_id").select("h", "c", "c_at", "doc_id", "holders", "at"), folder)
     forget(spark, held)
-    pairs = shared.groupBy(F.col("c").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select("a", "b")
+    pairs = shared.groupBy(F.col("c").alias("a"), F.col("doc_id").alias("b")).agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select("a", "b")
     tried = stored(pairs, folder)
-    found = stored(_verify(tried, texts, hot, width), folder)
-    around = _contexts(stored(_open(shared, tried, found), folder), texts, hot, width, folder)
-    left = None
+    found = stored(_verify(tried, texts, width), folder)
+    rest = stored(_open(shared, tried, found), folder)
+    forget(spark, shared)
+    around = _contexts(rest, texts, width, folder)
+    rest, left = rest.where("open = 1").select("h", "doc_id", "at"), None
     for most in ROUNDS:
         near = stored(_near(around, left, most, width), folder)
         pairs = stored(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), folder)
-        again = stored(_verify(pairs, texts, hot, width), folder)
+        again = stored(_verify(pairs, texts, width), folder)
         found, tried = found.unionByName(again), tried.unionByName(pairs)
         if most is None:
             break
         left = near.groupBy("h", "x", F.col("b").alias("doc_id")).agg(F.max("a").alias("after"), F.count("*").alias("n")).where(F.col("n") >= most).drop("n")
-        left = stored(_unsettled(left, found), folder)
+        left = stored(left.join(_unsettled(rest, again).select("h", "doc_id").distinct(), ["h", "doc_id"], "left_semi"), folder)
         forget(spark, near)
         if left.isEmpty():
             break
-    return found.where("source_id IS NOT NULL").drop("h")
+    return found.unionByName(whole)
 
 
 def _unsettled(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows (h, doc_id, ...) without those that found settles."""
-    rows = rows.join(found.where("source_id IS NULL AND h IS NULL").select("doc_id").distinct(), "doc_id", "left_anti")
-    return rows.join(found.where("h IS NOT NULL").select("h", "doc_id").distinct(), ["h", "doc_id"], "left_anti")
+    """rows (doc_id, at, ...) without those whose centre is in a found passage."""
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
+    inside = F.exists("__spans", lambda x: (x["start"] <= F.col("at")) & (F.col("at") + SIZE <= x["stop"]))
+    return rows.join(spans, "doc_id", "left").where(F.col("__spans").isNull() | ~inside).drop("__spans")
 
 
 def _open(shared: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame:
-    """(h, doc_id, open): min-hashes of texts that no passage explains yet, and with open = 0 all texts that can be their sources.
+    """(h, doc_id, at, open): min-hashes of texts that no passage explains yet, and with open = 0 all texts that can be their sources.
 
-    Settled texts and first holders stay as sources; a copy of an earlier text doesn't, as that one has all it has. A text with
-    fewer than ENOUGH min-hashes that an earlier one has isn't open. Of a min-hash with two holders, the pair may have been
-    tried; else the pair has just this one, or it has others, which are open, or settled by a third text.
+    Settled texts and first holders stay as sources. A text with fewer than two min-hashes that earlier ones have isn't open. Of a
+    min-hash with two holders, the pair may have been tried; else the pair has just this one, or it has others, which are open,
+    or settled by a third text.
     """
-    left = _unsettled(shared, found)
-    many = shared.groupBy("doc_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= ENOUGH).select("doc_id")
-    left = left.join(many, "doc_id", "left_semi")
-    settled = found.where("h IS NOT NULL").select("doc_id").distinct()
+    many = shared.groupBy("doc_id").agg(F.min("h").alias("__x"), F.max("h").alias("__y")).where("__x < __y").select("doc_id")
+    left = _unsettled(shared, found).join(many, "doc_id", "left_semi")
+    settled = found.select("doc_id").distinct()
     two = left.where("holders = 2").join(settled, "doc_id", "left_semi").join(tried.select(F.col("a").alias("c"), F.col("b").alias("doc_id")), ["c", "doc_id"], "left_anti")
-    left = left.where("holders > 2").select("h", "c", "doc_id").unionByName(two.select("h", "c", "doc_id"))
-    copies = found.where("source_id IS NULL AND h IS NULL").select("doc_id").distinct()
-    source = shared.join(left.select("h").distinct(), "h", "left_semi").join(copies, "doc_id", "left_anti").select("h", "doc_id", F.lit(0).alias("open"))
-    holders = left.select("h", F.col("c").alias("doc_id"), F.lit(0).alias("open")).distinct()
-    rows = source.unionByName(holders).unionByName(left.select("h", "doc_id", F.lit(1).alias("open")))
-    return rows.groupBy("h", "doc_id").agg(F.max("open").alias("open"))
+    left = left.where("holders > 2").unionByName(two.select(*left.columns))
+    left = stored(left.select("h", "c", "c_at", "doc_id", "at"))
+    firsts = stored(left.select("h", F.col("c").alias("doc_id"), F.col("c_at").alias("at"), F.lit(0).alias("open")).distinct())
+    source = shared.select("h", "doc_id", "at").join(few(firsts.select("h", F.col("doc_id").alias("c")), "c").hint("merge"), "h").select("h", "doc_id", "at")
+    source = source.join(left.select("h", "doc_id").hint("merge"), ["h", "doc_id"], "left_anti").withColumn("open", F.lit(0))
+    return source.unionByName(firsts).unionByName(left.select("h", "doc_id", "at", F.lit(1).alias("open")))
 
 
-def _contexts(rows: DataFrame, texts: DataFrame, hot: np.ndarray, width: int, folder: str) -> DataFrame:
-    """rows (h, doc_id, open) with around: the shingles within `width` of each centre that has the min-hash."""
-    wanted = rows.groupBy("doc_id").agg(F.collect_list(F.when(F.col("open") == 1, F.col("h"))).alias("hs"), F.collect_list(F.when(F.col("open") == 0, F.col("h"))).alias("others"))
-    joined = few(stored(wanted, folder), "doc_id").hint("merge").join(texts, "doc_id").select("doc_id", "hs", "others", "text")
+def _contexts(rows: DataFrame, texts: DataFrame, width: int, folder: str) -> DataFrame:
+    """rows (h, doc_id, at, open) with around: of the shingles within `width` of the centre, those of even hash, half of them.
+    Those with fewer than SHARED are left out."""
+    wanted = rows.groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list("at").alias("ats"), F.collect_list("open").alias("opens"))
+    joined = few(stored(wanted, folder), "doc_id").hint("merge").join(texts, "doc_id").select("doc_id", "hs", "ats", "opens", "text")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            ids, hs, is_open, around = [], [], [], []
-            for n, doc in enumerate(batch.column(0).to_pylist()):
-                own = Text(batch.column(3).slice(n, 1), hot, width)
-                for column in (1, 2):
-                    mine = batch.column(column)[n].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                    for w in np.flatnonzero(np.isin(own.value.view(np.int64), mine)).tolist():
-                        c = int(own.c[w])
-                        ids.append(doc)
-                        hs.append(int(own.value[w].astype(np.int64)))
-                        is_open.append(2 - column)
-                        around.append(np.unique(own.shingles[max(0, c - width) : c + width + 1]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(is_open, pa.int32()), pa.array(around, pa.list_(pa.int64()))], ["doc_id", "h", "open", "around"])
-
-    return stored(joined.mapInArrow(run, "doc_id long, h long, open int, around array<long>"), folder)
+            lists, around = [batch.column(i) for i in (1, 2, 3)], []
+            kept = np.zeros(len(lists[0].flatten()), bool)
+            places, at = lists[1].flatten().to_numpy().tolist(), 0
+            for n, own in zip(lists[0].value_lengths().to_pylist(), Text.each(batch.column(4)), strict=True):
+                short = (own.shingles >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                before = np.full(len(short), -1)  # where each shingle stands before
+                before[own.order[1:]] = np.where(own.sorted[1:] == own.sorted[:-1], own.order[:-1], -1)
+                even = np.flatnonzero(short & 1 == 0)
+                short, before = short[even], before[even]
+                low = np.maximum(0, np.array(places[at : at + n]) - width)
+                first, last = np.searchsorted(even, low), np.searchsorted(even, low + 2 * width, "right")
+                for k, (c, x, y) in enumerate(zip(low.tolist(), first.tolist(), last.tolist(), strict=True)):
+                    if y - x >= SHARED:
+                        near = short[x:y][before[x:y] < c]
+                        if len(near) >= SHARED:
+                            kept[at + k] = True
+                            around.append(near)
+                at += n
+            ids = np.repeat(batch.column(0).to_numpy(), lists[0].value_lengths().to_numpy())[kept]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in around]))).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(around) if around else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lists[0].flatten().to_numpy()[kept]), pa.array(lists[2].flatten().to_numpy()[kept]), sets], ["doc_id", "h", "open", "around"])
+
+    return stored(joined.mapInArrow(run, "doc_id long, h long, open int, around array<int>"), folder)
 
 
 def _near(rows: DataFrame, left: DataFrame | None, most: int | None, width: int) -> DataFrame:
     """(h, x, a, b): for each open text and min-hash the first `most` texts before it in each part x of the holders, or all,
-    whose surroundings share as much as a passage asks for. left (h, x, doc_id, after): only these, and texts after `after`.
+    whose surroundings share SHARED. left (h, x, doc_id, after): only these, and texts after `after`.
 
     Open rows and all rows of a min-hash are multiplied out, in tiles of bounded sides.
     """
-    least = int(2 * SIMILARITY / (1 + SIMILARITY) * width) - 2
+    least = SHARED
     sizes = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum("open").alias("u")).where("n > 1 AND u > 0")
     dealt = rows.join(sizes.select("h", *[F.ceil(F.col(c) / SIDE).cast("int").alias(f"{c}_sides") for c in "nu"]), "h")
     part = F.xxhash64("doc_id")
@@ -538,10 +614,8 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: i
     """docs with every found passage cut out of its text, from its first word's start to its last word's end."""
     tune(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    keys = _keys(texts, folder)
-    own = texts if keys is None else _keyed(texts, keys, "doc_id", "text").select(F.col("key").alias("doc_id"), "text")
-    spans = _find(own, least, folder).select("doc_id", "start", "stop").distinct()
+    texts, keys = _texts(docs, doc_id, text, folder)
+    spans = _find(texts, least, folder).select("doc_id", "start", "stop").distinct()
     spans = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("start").alias("__from"), F.collect_list("stop").alias("__to"))
     bare = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)])  # so that no name clashes
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
@@ -549,14 +623,23 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: i
         placed = bare.withColumn("__key", F.col(names[doc_id]).cast("long"))
     else:
         placed = _keyed(bare, keys, names[doc_id], names[text]).withColumnRenamed("key", "__key")
-    joined = placed.join(spans, F.col("__key") == F.col("__id"), "left")
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
-        return _cut(texts, starts, stops)
+    joined = placed.join(spans, F.col("__key") == F.col("__id"), "left").select(*names.values(), "__from", "__to")
+    schema = T.StructType([T.StructField(names[f.name], f.dataType) for f in docs.schema])
+    at = docs.columns.index(text)
 
-    after = F.when(F.col("__from").isNull(), F.col(names[text])).otherwise(cut(F.col(names[text]), F.col("__from"), F.col("__to")))
-    return joined.withColumn(names[text], after).select(*[F.col(n).alias(c) for c, n in names.items()])
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            columns = batch.columns
+            starts, stops = columns.pop(-2), columns.pop(-1)
+            has = starts.is_valid()
+            rows = pa.array(np.flatnonzero(has.to_numpy(zero_copy_only=False)))
+            if len(rows):
+                cut = _cut(columns[at].take(rows), starts.take(rows), stops.take(rows)).cast(columns[at].type)
+                columns[at] = pc.replace_with_mask(columns[at], has, cut)
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+        release()
+
+    return joined.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def _cut(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
