@@ -15,7 +15,7 @@ by a block, however frequent it is, so that buckets are even.
 
 Defined results: null text or one without words has no tokens: 0 tokens and null losses. A corpus without target texts gives
 the target model its smoothing only. Repeated rows count as often as they occur. An empty table gives no rows. Null id: kept,
-never a target. Further columns are not read. Key hashes of 63 bits stand for words and pairs.
+never a target. Further columns are not read. Key hashes of 55 bits stand for words and pairs.
 """
 
 from __future__ import annotations
@@ -32,10 +32,36 @@ from ._shared import mix, release, shared_dir, stored, text_chunks, tune, words
 
 MIX, SMOOTH = 0.5, 0.1
 #: Bytes of text of a block, keys of a bucket, target ids that are broadcast.
-BLOCK, BUCKET, FEW = 8 << 20, 2_000_000, 500_000
+BLOCK, BUCKET, FEW = 5 << 20, 600_000, 500_000
 _SEED = np.random.default_rng(41).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as the planes of their bytes, as many as the greatest has; the first byte says how many."""
+    planes = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([planes]) + np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+
+
+def _unpacked(x: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(x.as_buffer(), np.uint8)
+    planes = int(raw[0])
+    out = np.zeros(((len(raw) - 1) // planes, 8), np.uint8)
+    out[:, :planes] = raw[1:].reshape(planes, -1).T
+    return out.view(np.uint64).reshape(-1)
+
+
+def _packed_keys(x: np.ndarray) -> bytes:
+    """Ascending keys: the first one, and differences."""
+    return x[:1].tobytes() + _packed(np.diff(x)) if len(x) else b""
+
+
+def _unpacked_keys(x: pa.Scalar) -> np.ndarray:
+    raw = x.as_py()
+    if not raw:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate((np.frombuffer(raw, np.uint64, 1), _unpacked(pa.scalar(raw[8:], pa.binary())))), dtype=np.uint64)
+
+
 class Block:
     """The tokens of a run of texts as numbers of its different words, pairs and contexts, and their keys."""
 
@@ -48,32 +74,38 @@ class Block:
                 firsts.append(first[1:] + n)
                 n += len(own)
         self.first = np.concatenate(firsts)
-        self.words, self.number = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
+        self.words, number = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
+        del hashes
+        self.number = number.astype(np.int32)
         inner = np.ones(max(0, n - 1), bool)  # tokens that have one before them in their text
         inner[self.first[(self.first > 0) & (self.first < n)] - 1] = False
         self.second = np.flatnonzero(inner) + 1
-        code = self.number[self.second - 1] * max(1, len(self.words)) + self.number[self.second]
-        self.pairs, self.pair = np.unique(code, return_inverse=True)
+        code = number[self.second - 1] * max(1, len(self.words)) + number[self.second]
+        del number
+        self.pairs, pair = np.unique(code, return_inverse=True)
+        del code
+        self.pair = pair.astype(np.int32)
         self.before, self.after = np.divmod(self.pairs, max(1, len(self.words)))
         self.contexts, self.context = np.unique(self.before, return_inverse=True)  # of each pair
 
     def keys(self) -> np.ndarray:
-        """Of words (odd), contexts and pairs (even)."""
-        one = np.uint64(1)
+        """Of words (odd), contexts and pairs (even), below 2**56."""
+        one, low = np.uint64(1), np.uint64(8)
         with np.errstate(over="ignore"):
             single = mix(self.words * _SEED[0])
             context = mix(self.words[self.contexts] * _SEED[1])
             pair = mix(self.words[self.before] * _SEED[2] + self.words[self.after] * _SEED[3])
-        return np.concatenate((single | one, context & ~one, pair & ~one))
+        return np.concatenate((single >> low | one, context >> low & ~one, pair >> low & ~one))
 
     def counts(self, marked: np.ndarray) -> np.ndarray:
         """[in all texts, in marked texts] of each key."""
-        weights = np.repeat(marked, np.diff(self.first))
+        own = np.repeat(marked, np.diff(self.first))
         out = []
-        for w in (np.ones(len(weights)), weights.astype(float)):
-            pair = np.bincount(self.pair, w[self.second], len(self.pairs))
-            out.append(np.concatenate((np.bincount(self.number, w, len(self.words)), np.bincount(self.context, pair, len(self.contexts)), pair)))
-        return np.array(out).astype(np.int64)
+        for numbers, pairs in ((self.number, self.pair), (self.number[own], self.pair[own[self.second]])):
+            pair = np.bincount(pairs, minlength=len(self.pairs))
+            context = np.bincount(self.context, pair, len(self.contexts)).astype(np.int64)
+            out.append(np.concatenate((np.bincount(numbers, minlength=len(self.words)), context, pair)))
+        return np.array(out)
 
     def losses(self, counts: np.ndarray, n: float, vocabulary: int) -> np.ndarray:
         """Loss of each token in nats, by the counts of each key in the corpus, and of tokens and words in all."""
@@ -101,11 +133,11 @@ def _blocks(docs: DataFrame) -> DataFrame:
             marked = np.concatenate([b.column(2).to_numpy(zero_copy_only=False).astype(bool) for b in held])
             keys = own.keys()
             order = np.argsort(keys)
-            counts = own.counts(marked)[:, order].astype(np.uint32)
+            counts = own.counts(marked)[:, order]
             for b in held:
                 blank = [pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, number)), b.column(0), b.column(1), *blank], names)
-            row = [pa.array([number]), pa.nulls(1, held[0].column(0).type), pa.nulls(1, pa.string()), pa.array([len(keys)]), *(pa.array([x.tobytes()], pa.binary()) for x in (keys[order], *counts))]
+            row = [pa.array([number]), pa.nulls(1, held[0].column(0).type), pa.nulls(1, pa.string()), pa.array([len(keys)]), *(pa.array([x], pa.binary()) for x in (_packed_keys(keys[order]), *map(_packed, counts)))]
             yield pa.RecordBatch.from_arrays(row, names)
             release()
 
@@ -135,11 +167,11 @@ def _answers(requests: DataFrame, buckets: int) -> DataFrame:
     def split(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for row in range(batch.num_rows):
-                keys, n, t = (np.frombuffer(batch.column(i)[row].as_buffer(), kind) for i, kind in ((1, np.uint64), (2, np.uint32), (3, np.uint32)))
-                own = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                keys, n, t = _unpacked_keys(batch.column(1)[row]), _unpacked(batch.column(2)[row]), _unpacked(batch.column(3)[row])
+                own = ((keys >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 found, begin = np.unique(own, return_index=True)
                 end = [*begin[1:], len(keys)]
-                parts = [pa.array([x[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()) for x in (keys, n, t)]
+                parts = [pa.array([f(x[a:b]) for a, b in zip(begin, end, strict=True)], pa.binary()) for x, f in ((keys, _packed_keys), (n, _packed), (t, _packed))]
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([batch.column(0)[row].as_py()] * len(found), pa.int64()), *parts], ["bucket", "block", "keys", "n", "t"])
 
     def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +179,11 @@ def _answers(requests: DataFrame, buckets: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             keys, n, t = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+            held[:] = [(x[0], len(x[1])) for x in held]
             found, at = np.unique(keys, return_inverse=True)
             sums = [np.bincount(at, x, len(found)).astype(np.int64) for x in (n, t)]
-            cuts = np.cumsum([len(x[1]) for x in held])[:-1]
-            parts = [[x.tobytes() for x in np.split(s[at], cuts)] for s in sums]
+            cuts = np.cumsum([x[1] for x in held])[:-1]
+            parts = [[_packed(x) for x in np.split(s[at], cuts)] for s in sums]
             word = (found & np.uint64(1)).astype(bool)
             columns = [pa.array([x[0] for x in held] + [None], pa.int64()), pa.array([bucket] * (len(held) + 1), pa.int32())]
             columns += [pa.array([None] * len(held) + [int(x)], pa.int64()) for x in (word.sum(), *(s[word].sum() for s in sums))]
@@ -163,7 +196,7 @@ def _answers(requests: DataFrame, buckets: int) -> DataFrame:
                     yield close()
                     held = []
                 bucket = own
-                held.append((batch.column(1)[row].as_py(), *(np.frombuffer(batch.column(i)[row].as_py(), kind) for i, kind in ((2, np.uint64), (3, np.uint32), (4, np.uint32)))))
+                held.append((batch.column(1)[row].as_py(), _unpacked_keys(batch.column(2)[row]), _unpacked(batch.column(3)[row]), _unpacked(batch.column(4)[row])))
         if held:
             yield close()
         release()
@@ -207,7 +240,7 @@ def _scored(rows: DataFrame, kind: str, doc_id: str, totals: tuple[int, int, int
                     block, answers, held = blocks[a], [], []
                 asked = batch.column(1).slice(a, b - a).to_pylist()
                 n = sum(x is not None for x in asked)  # answers come first
-                answers += [tuple(np.frombuffer(batch.column(i)[a + r].as_py(), np.int64) for i in (4, 5)) for r in range(n)]
+                answers += [tuple(_unpacked(batch.column(i)[a + r]).astype(np.int64) for i in (4, 5)) for r in range(n)]
                 if b - a > n:
                     held.append(batch.slice(a + n, b - a - n))
         if held:
