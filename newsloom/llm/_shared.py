@@ -61,7 +61,7 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out anew where it has fewer partitions than the session has cores: a small table in one file."""
+    """df, a table as it is read, dealt out anew where it has fewer partitions than the session has cores: a small one in few files."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -72,6 +72,7 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
         for file in table.inputFiles()[:1]:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    spark.sparkContext._jvm.System.gc()  # plans, shuffles and broadcasts that only they were for are let go as garbage is collected
 
 
 # --- words and shingles as arrays of hashes --------------------------------------------------
@@ -104,6 +105,9 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_read = [0]  # bytes of text since memory was given back
+
+
 def text_chunks(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row bounds) for runs of rows of about `most` bytes; a longer text is a run of its own. Null: empty."""
     if pa.types.is_large_string(texts.type):
@@ -121,7 +125,9 @@ def text_chunks(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.
         last = min(last, n)
         yield row, raw[bounds[row] : bounds[last]], bounds[row : last + 1] - bounds[row]
         row = last
-    if n > 50:
+    _read[0] += len(raw)
+    if _read[0] > 16 << 20:  # not after each batch: memory that is given back has to be asked for again
+        _read[0] = 0
         release()
 
 

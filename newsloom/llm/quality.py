@@ -29,7 +29,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._shared import SPACES, shared_dir, spread, stored
+from ._shared import SPACES, forget, shared_dir, stored
 
 #: Share of rows that the estimate is made from, share of normal rows that the cutoff rejects, least rows of a group, most
 #: concentration steps, groups up to which a table of estimates is broadcast (some 500 bytes each and start).
@@ -132,21 +132,28 @@ _KEY = ["k0", "k1"]
 
 
 def _factored(sums: DataFrame, key: list[str], factor: float) -> DataFrame:
-    """Means m{i}, Cholesky factors l{i}{j} of the covariances and log determinants of sums n, s{i}, q{i}{j}."""
+    """Means m{i}, inverse factors w{i}{j} and log determinants of the covariances of sums n, s{i}, q{i}{j}."""
     cov = {(i, j): F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * (F.col(f"s{j}") / F.col("n")) for i, j in _PAIRS}
     out = sums.select(*key, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(len(VECTOR))], *[(c * factor + (VECTOR[i][1] ** 2 if i == j else 0)).alias(f"c{i}{j}") for (i, j), c in cov.items()])
     return _cholesky(out, key)
 
 
 def _cholesky(covariances: DataFrame, key: list[str]) -> DataFrame:
-    out = covariances
+    """Means, the inverse w{i}{j} of the Cholesky factor of c{i}{j}, and the log determinant. Each column uses those before it."""
+    out = []
     for i, j in _PAIRS:
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+        out.append((F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}")).alias(f"l{i}{j}"))
+    for i, j in _PAIRS:
+        solved = F.lit(1.0) if i == j else F.lit(0.0)
+        for k in range(j, i):
+            solved = solved - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
+        out.append((solved / F.col(f"l{i}{i}")).alias(f"w{i}{j}"))
+    means = [f"m{i}" for i in range(len(VECTOR))]
     size = sum((F.log(f"l{i}{i}") for i in range(1, len(VECTOR))), F.log("l00"))
-    return out.select(*key, *[f"m{i}" for i in range(len(VECTOR))], *[f"l{i}{j}" for i, j in _PAIRS], (2 * size).alias("size"))
+    return covariances.select(*key, *means, *out, (2 * size).alias("size")).select(*key, *means, *[f"w{i}{j}" for i, j in _PAIRS], "size")
 
 
 def _sums(values: list[Column]) -> list[Column]:
@@ -155,16 +162,12 @@ def _sums(values: list[Column]) -> list[Column]:
 
 def _distance(rows: DataFrame, models: DataFrame, how: str, kind: str = "inner") -> DataFrame:
     """rows, for each model of their key, with its columns besides the estimate and d2, the squared Mahalanobis distance."""
-    near = rows.join(models.hint(how), _KEY, kind)
     solved = []
-    for i, c in enumerate(_NAMES):  # forward substitution
-        rest = F.col(c) - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        near = near.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-        solved.append(F.col(f"y{i}") * F.col(f"y{i}"))
-    more = [c for c in models.columns if c not in _KEY and c[0] not in "ml" and c != "size"]
-    return near.select(*rows.columns, *more, sum(solved[1:], solved[0]).alias("d2"))
+    for i in range(len(VECTOR)):
+        parts = [F.col(f"w{i}{j}") * (F.col(_NAMES[j]) - F.col(f"m{j}")) for j in range(i + 1)]
+        solved.append(F.pow(sum(parts[1:], parts[0]), F.lit(2.0)))
+    more = [c for c in models.columns if c not in _KEY and c[0] not in "mw" and c != "size"]
+    return rows.join(models.hint(how), _KEY, kind).select(*rows.columns, *more, sum(solved[1:], solved[0]).alias("d2"))
 
 
 def _inner(rows: DataFrame, models: DataFrame, how: str, share: float) -> DataFrame:
@@ -190,13 +193,13 @@ def _starts(rows: DataFrame, how: str, folder: str) -> DataFrame:
     plain = robust.select(*_KEY, F.lit(0).alias("start"), *[f"m{i}" for i in range(len(VECTOR))], *[(F.pow(F.col(f"d{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS])
     first = _cholesky(plain, key)
     near = rows.join(robust.hint(how), _KEY)
-    for i, c in enumerate(_NAMES):
-        near = near.withColumn(f"z{i}", (F.col(c) - F.col(f"m{i}")) / F.col(f"d{i}"))
+    near = near.select(*_KEY, *[((F.col(c) - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i, c in enumerate(_NAMES)])
     length = F.sqrt(sum((F.pow(F.col(f"z{i}"), 2) for i in range(len(VECTOR))), F.lit(1e-12)))
     turned = near.select(*_KEY, F.explode(F.array(*[F.struct(F.lit(s).alias("start"), *[x.alias(f"u{i}") for i, x in enumerate(u)]) for s, u in ((1, [F.col(f"z{i}") / length for i in range(len(VECTOR))]), (2, [F.tanh(f"z{i}") for i in range(len(VECTOR))]))])).alias("u"))
     shape = turned.groupBy(*_KEY, F.col("u.start").alias("start")).agg(*_sums([F.col(f"u.u{i}") for i in range(len(VECTOR))]))
     centred = {(i, j): F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * (F.col(f"s{j}") / F.col("n")) + (0.01 if i == j else 0) for i, j in _PAIRS}
     other = shape.join(robust.hint(how), _KEY).select(*key, *[f"m{i}" for i in range(len(VECTOR))], *[(c * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}{j}") for (i, j), c in centred.items()])
+    first = stored(first, folder)
     half = _inner(rows, first, how, 0.5).withColumn("start", F.lit(3))
     sizes = rows.groupBy(*_KEY).agg(F.count("*").alias("size"))
     drawn = rows.join(sizes.hint(how), _KEY).withColumn("start", F.explode(F.array(*[F.lit(4 + k) for k in range(DRAWS)])))
@@ -205,14 +208,15 @@ def _starts(rows: DataFrame, how: str, folder: str) -> DataFrame:
 
 
 def estimates(rows: DataFrame, how: str, folder: str, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
-    """(k0, k1, m0.., l00..): the minimum covariance determinant estimate of rows (k0, k1, vector) of each key."""
+    """(k0, k1, m0.., w00..): the minimum covariance determinant estimate of rows (k0, k1, vector) of each key."""
     key = [*_KEY, "start"]
     now = stored(_inner(rows, _starts(rows, how, folder), how, coverage).withColumn("falls", F.lit(True)), folder)
     values = [c for c in now.columns if c not in (*key, "falls")]
     for _ in range(steps):
         after = _inner(rows, now.where("falls").drop("falls"), how, coverage).select(*key, *[F.col(c).alias(f"{c}_") for c in values])
         falls = F.coalesce(F.col("size_") < F.col("size") - 1e-9, F.lit(False))
-        now = stored(now.join(after.hint(how), key, "left").select(*key, *[F.when(falls, F.col(f"{c}_")).otherwise(F.col(c)).alias(c) for c in values], falls.alias("falls")), folder)
+        before, now = now, stored(now.join(after.hint(how), key, "left").select(*key, *[F.when(falls, F.col(f"{c}_")).otherwise(F.col(c)).alias(c) for c in values], falls.alias("falls")), folder)
+        forget(rows.sparkSession, before)
         if now.where("falls").isEmpty():
             break
     best = now.groupBy(*_KEY).agg(F.min_by(F.struct(*values), F.struct("size", "start")).alias("x")).select(*_KEY, "x.*")
@@ -251,7 +255,7 @@ def verdicts(stats: DataFrame, group: list[str], coverage: float = COVERAGE, lev
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """docs' `keep` columns with COUNTS, base_failed, d2 and kept. Statistics are computed once and stored."""
     keys = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(f"__g{i}") for i, c in enumerate((lang, source))]
-    picked = spread(docs).select(*[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)], *keys, F.col(text).alias("__text"))
+    picked = docs.select(*[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)], *keys, F.col(text).alias("__text"))
     stats = stored(counts(picked, "__text").drop("__text"))
     judged = verdicts(stats, ["__g0", "__g1"], **options)
     return judged.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], *COUNTS, "base_failed", "d2", "kept")
