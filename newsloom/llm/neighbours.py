@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import components, least_labels, shared_dir, spread, stored, tune
+from ._shared import components, least_labels, shared_dir, stored, tune
 
 COSINE, SPILL, LEAF, TILE, SAMPLE, LEAST = 0.9, 0.01, 300, 2500, 20_000, 16
 #: Share of pairs at the threshold that a level keeps together, share that may be apart in all trees.
@@ -189,7 +189,7 @@ def dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     tune(spark)
     folder = shared_dir(spark)
     plain = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = spread(vectors).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(plain).alias("v"))  # floats are shuffled as such
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(plain).alias("v"))  # floats are shuffled as such
     good = usable(F.col("v")) & F.col("id").isNotNull()
     classes = stored(rows.where(good).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w")).withColumn("dims", F.size("v")), folder)
     out_rows = rows.join(classes.select("v", F.col("id").alias("rep"), "w"), "v", "left").select("id", F.when(good, F.col("rep")).alias("rep"), F.when(good, F.col("w")).alias("w"))

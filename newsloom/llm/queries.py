@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, html, jaccard, neighbours, packing, passages, quality, scoring, warc
-from ._shared import tune
+from ._shared import spread, tune
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tune(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op6_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
