@@ -394,8 +394,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
     """
     tune(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
-    texts, keys = _texts(docs, doc_id, text, folder)
-    found = _find(texts, least, folder)
+    texts, keys, marks = _texts(docs, doc_id, text, folder)
+    found = _find(texts, marks, least, folder)
     if keys is None:
         return found
     names = keys.select("key", "id")
@@ -403,18 +403,18 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
     return found.select(F.col("__b").alias("doc_id"), F.col("__a").alias("source_id"), "start", "stop", "source_start")
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str, folder: str) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, text) of the different texts, each with an id of its own, and the keys that stand for ids, or None."""
+def _texts(docs: DataFrame, doc_id: str, text: str, folder: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(doc_id, text) of the different texts, each with an id of its own, the keys that stand for ids, or None, and (doc_id, mark)."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    several = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(_mark("text")).alias("x"), F.max(_mark("text")).alias("y")).where("n > 1")
-    several = stored(several, folder)
+    marks = stored(texts.select("doc_id", _mark("text").alias("mark")), folder)
+    several = stored(marks.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("mark").alias("x"), F.max("mark").alias("y")).where("n > 1"), folder)
     if several.isEmpty():
-        return texts, None
-    if several.where("x < y OR x IS NULL AND y IS NOT NULL").isEmpty():
-        return stored(texts.dropDuplicates(["doc_id"]), folder), None
+        return texts, None, marks
+    if several.where("x < y").isEmpty():
+        return stored(texts.dropDuplicates(["doc_id"]), folder), None, marks.distinct()
     keys = _keys(texts, folder)
     own = _keyed(texts, keys, "doc_id", "text").select(F.col("key").alias("doc_id"), "text")
-    return stored(own.dropDuplicates(["doc_id"]), folder), keys
+    return stored(own.dropDuplicates(["doc_id"]), folder), keys, keys.select(F.col("key").alias("doc_id"), "mark")
 
 
 def _mark(text: str) -> Column:
@@ -444,17 +444,16 @@ def _keyed(rows: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFram
     return rows.join(keys, (F.col(doc_id).cast("long") == F.col("id")) & (_mark(text) == F.col("mark")), "left").drop("id", "mark")
 
 
-def _copies(texts: DataFrame, folder: str) -> DataFrame:
+def _copies(marks: DataFrame, folder: str) -> DataFrame:
     """(doc_id, source_id) of texts that are equal to an earlier one."""
-    marks = stored(texts.select("doc_id", _mark("text").alias("mark")), folder)
     several = marks.groupBy("mark").agg(F.min("doc_id").alias("source_id"), F.count("*").alias("n")).where("n > 1").select("mark", "source_id")
     return stored(marks.join(few(stored(several, folder), "source_id").hint("merge"), "mark").where("doc_id <> source_id").select("doc_id", "source_id"), folder)
 
 
-def _find(texts: DataFrame, least: int, folder: str) -> DataFrame:
-    """find() of texts (doc_id, text), whose ids differ. Copies of whole texts are settled first and take no part in the rest."""
+def _find(texts: DataFrame, marks: DataFrame, least: int, folder: str) -> DataFrame:
+    """find() of texts (doc_id, text), whose ids differ, with their marks (doc_id, mark). Copies of whole texts are settled first and take no part in the rest."""
     spark = texts.sparkSession
-    copies = _copies(texts, folder)
+    copies = _copies(marks, folder)
     if copies.limit(FEW + 1).count() <= FEW:
         single = texts.join(F.broadcast(copies.select("doc_id")), "doc_id", "left_anti")
     else:
@@ -614,8 +613,8 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: i
     """docs with every found passage cut out of its text, from its first word's start to its last word's end."""
     tune(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
-    texts, keys = _texts(docs, doc_id, text, folder)
-    spans = _find(texts, least, folder).select("doc_id", "start", "stop").distinct()
+    texts, keys, marks = _texts(docs, doc_id, text, folder)
+    spans = _find(texts, marks, least, folder).select("doc_id", "start", "stop").distinct()
     spans = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("start").alias("__from"), F.collect_list("stop").alias("__to"))
     bare = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)])  # so that no name clashes
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
