@@ -52,11 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None, codec: str = "snappy") -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,16 +37,17 @@ _SEED = np.random.default_rng(41).integers(1, 2**63, 4, dtype=np.uint64) * np.ui
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Numbers as the planes of their bytes, as many as the greatest has; the first byte says how many."""
+    """Numbers as the planes of their bytes, as many as the greatest has, compressed; first come the planes and the numbers' count."""
     planes = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
-    return bytes([planes]) + np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+    raw = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+    return np.array([planes, len(x)], np.uint64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpacked(x: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer(x.as_buffer(), np.uint8)
-    planes = int(raw[0])
-    out = np.zeros(((len(raw) - 1) // planes, 8), np.uint8)
-    out[:, :planes] = raw[1:].reshape(planes, -1).T
+    raw = x.as_py()
+    planes, n = np.frombuffer(raw, np.uint64, 2).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :planes] = np.frombuffer(pa.decompress(raw[16:], planes * n, "zstd", asbytes=True), np.uint8).reshape(planes, n).T
     return out.view(np.uint64).reshape(-1)
 
 
@@ -168,6 +169,8 @@ def _answers(requests: DataFrame, buckets: int) -> DataFrame:
         for batch in stream:
             for row in range(batch.num_rows):
                 keys, n, t = _unpacked_keys(batch.column(1)[row]), _unpacked(batch.column(2)[row]), _unpacked(batch.column(3)[row])
+                if not len(keys):
+                    continue
                 own = ((keys >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 found, begin = np.unique(own, return_index=True)
                 end = [*begin[1:], len(keys)]
@@ -261,7 +264,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str
     marks = stored(target_ids.select(F.col(doc_id).alias("__t")).where("__t IS NOT NULL").distinct(), folder)
     how = "broadcast" if marks.count() <= FEW else "merge"
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marks.hint(how), F.col("id") == F.col("__t"), "left")
-    dealt = stored(_blocks(rows.select("id", "text", F.col("__t").isNotNull().alias("target"))), folder)
+    dealt = stored(_blocks(rows.select("id", "text", F.col("__t").isNotNull().alias("target"))), folder, "zstd")
     asked = dealt.where("keys IS NOT NULL")
     n_keys, last = asked.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
     buckets = max(1, -(-int(n_keys) // BUCKET), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_keys) // 50_000)))

@@ -479,6 +479,13 @@ def test_repeated_rows(spark):
     assert _shared.spread(docs.limit(0)).count() == 0
 
 
+def test_scoring_without_words(spark):
+    """A block, and a whole table, of texts without words."""
+    rows = spark.createDataFrame([(1, None), (2, ""), (None, " \n")], "doc_id long, text string").repartition(2)
+    found = scoring.cross_entropy_difference(rows, rows.select("doc_id")).collect()
+    assert {(r["doc_id"], r["n_tokens"], r["difference"]) for r in found} == {(1, 0, None), (2, 0, None), (None, 0, None)}
+
+
 def test_scoring_tells_copies_apart(spark):
     """By the default parameters, texts of words that nobody else uses score apart when they occur twice."""
     rows = [(i, " ".join(f"only{i}x{k}" for k in range(60))) for i in range(40)] + [(100 + i, " ".join(f"only{i}x{k}" for k in range(60))) for i in range(10)]
