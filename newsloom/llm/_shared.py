@@ -66,12 +66,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for table in tables:
         for file in table.inputFiles()[:1]:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            discard(spark, file.rpartition("/")[0])
     spark.sparkContext._jvm.System.gc()  # plans, shuffles and broadcasts that only they were for are let go as garbage is collected
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import mix, release, shared_dir, stored, text_chunks, tune, words
+from ._shared import discard, mix, release, shared_dir, stored, text_chunks, tune, words
 
 MIX, SMOOTH = 0.5, 0.1
 #: Bytes of text of a block, keys of a bucket, target ids that are broadcast.
@@ -264,13 +264,17 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str
     marks = stored(target_ids.select(F.col(doc_id).alias("__t")).where("__t IS NOT NULL").distinct(), folder)
     how = "broadcast" if marks.count() <= FEW else "merge"
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marks.hint(how), F.col("id") == F.col("__t"), "left")
-    dealt = stored(_blocks(rows.select("id", "text", F.col("__t").isNotNull().alias("target"))), folder, "zstd")
-    asked = dealt.where("keys IS NOT NULL")
+    path = f"{folder}/blocks"
+    both = _blocks(rows.select("id", "text", F.col("__t").isNotNull().alias("target"))).withColumn("kind", F.when(F.col("keys").isNull(), "text").otherwise("asked"))
+    both.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    written = spark.read.schema(both.schema).parquet(path)
+    dealt, asked = (written.where(F.col("kind") == k).drop("kind") for k in ("text", "asked"))
     n_keys, last = asked.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
     buckets = max(1, -(-int(n_keys) // BUCKET), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_keys) // 50_000)))
     answers = stored(_answers(asked, buckets), folder)
+    discard(spark, f"{path}/kind=asked")  # before the texts are shuffled
     totals = tuple(answers.where("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "v_n", "v_t")]).first())
-    texts = dealt.where("keys IS NULL").select("block", F.lit(None).cast("int").alias("bucket"), "id", "text", *[F.lit(None).cast("binary").alias(c) for c in "nt"])
+    texts = dealt.select("block", F.lit(None).cast("int").alias("bucket"), "id", "text", *[F.lit(None).cast("binary").alias(c) for c in "nt"])
     own = answers.where("block IS NOT NULL").select("block", "bucket", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"), "n", "t")
     both = texts.unionByName(own).repartitionById((last >> 24) + 1, F.shiftright("block", 24).cast("int"))
     return _scored(both.sortWithinPartitions("block", F.col("bucket").asc_nulls_last()), kind, doc_id, totals)
