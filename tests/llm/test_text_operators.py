@@ -494,3 +494,21 @@ def test_scoring_tells_copies_apart(spark):
     found = {r["doc_id"]: r["difference"] for r in scoring.cross_entropy_difference(docs, docs.where("doc_id >= 200").select("doc_id")).collect()}
     twice, once = [found[i] for i in (*range(10), *range(100, 110))], [found[i] for i in range(10, 40)]
     assert max(twice) < min(once)
+
+
+def test_jaccard_copies_are_one_row(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(3)]
+    rows = [(100 * copy + k, t) for copy in range(8) for k, t in enumerate(texts)] + [(2, texts[1]), (None, texts[0]), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for few in (0, 100):  # merged, broadcast
+        jaccard_few, jaccard.FEW = jaccard.FEW, few
+        try:
+            sets = jaccard.one_of_each(jaccard.stored(jaccard.prefixes(docs, jaccard.counted(docs))), jaccard.shared_dir(spark)).collect()
+        finally:
+            jaccard.FEW = jaccard_few
+        assert len(sets) == len(rows)
+        kept = [(r["doc_id"], tuple(sorted(r["prefix"]))) for r in sets if r["prefix"]]
+        assert sorted(d for d, _ in kept) == [0, 1, 2] and len({p for _, p in kept}) == 3
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    assert all(found[100 * copy + k] == (0 if k == 0 else 1) for copy in range(8) for k in range(3))  # 2 has two texts: 1's and its own
+    assert found[7] == 7 and found[None] is None
