@@ -24,16 +24,17 @@ def best_event(head: Column, rest: Column) -> Column:
     less is the confidence with its sign changed, so that the least struct is the best event.
     """
 
-    def points(k: Column) -> Column:
-        in_head, in_rest = head.contains(k["word"]), rest.contains(k["word"])
-        return F.when(in_head, k["weight"]).otherwise(0.0) + F.when(in_rest, k["weight"] * 0.6).otherwise(0.0) + F.when(in_head | in_rest, k["bonus"]).otherwise(0.0)
+    def points(word: str, weight: float) -> Column:
+        in_head, in_rest, bonus = head.contains(word), rest.contains(word), 0.02 if " " not in word and len(word) >= 5 else 0.0
+        return F.when(in_head, weight).otherwise(0.0) + F.when(in_rest, weight * 0.6).otherwise(0.0) + F.when(in_head | in_rest, bonus).otherwise(0.0)
 
     scored = []
     for kind, words in KEYWORDS.items():
-        table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(x).alias("weight"), F.lit(0.02 if " " not in w and len(w) >= 5 else 0.0).alias("bonus")) for w, x in words])
-        total = F.aggregate(table, F.lit(0.0), lambda s, k: s + points(k))
-        scored.append(F.struct(F.lit(kind).alias("event_type"), F.round(total, 6).alias("points")))
-    finished = F.transform(F.array(*scored), lambda e: F.struct(e["event_type"].alias("event_type"), (e["points"] + F.when((head != "") & (e["points"] > 0), 0.04).otherwise(0.0)).alias("score")))
+        total = F.lit(0.0)
+        for word, weight in words:
+            total = total + points(word, weight)
+        scored.append(F.struct(F.lit(kind).alias("event_type"), F.round(total, 6).alias("points"), (head != "").alias("headed")))
+    finished = F.transform(F.array(*scored), lambda e: F.struct(e["event_type"].alias("event_type"), (e["points"] + F.when(e["headed"] & (e["points"] > 0), 0.04).otherwise(0.0)).alias("score")))
     kept = F.transform(F.filter(finished, lambda e: e["score"] >= 0.15), lambda e: F.struct((-F.round(F.least(F.lit(0.99), 0.45 + e["score"]), 3)).alias("less"), e["event_type"].alias("event_type"), e["score"].alias("score")))
     return F.array_min(kept)
 
