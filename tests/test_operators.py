@@ -1,6 +1,8 @@
 """Functions and operators on small cases, against plain Python where SQL can't express them."""
 
+import difflib
 import random
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -284,3 +286,36 @@ def test_sources_csv(spark, tmp_path):
     totals = {r["platform"]: (r["sources"], r["enabled"], r["posts"]) for r in sinks.sources_csv(sources, f"{tmp_path}/out").collect()}
     assert totals == {"rss": (2, 1, 3), "unknown": (1, 1, 0), None: (3, 2, 3)}
     assert spark.read.csv(f"{tmp_path}/out", header=True).columns == list(sinks.SOURCE_COLUMNS)
+
+
+def test_mentions_of_long_texts():
+    names = " ".join(f"Anna{'x' * (i % 40)}{i} Berta{i}" for i in range(4000))
+    began = time.process_time()
+    found = entities.mentions_of(names + " . " + names)
+    assert time.process_time() - began < 20  # each name searched the whole text, and each mention all others, before
+    assert len(found) >= 4000 and all(a["end"] <= b["start"] for a, b in zip(found, found[1:]))
+
+
+def test_normalize_is_worked_out_once(spark):
+    said = ["A &amp;amp; B  Straße", "&#38;lt; \x85İı", None, "", "ΑΣ &copy 1 &copy; &#xD800; ﬁ\x1cx"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "post_id int, content string")
+    old = text.casefold(text.squeeze(text.unescape(F.coalesce("content", F.lit("")))))
+    assert rows.where(~text.normalize(F.col("content")).eqNullSafe(old)).count() == 0
+    plan = memory.event_memory(rows.withColumn("title", F.lit("Firm launches a partnership")))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000  # the text was normalised anew for each key word, with its tables of references
+
+
+def test_relations_of_a_busy_address(spark):
+    n = 300
+    rows = [(i, f"Title number {i}", f"body {i}", f"https://h{i % 3}.example/{i}", "en", i) for i in range(n)]
+    posts = spark.createDataFrame(rows, "post_id long, title string, content string, url string, lang string, m int").withColumns({"html": F.lit(None).cast("string"), "published_at": F.timestamp_seconds(F.col("m") * 3600)})
+    posts, shared = evidence.enrich(posts), spark.createDataFrame([(i, "https://busy.example/x") for i in range(n)], "post_id long, normalized_url string")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (5, 250)], "probe long, candidate long")
+    found = evidence.relations(posts, shared, pairs)
+    assert sorted((r["from_id"], r["to_id"]) for r in found.collect()) == [(1, 2), (2, 1), (5, 250)]
+    draw = random.Random(3)
+    for _ in range(300):  # the bounds rule out no pair that is alike
+        a = "".join(draw.choice("abcde ") for _ in range(draw.randint(0, 60)))
+        b = draw.choice((a[: draw.randint(0, 60)] + "ab", a[::-1], a))
+        for least in (0.84, 0.94):
+            assert entities.alike_of(a, b, least) == ((difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0) >= least)
