@@ -11,7 +11,8 @@ after a word without pairs P(b) alone. The probabilities of a context add up to
 The models grow with the corpus, so no task holds one. Texts are dealt in blocks of bounded size; a block asks for the counts
 of its own different words and pairs, and brings how often it has each. Requests are sorted by key hash and dealt to buckets of
 bounded size, which add up the counts of all blocks and answer each; every block then scores its texts. A key is asked for once
-by a block, however frequent it is, so that buckets are even.
+by a block, however frequent it is, so that buckets are even. The keys are cut in RANGES by hash and answered one range after
+another, so that only a part of the requests is shuffled at a time, and those that are answered go.
 
 Defined results: null text or one without words has no tokens: 0 tokens and null losses. A corpus without target texts gives
 the target model its smoothing only. Repeated rows count as often as they occur. An empty table gives no rows. Null id: kept,
@@ -33,6 +34,8 @@ from ._shared import discard, mix, release, shared_dir, stored, text_chunks, tun
 MIX, SMOOTH = 0.5, 0.1
 #: Bytes of text of a block, keys of a bucket, target ids that are broadcast.
 BLOCK, BUCKET, FEW = 5 << 20, 600_000, 500_000
+#: Ranges of keys, a power of two.
+RANGES = 4
 _SEED = np.random.default_rng(41).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -121,7 +124,7 @@ class Block:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """docs (id, text, target) with the block of each, and one more row for each block: its sorted keys and their counts."""
+    """docs (id, text, target) with the block of each, and one more row for each block and range of keys that it has (the first always): its sorted keys and their counts."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +137,16 @@ def _blocks(docs: DataFrame) -> DataFrame:
             marked = np.concatenate([b.column(2).to_numpy(zero_copy_only=False).astype(bool) for b in held])
             keys = own.keys()
             order = np.argsort(keys)
-            counts = own.counts(marked)[:, order]
+            keys, counts = keys[order], own.counts(marked)[:, order]
             for b in held:
-                blank = [pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+                blank = [pa.nulls(b.num_rows, t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, number)), b.column(0), b.column(1), *blank], names)
-            row = [pa.array([number]), pa.nulls(1, held[0].column(0).type), pa.nulls(1, pa.string()), pa.array([len(keys)]), *(pa.array([x], pa.binary()) for x in (_packed_keys(keys[order]), *map(_packed, counts)))]
-            yield pa.RecordBatch.from_arrays(row, names)
+            cuts = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) * np.uint64(2**56 // RANGES)).tolist()
+            for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if x < y or not k:
+                    parts = (_packed_keys(keys[x:y]), *(_packed(c[x:y]) for c in counts))
+                    row = [pa.array([number]), pa.nulls(1, held[0].column(0).type), pa.nulls(1, pa.string()), pa.array([k], pa.int32()), pa.array([y - x]), *(pa.array([p], pa.binary()) for p in parts)]
+                    yield pa.RecordBatch.from_arrays(row, names)
             release()
 
         for batch in stream:
@@ -157,13 +164,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield from close()
 
-    names = ["block", "id", "text", "n_keys", "keys", "n", "t"]
-    return docs.select("id", "text", "target").mapInArrow(run, f"block long, id {kind}, text string, n_keys long, keys binary, n binary, t binary")
+    names = ["block", "id", "text", "range", "n_keys", "keys", "n", "t"]
+    return docs.select("id", "text", "target").mapInArrow(run, f"block long, id {kind}, text string, range int, n_keys long, keys binary, n binary, t binary")
 
 
-def _answers(requests: DataFrame, buckets: int) -> DataFrame:
+def _answers(requests: DataFrame, before: int, buckets: int) -> DataFrame:
     """(block, bucket, n, t): counts in the whole corpus of each block's keys, in order; block null: v, v_n and v_t have a bucket's
-    different words and the sums of their counts."""
+    different words and the sums of their counts. requests are of one range of keys, in `buckets` buckets after `before` others."""
 
     def split(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -171,7 +178,7 @@ def _answers(requests: DataFrame, buckets: int) -> DataFrame:
                 keys, n, t = _unpacked_keys(batch.column(1)[row]), _unpacked(batch.column(2)[row]), _unpacked(batch.column(3)[row])
                 if not len(keys):
                     continue
-                own = ((keys >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                own = ((keys >> np.uint64(24)) * np.uint64(buckets * RANGES) >> np.uint64(32)).astype(np.int64) - before
                 found, begin = np.unique(own, return_index=True)
                 end = [*begin[1:], len(keys)]
                 parts = [pa.array([f(x[a:b]) for a, b in zip(begin, end, strict=True)], pa.binary()) for x, f in ((keys, _packed_keys), (n, _packed), (t, _packed))]
@@ -188,7 +195,7 @@ def _answers(requests: DataFrame, buckets: int) -> DataFrame:
             cuts = np.cumsum([x[1] for x in held])[:-1]
             parts = [[_packed(x) for x in np.split(s[at], cuts)] for s in sums]
             word = (found & np.uint64(1)).astype(bool)
-            columns = [pa.array([x[0] for x in held] + [None], pa.int64()), pa.array([bucket] * (len(held) + 1), pa.int32())]
+            columns = [pa.array([x[0] for x in held] + [None], pa.int64()), pa.array([bucket + before] * (len(held) + 1), pa.int32())]
             columns += [pa.array([None] * len(held) + [int(x)], pa.int64()) for x in (word.sum(), *(s[word].sum() for s in sums))]
             columns += [pa.array([*p, None], pa.binary()) for p in parts]
             return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "v", "v_n", "v_t", "n", "t"])
@@ -265,14 +272,17 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str
     how = "broadcast" if marks.count() <= FEW else "merge"
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marks.hint(how), F.col("id") == F.col("__t"), "left")
     path = f"{folder}/blocks"
-    both = _blocks(rows.select("id", "text", F.col("__t").isNotNull().alias("target"))).withColumn("kind", F.when(F.col("keys").isNull(), "text").otherwise("asked"))
+    both = _blocks(rows.select("id", "text", F.col("__t").isNotNull().alias("target"))).withColumn("kind", F.coalesce(F.col("range").cast("string"), F.lit("text")))
     both.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     written = spark.read.schema(both.schema).parquet(path)
-    dealt, asked = (written.where(F.col("kind") == k).drop("kind") for k in ("text", "asked"))
+    dealt, asked = written.where("kind = 'text'").drop("kind"), written.where("kind <> 'text'")
     n_keys, last = asked.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
-    buckets = max(1, -(-int(n_keys) // BUCKET), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_keys) // 50_000)))
-    answers = stored(_answers(asked, buckets), folder)
-    discard(spark, f"{path}/kind=asked")  # before the texts are shuffled
+    buckets = max(RANGES, -(-int(n_keys) // BUCKET), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_keys) // 50_000)))
+    buckets = -(-buckets // RANGES)  # of a range
+    for k in range(RANGES):
+        _answers(asked.where(F.col("kind") == str(k)).drop("kind"), k * buckets, buckets).write.mode("append").option("compression", "snappy").parquet(f"{folder}/answers")
+        discard(spark, f"{path}/kind={k}")
+    answers = spark.read.schema("block long, bucket int, v long, v_n long, v_t long, n binary, t binary").parquet(f"{folder}/answers")
     totals = tuple(answers.where("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "v_n", "v_t")]).first())
     texts = dealt.select("block", F.lit(None).cast("int").alias("bucket"), "id", "text", *[F.lit(None).cast("binary").alias(c) for c in "nt"])
     own = answers.where("block IS NOT NULL").select("block", "bucket", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"), "n", "t")

@@ -479,6 +479,21 @@ def test_repeated_rows(spark):
     assert _shared.spread(docs.limit(0)).count() == 0
 
 
+def test_scoring_answers_ranges_one_by_one(docs, monkeypatch):
+    """No shuffle has all requests, and those that are answered go."""
+    answers, seen = scoring._answers, []
+
+    def run(requests, *rest):
+        size = lambda: requests.sparkSession.read.parquet(requests.inputFiles()[0].rpartition("/kind=")[0]).where("kind <> 'text'").agg({"n_keys": "sum"}).first()[0]
+        seen.append((requests.selectExpr("sum(octet_length(keys))").first()[0], size()))
+        return answers(requests, *rest)
+
+    monkeypatch.setattr(scoring, "_answers", run)
+    assert scoring.cross_entropy_difference(docs, docs.where("doc_id = 1").select("doc_id")).count() == docs.count()
+    assert len(seen) == scoring.RANGES and max(x for x, _ in seen) < 0.4 * sum(x for x, _ in seen)
+    assert all(b < 0.9 * a for (_, a), (_, b) in zip(seen, seen[1:], strict=False))
+
+
 def test_scoring_without_words(spark):
     """A block, and a whole table, of texts without words."""
     rows = spark.createDataFrame([(1, None), (2, ""), (None, " \n")], "doc_id long, text string").repartition(2)
