@@ -479,6 +479,12 @@ def test_repeated_rows(spark):
     assert _shared.spread(docs.limit(0)).count() == 0
 
 
+def test_driver_gives_memory_back(spark):
+    from newsloom.llm import _shared
+
+    assert "->" in _shared.trim(spark)
+
+
 def test_scoring_answers_ranges_one_by_one(docs, monkeypatch):
     """No shuffle has all requests, and those that are answered go."""
     answers, seen = scoring._answers, []
