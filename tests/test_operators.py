@@ -5,6 +5,7 @@ import random
 import time
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import entities, events, language, text, urls
@@ -319,3 +320,25 @@ def test_relations_of_a_busy_address(spark):
         b = draw.choice((a[: draw.randint(0, 60)] + "ab", a[::-1], a))
         for least in (0.84, 0.94):
             assert entities.alike_of(a, b, least) == ((difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0) >= least)
+
+
+@pytest.mark.parametrize("cap", [120, 5])
+def test_story_candidates(spark, cap):
+    """The same as the pool's pairs scored one by one, and no join gets pairs without a signal."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(700):
+        said = " ".join(rng.choice("alpha bravo carol delta eagle flint".split()) for _ in range(5))
+        at = None if i % 90 == 0 else rng.choice((0, 1, 2, 40, 250, 600)) * 86400 + rng.randrange(40) * 3600
+        rows.append((i, at, said if i % 50 else None, f"{said[::-1]}. more", f"u{i % 97}" if i % 3 else "", f"c{i % 89}", f"t{i % 83}" if i % 5 else None, "h", ["ai"], f"k{i % 2}"))
+    posts = spark.createDataFrame(rows, "post_id long, at long, title string, content string, normalized_url string, content_hash string, title_hash string, url_host string, tags array<string>, blocking string")
+    posts = posts.withColumn("published_at", F.timestamp_seconds("at")).drop("at").repartition(3)
+    pool = stories.pool(posts, cap=cap)
+    expected = sorted(map(tuple, stories.score(pool, posts).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert sorted(map(tuple, stories.candidates(posts, cap=cap).collect())) == expected and len(expected) > 50
+        assert stories._signals(stories._ready(posts), 30, cap).count() < 0.9 * pool.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert stories.candidates(posts.limit(0)).count() == 0
