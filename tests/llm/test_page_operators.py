@@ -212,6 +212,37 @@ def test_forest_splits_large_leaves(spark, monkeypatch):
     assert sum(v[0] for v in found.values()) >= 0.98 * sum(v[0] for v in expected.values())
 
 
+@pytest.mark.parametrize("fan, at_once", [(512, 300e6), (8, 0)])
+def test_forest_sends_a_vector_once_a_tree(spark, monkeypatch, fan, at_once):
+    """In one leaf of each tree, by one level or two, all trees at once or one by one; pairs just above the threshold are found and counted once."""
+    import numpy as np
+
+    gauss = np.random.default_rng(8).normal
+    first = neighbours.unit(gauss(size=(1500, 64)))
+    away = gauss(size=(300, 64))
+    away = neighbours.unit(away - (away * first[:300]).sum(axis=1)[:, None] * first[:300])
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((first, 0.902 * first[:300] + np.sqrt(1 - 0.902**2) * away)))]
+    monkeypatch.setattr(neighbours, "FAN", fan, raising=False)
+    monkeypatch.setattr(neighbours, "AT_ONCE", at_once, raising=False)
+    monkeypatch.setattr(neighbours, "OF_INPUT", at_once, raising=False)
+    split, placed = neighbours._split, []
+
+    def counted(*a):
+        out = split(*a)
+        placed.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(neighbours, "_split", counted)
+    found = neighbours.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), leaf=100, trees=10).collect()
+    assert sum(placed) == 10 * len(rows) and len(placed) == (1 if at_once else 10)
+    assert all(r["n_links"] <= 1 for r in found) and sum(r["n_links"] for r in found) >= 0.97 * 600
+    assert all(r["component_id"] == r["vec_id"] % 1500 for r in found if r["n_links"])
+
+
+def test_trees_grow_slowly():
+    assert neighbours.trees_for(10**9) <= 40
+
+
 def test_forest_repeated_ids(spark):
     """Equal ids with different vectors are one vertex; every row is returned; equal vectors link."""
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0]), (None, [1.0, 0.0]), (5, None)]
