@@ -533,3 +533,32 @@ def test_jaccard_copies_are_one_row(spark):
     found = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
     assert all(found[100 * copy + k] == (0 if k == 0 else 1) for copy in range(8) for k in range(3))  # 2 has two texts: 1's and its own
     assert found[7] == 7 and found[None] is None
+
+
+def test_jaccard_in_rounds(spark, monkeypatch):
+    """Tiles leave out sizes that can't be linked and hold all pairs that can; rounds and ranges lose no link."""
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    rows = [(g, i, n) for g in (0, 1) for i, n in enumerate([10, 10, 12, 13, 13, 20, 40, 41, 45, 60, 80, 80, 81, 200, 201, 202, 203])]
+    placed = jaccard.dealt(spark.createDataFrame(rows, "group long, id long, n long")).collect()
+    at = {(r["group"], r["id"]): r for r in placed}
+    for g, i, n in rows:
+        for h, j, m in rows:
+            if g == h and 4 * min(n, m) >= 3 * max(n, m):
+                assert at[g, j]["part"] in at[g, i]["with"]
+    assert len(at) == len(rows) and sum(len(r["with"]) for r in placed) < len(rows) * 5 - 20  # every part with every other before
+    table = [(i, " ".join(["common"] * 5 + words(60, 40 + i % 7)[: 40 + i % 5] + words(12, 60 + i % 3)[: i % 13])) for i in range(60)]
+    sets = {i: shingles(t) for i, t in table}
+    least = dict.fromkeys(sets)
+    for i in sets:
+        least[i] = i
+    for _ in sets:
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if 100 * len(x & y) >= 75 * len(x | y):
+                    least[i] = min(least[i], least[j])
+    asked = []
+    monkeypatch.setattr(jaccard, "ROUND", 0)
+    monkeypatch.setattr(jaccard, "rounds", lambda work, whole: asked.append(work) or 3)
+    found = jaccard.join(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == least and len(asked) == 3 and sum(asked) > 0
