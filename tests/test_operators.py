@@ -342,3 +342,21 @@ def test_story_candidates(spark, cap):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert stories.candidates(posts.limit(0)).count() == 0
+
+
+def test_relations_are_not_capped(spark):
+    """A busy host, address and artifact: partners beyond the newest 50 or 100 are found."""
+    n = 130
+    rows = [(i, f"{i:03d} {chr(97 + i % 26) * (i % 40 + 1)}", f"body {i} {i * i}", f"https://h.example/{i}", 600 + i) for i in range(n)]
+    rows += [(i, "The very same title of two posts", "And the very same body of both posts", f"https://h.example/{i}", i - 199) for i in (200, 201)]
+    rows += [(300 + i, f"{i % 60} of an address", f"{i % 60} said", "https://busy.example/one", 100000 + 500 * i) for i in range(n)]
+    posts = spark.createDataFrame(rows, "post_id long, title string, content string, url string, m long")
+    posts = evidence.enrich(posts.withColumns({"html": F.lit(None).cast("string"), "published_at": F.timestamp_seconds(F.col("m") * 60)})).checkpoint()
+    shared = spark.createDataFrame([(i, "https://x.example/p") for i in range(n)], "post_id long, normalized_url string")
+    found = evidence.relations(posts, shared, evidence.candidates(posts, shared)).collect()
+    pairs = {(min(r["from_id"], r["to_id"]), max(r["from_id"], r["to_id"])) for r in found}
+    assert (200, 201) in pairs and all((i, j) in pairs for i in range(n) for j in range(i + 1, n))
+    assert {(r["from_id"], r["to_id"]) for r in found if r["relation_type"] == "exact_duplicate"} >= {(300 + i, 360 + i) for i in range(60)}
+    whole = evidence.clusters(posts, spark.createDataFrame(sorted(pairs), "a long, b long")).collect()
+    near = evidence.relations(posts, shared.limit(0), evidence.same_host(posts)).select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    assert sorted(whole) == sorted(evidence.clusters(posts, near.unionByName(evidence.stars(shared))).collect()) and {r["size"] for r in whole} == {n, 2}
